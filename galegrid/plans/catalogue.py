@@ -1,0 +1,10 @@
+"""Every registered query of the storm engine, with its SQL equivalent."""
+
+from __future__ import annotations
+
+QUERIES = {}
+ORACLES = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
