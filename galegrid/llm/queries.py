@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from .common import read_documents, text_sha256
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .media import HISTOGRAM_BINS, media_columns
 from .mixing import mix_sources
+from .near_join import jaccard_join
 from .packing import pack
+from .pii import find_personal_data, span_columns
 from .quality import classify_quality
+from .secrets import scan_secrets
 from .token_counts import count_tokens
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,14 +25,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    found = span_columns(docs, find_personal_data(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", text_sha256(F.col("base")).alias("base_sha256"), "spans")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_documents(spark, sf_dir)).select("doc_id", "start", "end", "found", "score", "is_secret")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
@@ -42,13 +60,36 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media_columns(read_documents(spark, sf_dir))
+    payload = F.aggregate("frames", F.lit(b""), lambda a, f: F.concat(a, f["plane"]))
+    levels = F.aggregate(
+        "frames", F.array_repeat(F.lit(0).cast("long"), HISTOGRAM_BINS),
+        lambda a, f: F.zip_with(a, F.slice(f["histogram"], 1, HISTOGRAM_BINS), lambda x, y: x + y),
+    )
+    feature = F.concat_ws(
+        ";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("ms="), F.aggregate("frames", F.lit(0), lambda a, f: a + f["delay_ms"])),
+        F.concat(F.lit("levels="), F.array_join(F.transform(levels, lambda x: x.cast("string")), "-")),
+    )
+    read = stored.select("doc_id", "n_bytes", "media", payload.alias("payload"), feature.alias("feature"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_pii": op2_pii,
     "op3_quality": op3_quality,
+    "op4_ngram_join": op4_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_gif_media": op10_gif_media,
 }
 
 ORACLES = {
