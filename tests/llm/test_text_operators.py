@@ -1,0 +1,388 @@
+"""Operators against brute force over the small documents and over odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from galegrid.llm import exact_dedup, line_dedup, mixing, near_join, packing, pii, quality, queries, secrets, token_counts
+from galegrid.llm.common import read_documents
+
+VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
+BLANK = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text or "" for r in read_documents(spark, sf_dir).select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = queries.QUERIES[name](spark, sf_dir)
+    want = con.sql(queries.ORACLES[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    columns = sorted(found.columns)
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(want.select(", ".join(columns)).fetchall())
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+# --- token counts ---------------------------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark, sf_dir, texts):
+    library = Tokenizer.from_file(VOCABULARY)
+    for r in queries.op7_token_counts(spark, sf_dir).collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
+def test_counts_of_hard_texts():
+    library, counter = Tokenizer.from_file(VOCABULARY), token_counts.Counter(VOCABULARY)
+    hard = ["", " ", "a<|endoftext|>b <|endoftext|>", "　x y z", "ab" * 20_000, " " * 3000 + "x", "\U0001f600é̀ñ" * 50, "it's we'LL 12³ \x1c\x85"]
+    for text in hard:
+        assert counter.of_text(text) == len(library.encode(text, add_special_tokens=False).ids), text[:30]
+
+
+def test_token_counts_of_odd_rows(odd, none):
+    rows = token_counts.count_tokens(odd, VOCABULARY).collect()
+    assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
+    assert token_counts.count_tokens(none, VOCABULARY).collect() == []
+
+
+# --- packing --------------------------------------------------------------------------------------------------------
+
+
+def check_packing(rows, ids_of):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for doc, ids in ids_of.items():
+        at = 0
+        for r in sorted(by_doc[doc], key=lambda r: r.start):
+            piece = np.array(ids[at : at + r.length], dtype="<u4")
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(piece.tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    return len(by_sequence)
+
+
+def test_packing(spark, sf_dir, texts):
+    library = Tokenizer.from_file(VOCABULARY)
+    ids = {d: [*library.encode(t, add_special_tokens=False).ids, 0] for d, t in texts.items()}
+    used = check_packing(queries.op1_packing(spark, sf_dir).collect(), ids)
+    assert used * 1024 <= 1.01 * sum(map(len, ids.values()))
+
+
+def test_packing_of_odd_rows(odd, none):
+    rows = packing.pack(odd, VOCABULARY, with_ids=True).collect()
+    assert Counter(r.doc_id for r in rows)[1] == 2 and sum(r.doc_id is None for r in rows) == 3
+    assert all(len(r.ids) == r.length for r in rows)
+    assert packing.pack(none, VOCABULARY).collect() == []
+
+
+def test_cutting_plan_holds_all_pieces():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        have = Counter(map(int, rng.integers(1, 129, int(rng.integers(1, 400)))))
+        held = Counter()
+        for pattern, times in packing.cutting_plan(dict(have), 128):
+            assert sum(w * k for w, k in pattern.items()) <= 128
+            for w, k in pattern.items():
+                held[w] += k * times
+        assert held == have
+
+
+# --- exact dedup ----------------------------------------------------------------------------------------------------
+
+
+def test_exact_dedup_of_odd_rows(odd, none):
+    rows = exact_dedup.exact_dedup(odd).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.text_sha256].append(r)
+    assert len(rows) == odd.count()
+    for g in groups.values():
+        assert sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} and len({r.keep_id for r in g}) == 1
+    assert {r.keep_id for r in groups[sha("")]} == {10} and len(groups[sha("")]) == 4
+    assert {r.keep_id for r in groups[sha("fourwordsonlyhere")]} == {11}
+    assert exact_dedup.exact_dedup(none).collect() == []
+    assert exact_dedup.keep_first(odd).columns == odd.columns
+    assert exact_dedup.keep_first(odd).count() == len(groups)
+
+
+def test_colliding_digests_are_told_apart_by_full_bytes(odd):
+    from pyspark.sql import functions as F
+
+    weak = exact_dedup.exact_dedup(odd, digest=lambda t: F.encode((F.crc32(F.encode(t, "UTF-8")) % 2).cast("string"), "UTF-8"))
+    key = lambda r: (str(r.doc_id), r.rid, str(r.keep_id), r.group_size, r.kept, r.text_sha256)
+    assert sorted(map(key, weak.collect())) == sorted(map(key, exact_dedup.exact_dedup(odd).collect()))
+
+
+def test_state_lives_on_between_runs(spark, odd, tmp_path):
+    from pyspark.sql import functions as F
+
+    def arrive(lo, hi):
+        rows = odd.where(F.col("doc_id").between(lo, hi)).select(
+            exact_dedup.sha256_bytes(exact_dedup.normalised(F.coalesce("text", F.lit("")))).alias("digest"), "doc_id",
+            F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.xxhash64("text").alias("rid"), F.monotonically_increasing_id().alias("row"),
+        )
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        return exact_dedup.run_stream(stream, str(tmp_path / "kept")).collect()
+
+    arrive(12, 12)
+    later = arrive(11, 11)
+    assert [(r.n, r.keep.doc_id) for r in later] == [(2, 11)]
+
+
+# --- line dedup -----------------------------------------------------------------------------------------------------
+
+
+def test_line_dedup_of_odd_rows(odd, none):
+    rows = line_dedup.line_dedup(odd).collect()
+    assert len(rows) == odd.count()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].n_dropped == 1 and by[1].text == "Same text here\n" and by[2].n_dropped == 1 and by[3].n_dropped == 0
+    assert (by[4].n_lines, by[4].text, by[5].n_lines) == (1, "", 1)
+    assert line_dedup.line_dedup(none).collect() == []
+
+
+# --- mixing ---------------------------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight, total, full = {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in full)
+        w = sum(weight[s] for s in order if s not in full)
+        target = {s: 3.0 * sizes[s] if s in full else left * weight[s] / w for s in order}
+        over = {s for s in order if s not in full and target[s] >= 3 * sizes[s]}
+        if not over:
+            return target
+        full |= over
+
+
+def check_mix(rows):
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+    want = brute_targets(sizes)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
+        assert 0 <= r.taken <= 3 * r.size
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 1
+
+
+def test_mixing(spark, sf_dir, texts):
+    rows = mixing.mix_sources(read_documents(spark, sf_dir)).collect()
+    assert {r.doc_id: r.size for r in rows} == {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t in texts.items()}
+    check_mix(rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix_sources(read_documents(spark, sf_dir).repartition(5)).collect()))
+
+
+def test_mixing_of_odd_rows(odd, none):
+    rows = mixing.mix_sources(odd).collect()
+    assert len(rows) == odd.count()
+    check_mix(rows)
+    assert mixing.mix_sources(none).collect() == [] and mixing.mixed_documents(none).collect() == []
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sum(count(r.text) for r in out.collect()) == sum(r.taken for r in rows)
+
+
+def test_shares_beyond_three_times_a_source(spark):
+    rows = [(i, "w " * n, None, s, 0) for i, (s, n) in enumerate([("a", 9000), ("b", 10), ("c", 50), ("d", 0), (None, 700)])]
+    check_mix(mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect())
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = queries.op3_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert sum(r.predicted for r in good) >= 0.99 * len(good) and sum(r.predicted for r in bad) <= 0.05 * len(bad)
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 0), (9, 0, 0), (77, 0, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify_quality(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    assert {r.score for r in quality.classify_quality(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify_quality(none, labels).collect() == []
+    assert quality.keep_good(odd, labels).columns == odd.columns
+
+
+# --- near copies ----------------------------------------------------------------------------------------------------
+
+
+def brute_links(texts):
+    """texts: id -> text. Number of links and smallest linked id of each."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    holders = defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            holders[x].add(d)
+    links, root = Counter(), {d: d for d in texts}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for d, s in sets.items():
+        shared = Counter(e for x in s for e in holders[x] if e > d)
+        for e, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[e]) - n):
+                links[d] += 1
+                links[e] += 1
+                a, b = top(d), top(e)
+                root[max(a, b)] = min(a, b)
+    return links, {d: top(d) for d in texts}
+
+
+def test_near_join_finds_all_links(spark, sf_dir, texts):
+    links, root = brute_links(texts)
+    for r in queries.op4_ngram_join(spark, sf_dir).collect():
+        assert (r.n_links, r.class_id) == (links[r.doc_id], root[r.doc_id])
+
+
+def test_large_nodes_in_many_cells(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for d in range(150):
+        words = list(base)
+        for i in rng.integers(0, 60, rng.integers(0, 3)):
+            words[i] = f"x{rng.integers(0, 50)}"
+        texts[d] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links, root = brute_links(texts)
+    for r in near_join.jaccard_join(docs, near_join.Forest(cell=16)).collect():
+        assert (r.n_links, r.class_id) == (links[r.doc_id], root[r.doc_id])
+
+
+def test_near_join_of_odd_rows(odd, none):
+    rows = near_join.jaccard_join(odd).collect()
+    assert len(rows) == odd.count()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    assert {(r.class_id, r.n_links) for r in by[6] + by[7]} == {(6, 2)}
+    assert {(r.class_id, r.n_links) for r in by[11] + by[12]} == {(11, 1)} and {(r.class_id, r.n_links) for r in by[1]} == {(1, 1)}
+    assert {(r.class_id, r.n_links) for r in by[4] + by[5] + by[10]} == {(4, 0), (5, 0), (10, 0)}
+    assert near_join.jaccard_join(none).collect() == []
+    assert near_join.one_of_each(odd).columns == odd.columns
+
+
+# --- personal data --------------------------------------------------------------------------------------------------
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    def good(kind, s):
+        digits = re.sub("[^0-9]", "", s)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            twice = [int(c) * (i % 2 + 1) for i, c in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    spans = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p) in enumerate(BASE.items()) for m in re.finditer(p, text) if good(k, m[0])]
+    return [s for _, _, s in sorted(spans)]
+
+
+def test_personal_data_equals_the_patterns(spark, sf_dir, texts):
+    for r in queries.op2_pii(spark, sf_dir).collect():
+        want = brute_spans(texts[r.doc_id])
+        assert r.base_sha256 == sha(",".join(want))
+        assert set(want) <= set(r.spans.split(",")) | {""}
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want) for k in BASE]
+
+
+def test_hard_spans(spark):
+    pieces = ["a@b.c", "%x@d.e", "1.2.3.4.5.6.7.8", "4111-1111 11111111", "+1 (555) 222-3333", "+", "@", ".", " ", "é\U0001f600", "0255.1.1.256", "999", "--", "a" * 50, "7" * 30, "x@y@z.w"]
+    rng = np.random.default_rng(5)
+    texts = {i: "".join(pieces[j] for j in rng.integers(0, len(pieces), 12)) for i in range(400)} | {400: "a" * 300_000, 401: "1." * 50_000, 402: "a@b" + ".c" * 30_000, 403: "7 " * 60_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in pii.span_columns(docs, pii.entity_spans(docs)).collect():
+        assert r.base == ",".join(brute_spans(texts[r.doc_id]))
+
+
+def test_terms_that_give_an_entity_away(spark):
+    rows = [(i, f"filler{i} common word{i % 7} zorbax writes from boss@corp.example.com about topic{i} common") for i in range(12)]
+    rows += [(100 + i, f"common text number{i} of filler and words") for i in range(200)] + [(500, "only zorbax here, Zorbax")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, kind string")
+    spans = [(r.doc_id, r.kind, r.start, r.end) for r in pii.find_personal_data(docs).collect()]
+    assert {(500, "term", 5, 11), (500, "term", 18, 24)} <= set(spans)
+    assert sum(s[1] == "email" for s in spans) == 12 and not [s for s in spans if 100 <= s[0] < 300]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[500] == "only  here, " and "[EMAIL]" in clean[0] and clean[150] == rows[62][1]
+
+
+def test_personal_data_of_odd_rows(odd, none):
+    rows = pii.span_columns(odd, pii.find_personal_data(odd)).collect()
+    assert len(rows) == odd.count() and [r.n_email for r in rows if r.doc_id == 13] == [2]
+    assert pii.find_personal_data(none).collect() == [] and pii.sanitise(none).collect() == []
+    assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == odd.count()
+
+
+# --- secrets --------------------------------------------------------------------------------------------------------
+
+
+def test_secrets_on_held_out_findings(spark):
+    docs = read_documents(spark, "/root/testdata/sf0.1")
+    found = secrets.candidates(docs)
+    labels = secrets.labelled_findings(found).where("pmod(xxhash64(doc_id, start), 4) <> 2")
+    truth = {(r.doc_id, r.start): r.is_secret for r in secrets.labelled_findings(found).collect()}
+    rows = [r for r in secrets.scan_secrets(docs, labels).where("pmod(xxhash64(doc_id, start), 4) = 2").collect()]
+    assert len(rows) > 20 and sum(r.is_secret == bool(truth[r.doc_id, r.start]) for r in rows) >= 0.97 * len(rows)
+
+
+def test_secret_positions(spark, sf_dir, texts):
+    want = {(d, m.start(), m.end()) for d, t in texts.items() for m in re.finditer(r"[A-Za-z0-9_/+=-]{16,}", t) if re.search("[0-9]", m[0])}
+    assert {(r.doc_id, r.start, r.end) for r in queries.op6_secrets(spark, sf_dir).collect()} == want
+
+
+def test_secrets_of_odd_rows(odd, none):
+    assert secrets.scan_secrets(none).collect() == []
+    assert all(0 <= r.score <= 1 for r in secrets.scan_secrets(odd).collect())
