@@ -16,6 +16,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each of many small stores reserves megabytes on disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Groups of copies of which the digests may be broadcast: 32 bytes each.
 BROADCAST_ROWS = 500_000
