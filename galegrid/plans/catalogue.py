@@ -1,10 +1,540 @@
-"""Every registered query of the storm engine, with its SQL equivalent."""
+"""Every registered query of the storm engine, with its SQL equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import angles, axes, geometry, masks
+from ..operators import clusters, dav, patches, stencil, tracks
+from ..sources import fixtures as fx
+from ..sources import readers
+from ..streaming import tracker
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+S = fx.SIDE
+
+
+def finish(df: DataFrame, decimals: int = 4) -> DataFrame:
+    """Whole numbers as longs and doubles with few decimals, as the SQL equivalents have them."""
+    shown = {}
+    for name, kind in df.dtypes:
+        if kind in ("int", "smallint", "tinyint"):
+            shown[name] = F.col(name).cast("long")
+        elif kind in ("double", "float"):
+            shown[name] = F.round(F.col(name), decimals) + 0.0
+    return df.withColumns(shown)
+
+
+def register(oracle: str | None = None, decimals: int = 4):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return finish(f(spark, sf_dir), decimals)
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty cells of least variance."""
+    return QUERIES["dav_map_r3"](spark, sf_dir).where("dav is not null").orderBy("dav", "t", "y", "x").limit(20)
+
+
+# --- scans and filters ----------------------------------------------------------------------------------------------
+
+
+@register(sql.query("t:i y:i x:i v:v", "SELECT t, y, x, v FROM grid_missing"))
+def scan_grid(spark, sf_dir):
+    return fx.grid_missing(spark, sf_dir).select("t", "y", "x", readers.null_for_nan("v").alias("v"))
+
+
+@register(sql.query("t:i y:i x:i v:v", "SELECT t, y - 10 AS y, x - 5 AS x, v FROM grid64 WHERE y >= 10 AND y < 50 AND x >= 5 AND x < 60"))
+def crop_bbox(spark, sf_dir):
+    return readers.crop(fx.grid64(spark, sf_dir), north=50, south=10, west=5, east=60)
+
+
+@register(sql.query("t:i valid:s lowest:v highest:v", "SELECT t, bool_and(v IS NULL OR v BETWEEN 220 AND 270) AS valid, min(v) AS lowest, max(v) AS highest FROM grid_missing GROUP BY t"))
+def validate_range(spark, sf_dir):
+    return readers.range_report(fx.grid_missing(spark, sf_dir), 220.0, 270.0)
+
+
+@register(sql.query("t:i y:i x:i level:v", "SELECT t, 63 - y AS y, x, 1 - (least(greatest(v, 73), 223) - 73) / 150.0 AS level FROM grid64"))
+def image_layer(spark, sf_dir):
+    return readers.image_layer(fx.grid64(spark, sf_dir), S)
+
+
+# --- axes and coordinates -------------------------------------------------------------------------------------------
+
+
+@register(sql.query("point_id:i lat:v lon:v", "SELECT point_id, 0.25 * y - 8 AS lat, 0.25 * x - 8 AS lon FROM points"))
+def pixel_to_coord(spark, sf_dir):
+    low, d = F.lit(-8.0), F.lit(0.25)
+    return fx.points(spark, sf_dir).select("point_id", axes.pixel_to_coordinate(F.col("y"), low, d).alias("lat"), axes.pixel_to_coordinate(F.col("x"), low, d).alias("lon"))
+
+
+@register(sql.query("point_id:i py:i px:i", "SELECT point_id, round_even((0.125 * y) / 0.25, 0) AS py, round_even((0.0625 * x + 0.5) / 0.25, 0) AS px FROM points"))
+def coord_to_pixel(spark, sf_dir):
+    low, d = F.lit(-8.0), F.lit(0.25)
+    lat, lon = 0.125 * F.col("y") - 8, 0.0625 * F.col("x") - 7.5
+    return fx.points(spark, sf_dir).select("point_id", axes.coordinate_to_pixel(lat, low, d).alias("py"), axes.coordinate_to_pixel(lon, low, d).alias("px"))
+
+
+@register(sql.query("point_id:i row:i", "SELECT point_id, least(greatest(floor((0.5 * y - 10 + 8) / 0.25), 0), 64) AS row FROM points"))
+def lat_clamp(spark, sf_dir):
+    return fx.points(spark, sf_dir).select("point_id", axes.clamped_row(0.5 * F.col("y") - 10, F.lit(-8.0), F.lit(0.25), F.lit(S)).alias("row"))
+
+
+@register(sql.query(
+    "axis:s x0:v dx:v n:i linear:s",
+    """SELECT axis, min(value) AS x0, (max(value) - min(value)) / nullif(count(*) - 1, 0) AS dx, count(*) AS n, coalesce(max(step) - min(step), 0) < 1e-3 AS linear
+       FROM (SELECT axis, value, lead(value) OVER (PARTITION BY axis ORDER BY value) - value AS step FROM ax) GROUP BY axis""",
+    ax="SELECT DISTINCT 'lat' AS axis, 0.25 * y - 8 AS value FROM points UNION ALL SELECT DISTINCT 'lon', 0.01 * x * x FROM points",
+))
+def axis_linear_check(spark, sf_dir):
+    p = fx.points(spark, sf_dir)
+    lat = p.select(F.lit("lat").alias("axis"), (0.25 * F.col("y") - 8).alias("value"))
+    lon = p.select(F.lit("lon").alias("axis"), (0.01 * F.col("x") * F.col("x")).alias("value"))
+    return axes.axis_summary(lat.unionByName(lon).distinct(), "axis", "value")
+
+
+@register(sql.query("t:i lat0:v dlat:v lon0:v dlon:v res_km:v", "SELECT DISTINCT t, -8 + 0.25 / 2.5 AS lat0, 0.25 * 2.5 AS dlat, -8 + 0.25 / 2.5 AS lon0, 0.25 * 2.5 AS dlon, 25.0 AS res_km FROM grid64"))
+def rescaled_axes(spark, sf_dir):
+    k = F.lit(2.5)
+    lat0, dlat = axes.rescaled_axis(F.col("lat0"), F.col("dlat"), k)
+    lon0, dlon = axes.rescaled_axis(F.col("lon0"), F.col("dlon"), k)
+    return fx.frames(spark, sf_dir).select("t", lat0.alias("lat0"), dlat.alias("dlat"), lon0.alias("lon0"), dlon.alias("dlon"), (F.col("res_km") * k).alias("res_km"))
+
+
+@register(sql.query("t:i said:s", "SELECT DISTINCT t, '2022-09-01 ' || strftime(TIMESTAMP '2022-09-01' + to_minutes(30 * t), '%H:%M:%S') AS said FROM grid64"))
+def frame_time_text(spark, sf_dir):
+    f = fx.frames(spark, sf_dir)
+    return f.select("t", axes.frame_time_text(F.date_format("ts", "yyyy-MM-dd"), F.concat(F.date_format("ts", "HH:mm:ss"), F.lit(".000Z"))).alias("said"))
+
+
+# --- stencils -------------------------------------------------------------------------------------------------------
+
+
+@register(sql.query(
+    "t:i y:i x:i v:v",
+    """SELECT t, y, c.x AS x, CASE WHEN count(s.v) = count(*) THEN sum(w * s.v) END AS v FROM half s JOIN tx c ON c.src = s.x GROUP BY t, y, c.x""",
+    tx="""SELECT x, unnest([{'src': greatest(floor(p), 0), 'w': 1 - (p - floor(p))}, {'src': least(floor(p) + 1, 63), 'w': p - floor(p)}], recursive := true)
+          FROM (SELECT i AS x, (i + 0.5) * 64 / 25 - 0.5 AS p FROM range(25) r(i))""",
+    taps_used="SELECT * FROM tx WHERE w > 0",
+    half="""SELECT t, c.x AS y, s.x AS x, CASE WHEN count(s.v) = count(*) THEN sum(w * s.v) END AS v FROM grid_missing s JOIN taps_used c ON c.src = s.y GROUP BY t, c.x, s.x""",
+).replace("JOIN tx c", "JOIN taps_used c"))
+def resample_bilinear(spark, sf_dir):
+    return stencil.resample_bilinear(fx.grid_missing(spark, sf_dir), S, S, 0.4)
+
+
+@register(sql.query(
+    "t:i y:i x:i v:v",
+    """SELECT t, y, x, CASE WHEN v IS NOT NULL OR lag(t) OVER w IS NULL OR lead(t) OVER w IS NULL THEN v ELSE list_avg([lag(v) OVER w, lead(v) OVER w]) END AS v
+       FROM grid_missing WINDOW w AS (PARTITION BY y, x ORDER BY t)""",
+))
+def temporal_fill(spark, sf_dir):
+    return stencil.temporal_fill(fx.grid_missing(spark, sf_dir))
+
+
+@register(sql.query("t:i y:i x:i v:v", sql.filled("grid_missing", S)))
+def spatial_fill(spark, sf_dir):
+    return stencil.spatial_fill(fx.grid_missing(spark, sf_dir), S)
+
+
+@register(sql.query("t:i y:i x:i v:v", "SELECT * FROM blurs", **sql.blurred("grid64", "blurs", S)))
+def gaussian_blur(spark, sf_dir):
+    return stencil.gaussian_blur(fx.grid64(spark, sf_dir))
+
+
+@register(sql.query("t:i y:i x:i g:v", sql.angles("grid64")))
+def gradient_angle(spark, sf_dir):
+    return dav.gradients(fx.grid64(spark, sf_dir))
+
+
+@register(sql.query("t:i y:i x:i g:v", f"SELECT t, y, x, {sql.COARSE.format(y='dy', x='dx')} AS g FROM sobels", **sql.sobels("grid64", S)))
+def sobel_angle(spark, sf_dir):
+    return stencil.sobel(fx.grid64(spark, sf_dir)).select("t", "y", "x", angles.coarse_angle(F.col("dy"), F.col("dx")).alias("g"))
+
+
+# --- angles and masks -----------------------------------------------------------------------------------------------
+
+
+@register(sql.query("dy:i dx:i ray:v", sql.disc(15)))
+def ray_template(spark, sf_dir):
+    return masks.disc(spark, 15)
+
+
+@register(sql.query("dy:i dx:i ray:v", sql.half_disc(15)))
+def ray_template_half(spark, sf_dir):
+    return masks.half_disc(spark, 15)
+
+
+@register(sql.query("event_id:i d:v folded:v", f"SELECT event_id, event_id % 721 - 360.0 AS d, {sql.FOLD.format(d='(event_id % 721 - 360.0)')} AS folded FROM events"))
+def fold_angle(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 721 - 360.0).alias("d"))
+    return d.withColumn("folded", angles.fold_angle(F.col("d")))
+
+
+@register(sql.query("event_id:i d:v wrapped:v", f"SELECT event_id, event_id % 721 - 360.0 AS d, {sql.WRAP.format(d='(event_id % 721 - 360.0)')} AS wrapped FROM events"))
+def wrap_angle(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 721 - 360.0).alias("d"))
+    return d.withColumn("wrapped", angles.wrap_angle(F.col("d")))
+
+
+# --- deviation-angle variance ---------------------------------------------------------------------------------------
+
+
+@register(sql.query("t:i y:i x:i dav:v", sql.variance("g", 3, "grid8"), g=sql.angles("grid8")))
+def dav_map_r3(spark, sf_dir):
+    return dav.dav_map(fx.grid8(spark, sf_dir), 3, 8, 8, smooth=False, cells=1)
+
+
+@register(sql.query("t:i y:i x:i dav:v", sql.variance("g", 3, "grid8"), g=sql.angles("grid8")))
+def dav_map_tiled(spark, sf_dir):
+    return dav.dav_map(fx.grid8(spark, sf_dir), 3, 8, 8, smooth=False)
+
+
+@register(sql.query(
+    "t:i y:i x:i dav:v", "SELECT t, y, x, CASE WHEN v IS NOT NULL THEN dav END AS dav FROM dv JOIN grid_missing USING (t, y, x)",
+    full_v=sql.filled("grid_missing", S), **sql.blurred("full_v", "smooth_v", S), g=sql.angles("smooth_v"), dv=sql.variance("g", 5, "grid_missing"),
+))
+def dav_map_full(spark, sf_dir):
+    return dav.dav_map(fx.grid_missing(spark, sf_dir), 5, S, S, cells=1)
+
+
+@register(sql.query(
+    "t:i y:i x:i dav:v", "SELECT t, y, x, CASE WHEN (x + y) % 3 <> 0 THEN dav END AS dav FROM dv", g=sql.angles("grid8"), dv=sql.variance("g", 3, "grid8")
+))
+def dav_skip_mask(spark, sf_dir):
+    grid = fx.grid8(spark, sf_dir)
+    skip = grid.select("t", "y", "x", ((F.col("x") + F.col("y")) % 3 == 0).alias("skip"))
+    return dav.dav_map(grid, 3, 8, 8, skip=skip, smooth=False, cells=1)
+
+
+@register(sql.query(
+    "t:i dav:v", "SELECT t, avg(dav) AS dav FROM dv GROUP BY t",
+    cut="SELECT t, y - 21 AS y, x - 21 AS x, v FROM grid64 WHERE y BETWEEN 21 AND 42 AND x BETWEEN 21 AND 42",
+    **sql.blurred("cut", "smooth_v", 22), g=sql.angles("smooth_v"), near="SELECT t, y, x FROM cut WHERE y BETWEEN 9 AND 12 AND x BETWEEN 9 AND 12", dv=sql.variance("g", 8, "near"),
+))
+def centre_dav(spark, sf_dir):
+    return dav.centre_dav(fx.grid64(spark, sf_dir), 8, S, S)
+
+
+@register(sql.query(
+    "t:i dav:v", "SELECT t, (sum(d * d) - sum(d) * sum(d) / count(*)) / (count(*) + 1) AS dav FROM turned GROUP BY t",
+    cut="SELECT t, y - 19 AS y, x - 19 AS x, trunc(v) AS v FROM grid64 WHERE y BETWEEN 19 AND 44 AND x BETWEEN 19 AND 44",
+    **sql.blurred("cut", "smooth_v", 26, "nearest", True), **sql.sobels("smooth_v", 26), hd=sql.half_disc(8),
+    diffs=f"SELECT t, round({sql.COARSE.format(y='s.dy', x='s.dx')} - ray, 6) AS a FROM sobels s JOIN hd h ON s.y = h.dy + 13 AND s.x = h.dx + 13",
+    turned=f"SELECT t, {sql.WRAP.format(d='a')} AS d FROM diffs",
+))
+def cpu_dav(spark, sf_dir):
+    return dav.cpu_dav(fx.grid64(spark, sf_dir), 8, S, S)
+
+
+# --- neighbourhoods of points ---------------------------------------------------------------------------------------
+
+_WRAPPED = """SELECT p.point_id, avg(g.v) AS mean_v FROM points p CROSS JOIN ({disc}) o
+    LEFT JOIN {grid} g ON g.t = p.t AND g.y = p.y + dy AND g.x = {x} GROUP BY p.point_id"""
+
+
+@register(sql.query("point_id:i mean_v:v", _WRAPPED.format(disc=sql.half_disc(5), grid="grid_missing", x="(p.x + dx + 64) % 64")))
+def disc_mean(spark, sf_dir):
+    return patches.disc_mean(fx.points(spark, sf_dir), fx.grid_missing(spark, sf_dir), 5, S, S, is_global=True).select("point_id", "mean_v")
+
+
+@register(sql.query("point_id:i", f"SELECT point_id FROM ({_WRAPPED.format(disc=sql.half_disc(5), grid='grid_missing', x='p.x + dx')}) WHERE NOT coalesce(mean_v > 250, false)"))
+def cool_filter(spark, sf_dir):
+    means = patches.disc_mean(fx.points(spark, sf_dir), fx.grid_missing(spark, sf_dir), 5, S, S)
+    return means.where(~F.coalesce(F.col("mean_v") > 250, F.lit(False))).select("point_id")
+
+
+@register(sql.query(
+    "point_id:i new_y:i new_x:i",
+    """SELECT point_id, coalesce(least(greatest(y + b.dy - greatest(0, 5 - y), 0), 64), y) AS new_y, coalesce(greatest(x + b.dx - greatest(0, 5 - x), 0), x) AS new_x
+       FROM points JOIN (SELECT p.point_id, min({'v': g.v, 'dy': dy, 'dx': dx}) FILTER (WHERE g.v IS NOT NULL) AS b FROM points p CROSS JOIN hd
+            LEFT JOIN grid_missing g ON g.t = p.t AND g.y = p.y + dy AND g.x = p.x + dx GROUP BY p.point_id) USING (point_id)""",
+    hd=sql.half_disc(5),
+))
+def disc_argmin(spark, sf_dir):
+    values = fx.grid_missing(spark, sf_dir).withColumnRenamed("v", "dav")
+    return patches.disc_argmin(fx.points(spark, sf_dir), values, 5, S, S).select("point_id", "new_y", "new_x")
+
+
+_BOX = "SELECT dy, dx FROM range(-3, 3) a(dy), range(-3, 3) b(dx)"
+_PATCH = """SELECT p.point_id, p.t, {py} AS py, dx + 3 AS px, CASE WHEN p.y + dy NOT BETWEEN 0 AND 63 THEN 0.0 ELSE g.v END AS v
+    FROM {points} p CROSS JOIN box LEFT JOIN {grid} g ON g.t = p.t AND g.y = p.y + dy AND g.x = (p.x + dx + 64) % 64"""
+_DIGEST = "SELECT point_id, count(*) AS n, count(v) AS there, sum(v) AS total, sum(v * (1 + py)) AS by_row, sum(v * (1 + px)) AS by_column FROM {0} GROUP BY point_id"
+_DIGEST_COLUMNS = "point_id:i n:i there:i total:v by_row:v by_column:v"
+
+
+def _digest(patch: DataFrame) -> DataFrame:
+    """A row for each patch, which tells its cells and their places apart."""
+    return patch.groupBy("point_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("v").alias("there"), F.sum("v").alias("total"),
+        F.sum(F.col("v") * (1 + F.col("py"))).alias("by_row"), F.sum(F.col("v") * (1 + F.col("px"))).alias("by_column"),
+    )
+
+
+@register(sql.query(_DIGEST_COLUMNS, _DIGEST.format("patch"), box=_BOX, patch=_PATCH.format(py="dy + 3", points="points", grid="grid_missing")))
+def square_patch_wrap_pad(spark, sf_dir):
+    return _digest(patches.square_patch(fx.points(spark, sf_dir), fx.grid_missing(spark, sf_dir), 3, S, S))
+
+
+@register(sql.query(
+    _DIGEST_COLUMNS, _DIGEST.format("(SELECT point_id, py, px, avg(v) AS v FROM patch GROUP BY ALL)"), box=_BOX,
+    timed="SELECT point_id, y, x, unnest(list_distinct([floor(i), ceil(i)])) AS t FROM (SELECT *, (point_id % 13) / 2.0 AS i FROM points)",
+    patch=_PATCH.format(py="2 - dy", points="timed", grid="grid64"),
+))
+def wind_half_step(spark, sf_dir):
+    placed = fx.points(spark, sf_dir).drop("t").withColumn("index", (F.col("point_id") % 13) / 2.0)
+    return _digest(patches.wind_patch(placed, fx.grid64(spark, sf_dir), 3, S, S, n_frames=7))
+
+
+@register(sql.query(
+    _DIGEST_COLUMNS, _DIGEST.format("patch"), box=_BOX,
+    timed="SELECT point_id, y, x, round_even((point_id % 25) / 4.0, 0) AS t FROM points", patch=_PATCH.format(py="dy + 3", points="timed", grid="grid_missing"),
+))
+def nearest_frame(spark, sf_dir):
+    placed = fx.points(spark, sf_dir).drop("t").withColumn("index", (F.col("point_id") % 25) / 4.0)
+    return _digest(patches.infrared_patch(placed, fx.grid_missing(spark, sf_dir), 3, S, S))
+
+
+@register(sql.query(
+    _DIGEST_COLUMNS, _DIGEST.format("patch"), box=_BOX,
+    placed="SELECT event_id AS point_id, 6 * obs_idx AS t, round_even((lat + 8) / 0.25, 0)::INT AS y, round_even((lon + 8) / 0.25, 0)::INT AS x FROM observations",
+    patch=_PATCH.format(py="dy + 3", points="placed", grid="grid64"),
+))
+def track_patch_join(spark, sf_dir):
+    """Patches along all tracks; observations after the last frame find nothing."""
+    o = fx.observations(spark, sf_dir)
+    first = F.lit("2022-09-01 00:00:00")
+    placed = o.select(
+        F.col("event_id").alias("point_id"), patches.time_index(F.col("iso_time"), first, 1800).alias("index"),
+        axes.coordinate_to_pixel(F.col("lat"), F.lit(-8.0), F.lit(0.25)).alias("y"), axes.coordinate_to_pixel(F.col("lon"), F.lit(-8.0), F.lit(0.25)).alias("x"),
+    )
+    return _digest(patches.infrared_patch(placed, fx.grid64(spark, sf_dir), 3, S, S))
+
+
+@register(sql.query("point_id:i", "SELECT point_id FROM points LEFT JOIN land USING (y, x) WHERE NOT coalesce(is_land, false)"))
+def land_filter(spark, sf_dir):
+    return patches.land_flag(fx.points(spark, sf_dir), fx.landmask(spark)).where("not is_land").select("point_id")
+
+
+@register(sql.query("point_id:i", "SELECT point_id FROM points WHERE y BETWEEN 12 AND 52"))
+def lat_band(spark, sf_dir):
+    low, high = (axes.clamped_row(F.lit(v), F.lit(-8.0), F.lit(0.25), F.lit(S)) for v in (-5.0, 5.0))
+    return fx.points(spark, sf_dir).where(F.col("y").between(low, high)).select("point_id")
+
+
+@register(sql.query("point_id:i other_id:i dist2:i", """SELECT a.point_id, b.point_id AS other_id, (a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS dist2 FROM points a JOIN points b
+    ON a.t = b.t AND a.point_id < b.point_id AND abs(a.y - b.y) < 2 AND abs(a.x - b.x) < 2 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 < 2.25"""))
+def pair_distance(spark, sf_dir):
+    p = fx.points(spark, sf_dir).withColumnRenamed("point_id", "id")
+    return clusters.pair_distances(p, p, 1.5).where("id < other_id").withColumnRenamed("id", "point_id").drop("t")
+
+
+@register(sql.query("point_id:i", """SELECT point_id FROM points p WHERE point_id % 97 > 0 AND NOT EXISTS
+    (SELECT 1 FROM points o WHERE o.point_id % 97 = 0 AND o.t = p.t AND (o.y - p.y) ** 2 + (o.x - p.x) ** 2 < 1.5 ** 2)"""))
+def new_locations_anti(spark, sf_dir):
+    p = fx.points(spark, sf_dir).withColumnRenamed("point_id", "id")
+    return clusters.new_locations(p.where("id % 97 > 0"), p.where("id % 97 = 0"), 1.5).select(F.col("id").alias("point_id"))
+
+
+# --- tracks ---------------------------------------------------------------------------------------------------------
+
+
+@register(sql.query("asked_season:i name:s storm_idx:i season:i", """SELECT a.season AS asked_season, a.name, s.storm_idx, s.season FROM (SELECT DISTINCT name, season FROM storms) a
+    JOIN (SELECT season, min(storm_idx) AS lo, max(storm_idx) AS hi FROM storms GROUP BY season) r USING (season) JOIN storms s ON s.name = a.name AND s.storm_idx BETWEEN lo AND hi"""))
+def storm_by_name_season(spark, sf_dir):
+    storms = fx.storms(spark, sf_dir)
+    return tracks.storms_by_name(storms, storms.select(F.lower("name").alias("name"), "season").distinct())
+
+
+@register(sql.query("season:i first_idx:i last_idx:i", "SELECT season, min(storm_idx) AS first_idx, max(storm_idx) AS last_idx FROM storms GROUP BY season"))
+def season_index_range(spark, sf_dir):
+    return tracks.season_ranges(fx.storms(spark, sf_dir))
+
+
+@register(sql.query("storm_idx:i obs_idx:i tick:i duration:i", "SELECT storm_idx, obs_idx, tick, max(tick) OVER (PARTITION BY storm_idx) + 1 AS duration FROM observations"))
+def track_ticks(spark, sf_dir):
+    ticks = tracks.half_hour_ticks(fx.observations(spark, sf_dir))
+    return ticks.select("storm_idx", "obs_idx", "tick", tracks.duration(F.col("tick")).alias("duration"))
+
+
+_NEXT = "SELECT *, lead(tick) OVER w AS tick2, lead(usa_wind) OVER w AS wind2, lead(lat) OVER w AS lat2 FROM observations WINDOW w AS (PARTITION BY storm_idx ORDER BY tick)"
+
+
+@register(sql.query(
+    "storm_idx:i tick:i usa_wind:v lat:v",
+    """SELECT storm_idx, i AS tick, CASE WHEN i = tick THEN usa_wind ELSE usa_wind + (wind2 - usa_wind) * (i - tick) / (tick2 - tick) END AS usa_wind,
+              CASE WHEN i = tick THEN lat ELSE lat + (lat2 - lat) * (i - tick) / (tick2 - tick) END AS lat
+       FROM (SELECT *, unnest(range(tick, coalesce(tick2, tick + 1))) AS i FROM nexts)""",
+    nexts=_NEXT,
+))
+def interp_linear(spark, sf_dir):
+    return tracks.interpolate_numbers(tracks.half_hour_ticks(fx.observations(spark, sf_dir)), ["usa_wind", "lat"])
+
+
+@register(sql.query("storm_idx:i tick:i nature:s", "SELECT storm_idx, unnest(range(tick, coalesce(tick2, tick + 1))) AS tick, nature FROM nexts", nexts=_NEXT))
+def interp_step(spark, sf_dir):
+    return tracks.interpolate_steps(tracks.half_hour_ticks(fx.observations(spark, sf_dir)), ["nature"])
+
+
+@register(sql.query(
+    "storm_idx:i tick:i iso_time:s",
+    """SELECT storm_idx, i AS tick, strftime(TIMESTAMP '2022-09-01' + to_minutes(30 * i::INT), '%Y-%m-%d %H:%M:%S') AS iso_time
+       FROM (SELECT storm_idx, unnest(range(6 * count(*) - 5)) AS i FROM observations GROUP BY storm_idx)""",
+))
+def interp_time(spark, sf_dir):
+    return tracks.interpolate_times(fx.observations(spark, sf_dir))
+
+
+@register(sql.query(
+    "storm_idx:i tick:i ne:w se:w sw:w nw:w",
+    "SELECT storm_idx, i AS tick, " + ", ".join(f"CASE WHEN i = tick THEN radii[{k}] ELSE radii[{k}] + (r2[{k}] - radii[{k}]) * (i - tick) / (tick2 - tick) END AS {q}" for k, q in enumerate(("ne", "se", "sw", "nw"), 1))
+    + " FROM (SELECT *, unnest(range(tick, coalesce(tick2, tick + 1))) AS i FROM (SELECT *, lead(tick) OVER w AS tick2, lead(radii) OVER w AS r2 FROM quads WINDOW w AS (PARTITION BY storm_idx ORDER BY tick)))",
+), decimals=8)
+def interp_quadrants(spark, sf_dir):
+    q = tracks.interpolate_quadrants(fx.quadrants(spark, sf_dir), ["radii"])
+    return q.select("storm_idx", "tick", *[F.get("radii", F.lit(k)).alias(n) for k, n in enumerate(("ne", "se", "sw", "nw"))])
+
+
+@register(sql.query(
+    "t:i storm_idx:i name:s y:i x:i",
+    """SELECT t, storm_idx, name, round_even((o.lat + 8) / 0.25, 0) AS y, round_even((o.lon + 8) / 0.25, 0) AS x
+       FROM (SELECT t, max(CASE WHEN hour(ts) % 3 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END) OVER (ORDER BY t) AS iso_time FROM fr) f
+       JOIN observations o USING (iso_time) JOIN storms USING (storm_idx) WHERE storm_idx >= 5""",
+    fr="SELECT DISTINCT t, TIMESTAMP '2022-09-01' + to_minutes(30 * t) AS ts FROM grid64",
+))
+def known_storm_locf(spark, sf_dir):
+    return tracks.known_storms(fx.frames(spark, sf_dir), fx.storms(spark, sf_dir), fx.observations(spark, sf_dir), first_storm=5)
+
+
+@register(sql.query(
+    "storm_idx:i obs_idx:i active:s",
+    """SELECT storm_idx, obs_idx, bool_and(recent) OVER (PARTITION BY storm_idx ORDER BY obs_idx) AS active FROM (
+         SELECT storm_idx, obs_idx, bool_or(event_id % 9 = 0) OVER (PARTITION BY storm_idx ORDER BY obs_idx ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS recent FROM observations)""",
+))
+def activity_window(spark, sf_dir):
+    o = fx.observations(spark, sf_dir).select(F.col("storm_idx").alias("system_id"), F.col("obs_idx").alias("t"), (F.col("event_id") % 9 == 0).alias("positive"))
+    return tracks.active_flags(o, 12).select(F.col("system_id").alias("storm_idx"), F.col("t").alias("obs_idx"), "active")
+
+
+@register(sql.query(
+    "line:i quadrant:i start_deg:w end_deg:w diameter_px:w x0:w y0:w x1:w y1:w",
+    """SELECT line, q AS quadrant, (q - 1) * 90.0 AS start_deg, q * 90.0 AS end_deg, 2 * r / 4.0 AS diameter_px,
+              32 + cos(radians((q - 1) * 90.0)) * b / 4.0 AS x0, 32 + sin(radians((q - 1) * 90.0)) * b / 4.0 AS y0,
+              32 + cos(radians((q - 1) * 90.0)) * r / 4.0 AS x1, 32 + sin(radians((q - 1) * 90.0)) * r / 4.0 AS y1
+       FROM (SELECT storm_idx * 100 + tick // 6 AS line, q, radii[q + 1] AS r, radii[(q + 3) % 4 + 1] AS b FROM quads, range(4) r(q))""",
+), decimals=8)
+def wind_radii_arcs(spark, sf_dir):
+    lines = fx.quadrants(spark, sf_dir).select((F.col("storm_idx") * 100 + F.col("obs_idx")).alias("line"), "radii")
+    return geometry.wind_radii_arcs(lines, "line", "radii", 4.0, S, S)
+
+
+@register(sql.query("storm_idx:i obs_idx:i name:s season:s iso_time:s lat:v lon:v usa_wind:v", "SELECT storm_idx, obs_idx, name, season::VARCHAR AS season, iso_time, lat, lon, usa_wind FROM observations JOIN storms USING (storm_idx)"))
+def track_scan_basic(spark, sf_dir):
+    return readers.read_tracks(fx.storms(spark, sf_dir), fx.observations(spark, sf_dir), "basic")
+
+
+@register(sql.query("storm_idx:i duration:i last_obs:i lat:v", "SELECT storm_idx, count(*) AS duration, max(obs_idx) AS last_obs, arg_max(lat, obs_idx) AS lat FROM observations GROUP BY storm_idx"))
+def system_position(spark, sf_dir):
+    o = fx.observations(spark, sf_dir)
+    return o.groupBy("storm_idx").agg(F.count(F.lit(1)).alias("duration"), F.max("obs_idx").alias("last_obs"), F.max_by("lat", "obs_idx").alias("lat"))
+
+
+# --- clusters and the tracker ---------------------------------------------------------------------------------------
+
+CORE_RADIUS, CORE_THRESHOLD = 10, 2000.0
+_CORES = {"g": sql.angles("grid_cores"), "dav": sql.variance("g", CORE_RADIUS, "grid_cores"), "low": "SELECT t, y, x FROM dav WHERE dav < 2000"}
+_DIAMOND = "SELECT dy, dx FROM range(-{0}, {0} + 1) a(dy), range(-{0}, {0} + 1) b(dx) WHERE abs(dy) + abs(dx) <= {0}"
+_ERODED = {"shape": _DIAMOND.format(5), "core": "SELECT t, y + dy AS y, x + dx AS x FROM low, shape GROUP BY ALL HAVING count(*) = 61"}
+_LABELS = {
+    "reach": """SELECT t, y, x, y * 64 + x AS r FROM core UNION
+        SELECT c.t, c.y, c.x, p.r FROM reach p JOIN core c ON c.t = p.t AND abs(c.y - p.y) + abs(c.x - p.x) = 1""",
+    "labelled": "SELECT t, y, x, min(r) AS label FROM reach GROUP BY ALL",
+}
+
+
+def _core_dav(spark, sf_dir) -> DataFrame:
+    return dav.dav_map(fx.grid_cores(spark, sf_dir), CORE_RADIUS, S, S, smooth=False)
+
+
+@register(sql.query("t:i y:i x:i", "SELECT * FROM low", **_CORES))
+def threshold_map(spark, sf_dir):
+    return clusters.below(_core_dav(spark, sf_dir), CORE_THRESHOLD)
+
+
+@register(sql.query("t:i y:i x:i", "SELECT * FROM core", **_CORES, **_ERODED))
+def erosion(spark, sf_dir):
+    return stencil.erode(clusters.below(_core_dav(spark, sf_dir), CORE_THRESHOLD))
+
+
+@register(sql.query(
+    "t:i y:i x:i", "SELECT DISTINCT t, y + dy AS y, x + dx AS x FROM grid64, shape WHERE v < 225 AND y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63", shape=_DIAMOND.format(4)
+))
+def dilation(spark, sf_dir):
+    grid = fx.grid64(spark, sf_dir)
+    return stencil.dilate(grid.where("v < 225").select("t", "y", "x"), grid, 4)
+
+
+@register(sql.query("t:i y:i x:i label:i", "SELECT * FROM labelled", recursive=True, **_CORES, **_ERODED, **_LABELS))
+def components(spark, sf_dir):
+    return clusters.label_components(stencil.erode(clusters.below(_core_dav(spark, sf_dir), CORE_THRESHOLD)), S)
+
+
+@register(sql.query(
+    "t:i label:i y:i x:i dav:v",
+    "SELECT t, label, b.y AS y, b.x AS x, b.dav AS dav FROM (SELECT t, label, min({'dav': dav, 'y': y, 'x': x}) AS b FROM labelled JOIN dav USING (t, y, x) GROUP BY ALL)",
+    recursive=True, **_CORES, **_ERODED, **_LABELS,
+))
+def cluster_argmin(spark, sf_dir):
+    return clusters.find_clusters(_core_dav(spark, sf_dir), S, CORE_THRESHOLD)
+
+
+@register()
+def greedy_independent(spark, sf_dir):
+    return clusters.greedy_independent(clusters.find_clusters(_core_dav(spark, sf_dir), S, CORE_THRESHOLD), 30.0)
+
+
+def core_settings() -> tracker.Settings:
+    return tracker.Settings(height=S, width=S)
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return tracker.frame_events(fx.grid_cores(spark, sf_dir), _core_dav(spark, sf_dir), fx.landmask(spark), core_settings())
+
+
+@register()
+def track_points(spark, sf_dir):
+    """The tracker on the moving cores: every point of every system."""
+    return tracker.track(_events(spark, sf_dir), core_settings())
+
+
+@register()
+def track_systems(spark, sf_dir):
+    return tracker.systems_of(tracker.track(_events(spark, sf_dir), core_settings()))
+
+
+@register()
+def merge_kill(spark, sf_dir):
+    """Points as systems, numbered within their frame; the corrected distance."""
+    p = fx.points(spark, sf_dir).withColumn("no", F.row_number().over(Window.partitionBy("t").orderBy("point_id"))).withColumn("n_positive", F.col("point_id") % 5)
+    return tracker.merge_kills(p, tracker.Settings(height=S, width=S, res_km=200.0, corrected=True))
+
+
+@register()
+def annotated_layers(spark, sf_dir):
+    """What is drawn over each frame: variances near cold cloud, systems, and known storms."""
+    grid, values = fx.grid_cores(spark, sf_dir), _core_dav(spark, sf_dir)
+    points = tracker.track(_events(spark, sf_dir), core_settings())
+    known = tracks.known_storms(fx.frames(spark, sf_dir), fx.storms(spark, sf_dir), fx.observations(spark, sf_dir), first_storm=5)
+    return tracker.annotated_layer(grid, values, points, known)
