@@ -17,7 +17,7 @@ def coordinate_to_pixel(coordinate: Column, origin: Column, step: Column) -> Col
 
 def clamped_row(latitude: Column, origin: Column, step: Column, height: Column) -> Column:
     """The row a latitude falls in, from 0 to height."""
-    return F.least(F.greatest(F.floor((latitude - origin) / step), F.lit(0)), height).cast("int")
+    return F.when(latitude.isNotNull(), F.least(F.greatest(F.floor((latitude - origin) / step), F.lit(0)), height).cast("int"))
 
 
 def frame_time_text(day: Column, time: Column) -> Column:

@@ -40,10 +40,10 @@ def disc_argmin(points: DataFrame, dav: DataFrame, radius: int, height: int, wid
     y = F.col("y") + F.col("best.dy") - cut_y
     x = F.col("x") + F.col("best.dx") - cut_x
     placed = points.join(best, "point_id", "left")
+    y = F.least(F.greatest(y, F.lit(0)), F.lit(height))
     x = F.pmod(x, F.lit(width)) if is_global else F.greatest(x, F.lit(0))
-    return placed.select(
-        *points.columns, F.coalesce(F.least(F.greatest(y, F.lit(0)), F.lit(height)), F.col("y")).alias("new_y"), F.coalesce(x, F.col("x")).alias("new_x")
-    )
+    found = F.col("best").isNotNull()  # asked for by itself: greatest and least pass over nulls
+    return placed.select(*points.columns, F.when(found, y).otherwise(F.col("y")).alias("new_y"), F.when(found, x).otherwise(F.col("x")).alias("new_x"))
 
 
 def square_patch(points: DataFrame, grid: DataFrame, size: int, height: int, width: int, flip: bool = False) -> DataFrame:

@@ -258,7 +258,8 @@ def cool_filter(spark, sf_dir):
 
 @register(sql.query(
     "point_id:i new_y:i new_x:i",
-    """SELECT point_id, coalesce(least(greatest(y + b.dy - greatest(0, 5 - y), 0), 64), y) AS new_y, coalesce(greatest(x + b.dx - greatest(0, 5 - x), 0), x) AS new_x
+    """SELECT point_id, CASE WHEN b IS NULL THEN y ELSE least(greatest(y + b.dy - greatest(0, 5 - y), 0), 64) END AS new_y,
+              CASE WHEN b IS NULL THEN x ELSE greatest(x + b.dx - greatest(0, 5 - x), 0) END AS new_x
        FROM points JOIN (SELECT p.point_id, min({'v': g.v, 'dy': dy, 'dx': dx}) FILTER (WHERE g.v IS NOT NULL) AS b FROM points p CROSS JOIN hd
             LEFT JOIN grid_missing g ON g.t = p.t AND g.y = p.y + dy AND g.x = p.x + dx GROUP BY p.point_id) USING (point_id)""",
     hd=sql.half_disc(5),

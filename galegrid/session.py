@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,12 @@ def get_spark(app: str = "galegrid", cores: str | None = None, shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir().rstrip("/")

@@ -91,7 +91,7 @@ def read_tracks(storms: DataFrame, observations: DataFrame, columns: str | list[
 def image_layer(grid: DataFrame, height: int, darkest: float = 73.0, brightest: float = 223.0) -> DataFrame:
     """Pixels as they are drawn: rows flipped, values clamped and scaled to 0 to 1, warm is dark."""
     level = (F.least(F.greatest(F.col("v"), F.lit(darkest)), F.lit(brightest)) - darkest) / (brightest - darkest)
-    return grid.select("t", (height - 1 - F.col("y")).alias("y"), "x", (1 - level).alias("level"))
+    return grid.select("t", (height - 1 - F.col("y")).alias("y"), "x", F.when(F.col("v").isNotNull(), 1 - level).alias("level"))
 
 
 def write_layers(layers: DataFrame, path: str, by: str = "t") -> None:
