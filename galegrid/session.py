@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Applications whose workers have the package already.
+_shipped: set[str] = set()
+
 
 def get_spark(app: str = "galegrid", cores: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session for tests and benches; on a cluster pass your own session instead.
@@ -36,3 +41,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to Python workers, wherever the session was started from; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
