@@ -14,6 +14,7 @@ from galegrid.llm.near_join import one_of_each
 from galegrid.llm.packing import pack
 from galegrid.llm.quality import keep_good
 from galegrid.llm.queries import VOCABULARY
+from galegrid.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,25 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs, public_tokenizers.path(VOCABULARY), with_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_stage),
-    ("exact_dedup", exact_stage),
-    ("ngram_join", near_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def shipped(stage: Stage) -> Stage:
+    """stage, on workers that can import the package."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", shipped(quality_stage)),
+    ("exact_dedup", shipped(exact_stage)),
+    ("ngram_join", shipped(near_stage)),
+    ("mixing", shipped(mixing_stage)),
+    ("packing", shipped(packing_stage)),
 ]
 
 #: SQL can express neither training, minhashing nor byte-pair merging.
