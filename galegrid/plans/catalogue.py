@@ -11,8 +11,9 @@ from ..functions import angles, axes, geometry, masks
 from ..operators import clusters, dav, patches, stencil, tracks
 from ..sources import fixtures as fx
 from ..sources import readers
+from ..sources.best_tracks import BestTracks
 from ..streaming import tracker
-from . import sql
+from . import jobs, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -446,6 +447,19 @@ def track_scan_basic(spark, sf_dir):
     return readers.read_tracks(fx.storms(spark, sf_dir), fx.observations(spark, sf_dir), "basic")
 
 
+@register(sql.query(
+    "storm_idx:i tick:i name:s season:s iso_time:s lat:v lon:v usa_wind:v",
+    """SELECT storm_idx, i AS tick, name, season::VARCHAR AS season, strftime(TIMESTAMP '2022-09-01' + to_minutes(30 * i::INT), '%Y-%m-%d %H:%M:%S') AS iso_time,
+              CASE WHEN i = tick THEN lat ELSE lat + (lat2 - lat) * (i - tick) / (tick2 - tick) END AS lat,
+              CASE WHEN i = tick THEN lon ELSE lon + (lon2 - lon) * (i - tick) / (tick2 - tick) END AS lon,
+              CASE WHEN i = tick THEN usa_wind ELSE usa_wind + (wind2 - usa_wind) * (i - tick) / (tick2 - tick) END AS usa_wind
+       FROM (SELECT *, unnest(range(tick, coalesce(tick2, tick + 1))) AS i FROM nexts) JOIN storms USING (storm_idx)""",
+    nexts=_NEXT.replace("lead(lat) OVER w AS lat2", "lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2"),
+))
+def best_tracks_half_hourly(spark, sf_dir):
+    return BestTracks(fx.storms(spark, sf_dir), fx.observations(spark, sf_dir)).read_all()
+
+
 @register(sql.query("storm_idx:i duration:i last_obs:i lat:v", "SELECT storm_idx, count(*) AS duration, max(obs_idx) AS last_obs, arg_max(lat, obs_idx) AS lat FROM observations GROUP BY storm_idx"))
 def system_position(spark, sf_dir):
     o = fx.observations(spark, sf_dir)
@@ -532,6 +546,14 @@ def merge_kill(spark, sf_dir):
     return tracker.merge_kills(p, tracker.Settings(height=S, width=S, res_km=200.0, corrected=True))
 
 
+@register()
+def find_systems(spark, sf_dir):
+    """The whole job on the moving cores with holes."""
+    holes = fx.grid_cores(spark, sf_dir).withColumn("v", F.when((7 * F.col("t") + 31 * F.col("y") + 17 * F.col("x")) % 11 != 0, F.col("v")))
+    job = jobs.Job(height=S, width=S, in_km=10.0, radius_km=100.0)
+    return jobs.find_systems(holes, fx.landmask(spark), job)
+
+
 @register()
 def annotated_layers(spark, sf_dir):
     """What is drawn over each frame: variances near cold cloud, systems, and known storms."""

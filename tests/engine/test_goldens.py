@@ -216,6 +216,39 @@ def test_storms_are_found_by_name_and_season(spark):
         tracks.find_storm(storms, "ana", 2000)
 
 
+def test_best_track_reader(spark, sf_dir):
+    from galegrid.sources import fixtures as fx
+    from galegrid.sources.best_tracks import BestTracks
+
+    reader = BestTracks(fx.storms(spark, sf_dir), fx.observations(spark, sf_dir))
+    assert repr(reader) == "BestTracks of 150 storms"
+    assert reader.read(3).columns == ["storm_idx", "tick", "name", "season", "iso_time", "lat", "lon", "usa_wind"]
+    plain = reader.with_settings(interpolating=False, columns="lat")
+    assert plain.read((3,)).columns == ["storm_idx", "obs_idx", "lat"] and reader.interpolating
+    name = fx.storms(spark, sf_dir).where("storm_idx = 3").first()
+    both = {r.storm_idx for r in plain.read(name["name"].lower(), name["season"]).select("storm_idx").distinct().collect()}
+    assert 3 in both
+    for bad, error in (((1000,), IndexError), (("nobody", 2003), KeyError), ((1.5,), ValueError)):
+        with pytest.raises(error):
+            reader.read(*bad)
+    with pytest.raises(ValueError):
+        reader.with_settings(interpolating="yes")
+
+
+def test_the_whole_job_crops_and_resamples(spark):
+    from galegrid.plans import jobs
+
+    y, x = np.mgrid[0:50, 0:60]
+    images = [290 - 70 * np.exp(-((y - 22 - i) ** 2 + (x - 30) ** 2) / 128) for i in range(3)]
+    land = spark.createDataFrame([], "lat_idx int, lon_idx int, is_land boolean")
+    job = jobs.Job(height=50, width=60, in_km=5.0, out_km=10.0, radius_km=60.0, rows=(0, 48), columns=(2, 58))
+    points = jobs.find_systems(frame_of(spark, images), land, job, erosion=1, cloud_km=50.0, search_km=50.0).orderBy("t").collect()
+    assert [(p.t, p.y, p.x) for p in points if p.system_id == points[0].system_id]
+    assert len(points) >= 2
+    with pytest.raises(ValueError):
+        jobs.Job(height=5, width=5, in_km="4")
+
+
 def test_guards(spark):
     with pytest.raises(KeyError):
         readers.track_columns(["nope"])
