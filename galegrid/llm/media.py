@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,45 +37,57 @@ def code_widths(n: int, bits: int, first: int = 0) -> np.ndarray:
     return np.clip(np.floor(np.log2(known)).astype(np.int64) + 1, bits + 1, MAX_BITS)
 
 
+@lru_cache(maxsize=8)
+def first_widths(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths and bit offsets of the first codes after a clear code, more than fill the table."""
+    widths = code_widths((1 << MAX_BITS) + 100, bits)
+    return widths, np.cumsum(widths) - widths
+
+
+def pack_codes(runs: list[list[int]], bits: int) -> bytes:
+    """Bytes of a clear code, the runs, which each end with a clear or the end code, least bits first."""
+    known = first_widths(bits)[0]
+    widths = np.concatenate([[bits + 1], *(known[: len(r)] for r in runs)])
+    codes = np.array([1 << bits, *chain.from_iterable(runs)], dtype=np.int64)
+    offsets = np.cumsum(widths) - widths
+    shifted, byte = codes << (offsets & 7), offsets >> 3
+    n = int(offsets[-1] + widths[-1] + 7) >> 3
+    # codes share no bits, so sums of their bytes are the bytes
+    total = sum(np.bincount(byte + k, weights=(shifted >> 8 * k) & 255, minlength=n + 3) for k in range(3))
+    return total[:n].astype(np.uint8).tobytes()
+
+
 def lzw_encode(samples: bytes, bits: int = 8) -> bytes:
-    """Greedy codes from a table of (prefix code, sample); a clear code when the table is full."""
+    """Greedy codes from a table of (prefix code, sample); a clear code when the table is full. Codes are kept times 256, so that
+    a code and a sample make a key by one or."""
     clear, end = 1 << bits, (1 << bits) + 1
-    codes, widths, start = [clear], [np.array([bits + 1])], 1
-    table: dict[int, int] = {}
-    prefix, free = -1, end + 1
-
-    def close() -> None:
-        nonlocal start
-        widths.append(code_widths(len(codes) - start, bits))
-        start = len(codes)
-
-    for sample in samples:
-        if prefix < 0:
-            prefix = sample
-            continue
-        key = prefix << 8 | sample
-        code = table.get(key)
-        if code is not None:
+    full = 1 << MAX_BITS + 8
+    run: list[int] = []
+    runs, table = [run], {}
+    append, get, free = run.append, table.get, end + 1 << 8
+    prefix = samples[0] << 8 if samples else 0
+    for sample in samples[1:]:
+        key = prefix | sample
+        code = get(key)
+        if code:
             prefix = code
             continue
-        codes.append(prefix)
-        prefix = sample
-        if free < 1 << MAX_BITS:
+        append(prefix)
+        prefix = sample << 8
+        if free < full:
             table[key] = free
-            free += 1
+            free += 256
         else:
-            codes.append(clear)
-            close()
+            append(clear << 8)
+            run = []
+            runs.append(run)
+            append = run.append
             table.clear()
-            free = end + 1
-    if prefix >= 0:
-        codes.append(prefix)
-    codes.append(end)
-    close()
-    values, width = np.array(codes, dtype=np.int64), np.concatenate(widths)
-    shifts = np.arange(MAX_BITS)
-    flat = ((values[:, None] >> shifts) & 1)[shifts < width[:, None]]
-    return np.packbits(flat.astype(np.uint8), bitorder="little").tobytes()
+            free = end + 1 << 8
+    if samples:
+        append(prefix)
+    append(end << 8)
+    return pack_codes([[code >> 8 for code in r] for r in runs], bits)
 
 
 def _expand(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -83,52 +97,56 @@ def _expand(codes: np.ndarray, bits: int) -> np.ndarray:
     code is a literal or a copy of what begins where code k began, and both lengths and samples follow by pointer
     doubling, without a table and in as many steps as the logarithm of the longest chain.
     """
-    parent = np.where(codes >= (1 << bits) + 2, codes - (1 << bits) - 2, -1)
-    if (parent >= np.arange(len(codes))).any():
+    codes = codes.astype(np.int32)
+    places = np.arange(len(codes), dtype=np.int32)
+    parent = codes - ((1 << bits) + 2)
+    copied = parent >= 0
+    if (parent >= places).any():
         raise ValueError("a code that isn't in the table yet")
-    length, p = np.where(parent >= 0, 1, 0), parent.copy()
-    while (live := p >= 0).any():
-        length = length + np.where(live, length[p], 0)
-        p = np.where(live, p[p], -1)
-    length += 1
-    begin = np.cumsum(length) - length
-    at = np.repeat(np.arange(len(codes), dtype=np.int32), length)
-    place = np.arange(len(at), dtype=np.int32)
-    source = np.where(parent[at] >= 0, begin[parent[at]].astype(np.int32) + place - begin[at].astype(np.int32), place)
+    # a literal points to itself and adds nothing
+    up, depth = np.where(copied, parent, places), copied.astype(np.int32)
+    while (more := depth[up]).any():
+        depth, up = depth + more, up[up]
+    length = depth + 1
+    begin = np.cumsum(length, dtype=np.int32) - length
+    back = np.where(copied, begin[np.maximum(parent, 0)] - begin, 0)
+    at = np.repeat(places, length)
+    source = np.arange(len(at), dtype=np.int32) + back[at]
     while True:
         further = source[source]
         if np.array_equal(further, source):
-            return codes[at[source]].astype(np.uint8)
+            return codes.astype(np.uint8)[at[source]]
         source = further
 
 
 def lzw_decode(data: bytes, bits: int) -> bytes:
     """Samples of a code stream; it may end without its end code."""
     clear, end = 1 << bits, (1 << bits) + 1
-    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int32)
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     total, bit, out = len(data) * 8, 0, []
     while bit < total:
-        n, parts = 4200, []
-        done = 0
+        parts, done = [], 0
+        widths, offsets = first_widths(bits)
         while True:  # codes up to the next clear or end code
-            widths = code_widths(n, bits, done)
-            offsets = bit + np.cumsum(widths) - widths
-            fits = offsets + widths <= total
-            offsets, widths = offsets[fits], widths[fits]
-            byte = offsets >> 3
-            codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (offsets & 7)) & ((1 << widths) - 1)
-            stops = np.flatnonzero((codes == clear) | (codes == end))
-            if len(stops) or not fits.all():
+            offsets = bit + offsets
+            fits = int(np.searchsorted(offsets + widths, total, side="right"))
+            part, used = offsets[:fits], widths[:fits]
+            codes = words[part >> 3] >> (part & 7) & (1 << used) - 1
+            stops = np.flatnonzero(codes >> 1 == clear >> 1)
+            if len(stops) or fits < len(offsets):
                 break
             parts.append(codes)
-            bit, done, n = int(offsets[-1] + widths[-1]), done + len(codes), 2 * n
+            bit, done = int(part[-1] + used[-1]), done + len(codes)
+            widths = code_widths(2 * len(codes), bits, done)
+            offsets = np.cumsum(widths) - widths
         stop = int(stops[0]) if len(stops) else len(codes)
         segment = np.concatenate([*parts, codes[:stop]])
         if len(segment):
             out.append(_expand(segment, bits))
         if not len(stops) or codes[stop] == end:
             break
-        bit = int(offsets[stop] + widths[stop])
+        bit = int(part[stop] + used[stop])
     return b"".join(x.tobytes() for x in out)
 
 
@@ -153,7 +171,7 @@ def encode_gif(payload: bytes) -> bytes:
 
 @dataclass
 class Frame:
-    """A composed frame. plane: the first colour channel of the frame's own rectangle; rgb: of the whole canvas."""
+    """A composed frame. plane: the first colour channel of the frame's own rectangle; rgb: the whole canvas, if asked for."""
 
     no: int
     delay_ms: int
@@ -161,11 +179,11 @@ class Frame:
     width: int
     height: int
     plane: bytes
-    rgb: bytes
+    rgb: bytes | None
     histogram: list[int]
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
+def decode_gif(data: bytes, with_rgb: bool = True) -> Iterator[Frame]:
     """Frames in order: codes decoded, palette applied, composed by the disposal and transparency rules.
 
     Disposal 2 clears a frame's rectangle after it was shown, 3 restores what was there before, others leave it. The
@@ -217,14 +235,22 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         samples, given = samples[:h, :w], given[:h, :w]
         if clear is not None:
             given = given & (samples != clear)
-        if palette is None or (given & (samples >= len(palette))).any():
+        everywhere = bool(given.all())
+        if palette is None or (samples.size and int(samples.max() if everywhere else np.where(given, samples, 0).max()) >= len(palette)):
             raise ValueError("a colour that isn't in the palette")
-        before = canvas[y : y + h, x : x + w].copy()
         area = canvas[y : y + h, x : x + w]
-        area[given, :3], area[given, 3] = palette[samples[given]], 255
-        drawn = canvas[canvas[..., 3] > 0][:, :3] >> 5
-        counts = [int(n) for c in range(3) for n in np.bincount(drawn[:, c], minlength=HISTOGRAM_BINS)]
-        yield Frame(no, delay * 10, disposal, w, h, area[..., 0].tobytes(), canvas[..., :3].tobytes(), counts)
+        before = area.copy() if disposal == 3 else None
+        if everywhere:
+            area[..., :3], area[..., 3] = palette[samples], 255
+        else:
+            area[given, :3], area[given, 3] = palette[samples[given]], 255
+        if everywhere and (h, w) == (height, width):  # the canvas is this frame: count its colours' numbers
+            times, levels = np.bincount(samples.ravel(), minlength=len(palette)), palette >> 5
+            counts = [int(n) for c in range(3) for n in np.bincount(levels[:, c], weights=times, minlength=HISTOGRAM_BINS)]
+        else:
+            drawn = canvas[canvas[..., 3] > 0][:, :3] >> 5
+            counts = [int(n) for c in range(3) for n in np.bincount(drawn[:, c], minlength=HISTOGRAM_BINS)]
+        yield Frame(no, delay * 10, disposal, w, h, area[..., 0].tobytes(), canvas[..., :3].tobytes() if with_rgb else None, counts)
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
@@ -243,7 +269,7 @@ def decode_media(media: DataFrame, column: str = "media", with_rgb: bool = True)
     @F.pandas_udf(FRAME_TYPE)
     def frames(files: pd.Series) -> pd.Series:
         def of(x: bytes | None) -> list[dict]:
-            return [vars(f) | ({} if with_rgb else {"rgb": None}) for f in decode_gif(bytes(x))] if x else []
+            return [vars(f) for f in decode_gif(bytes(x), with_rgb)] if x else []
 
         return pd.Series([of(x) for x in files])
 
