@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
 from ..functions.angles import coarse_angle, fold_angle, gradient_angle, wrap_angle
-from . import stencil
+from . import stencil, tiles
 
 #: Rows that the offset join may write before the tiled form is taken.
 JOIN_ROWS = 50_000_000
@@ -36,27 +35,15 @@ def disc_variance(angles: DataFrame, centres: DataFrame, radius: int) -> DataFra
     return centres.select("t", "y", "x").join(met.groupBy("t", "y", "x").agg(F.var_samp("d").alias("dav")), ["t", "y", "x"], "left")
 
 
-def tiled_variance(angles: DataFrame, radius: int, height: int, width: int, tile: int = 64) -> DataFrame:
-    """disc_variance of all cells, from tiles with a halo of radius cells: rows written grow with the halo, not with the disc. A
-    tile is a bounded array; the sums shift it by each offset of the disc."""
+def tiled_variance(angles: DataFrame, radius: int, height: int, width: int, tile: int = tiles.TILE) -> DataFrame:
+    """disc_variance of all cells, from tiles: the sums shift a tile by each offset of the disc."""
     offsets = [(dy, dx) for dy in range(-radius, radius) for dx in range(-radius, radius) if dy * dy + dx * dx < radius * radius]
     rays = [np.degrees(np.arctan2(-dy, dx)) % 360 if (dy, dx) != (0, 0) else 0.0 for dy, dx in offsets]
 
-    def reach(c: str, n: int):
-        low, high = F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile)
-        return F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit((n - 1) // tile))))
-
-    haloed = angles.select("t", "y", "x", "g", reach("y", height).alias("ty")).select("*", reach("x", width).alias("tx"))
-
-    def one(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        t, ty, tx = key
-        top, left = int(ty) * tile, int(tx) * tile
-        h, w = min(tile, height - top), min(tile, width - left)
-        side = np.full((h + 2 * radius, w + 2 * radius), np.nan)
-        side[cells["y"].to_numpy() - top + radius, cells["x"].to_numpy() - left + radius] = cells["g"].to_numpy(dtype=float)
-        n, s, q = np.zeros((h, w)), np.zeros((h, w)), np.zeros((h, w))
-        for (dy, dx), ray in zip(offsets, rays, strict=True):
-            d = side[radius + dy : radius + dy + h, radius + dx : radius + dx + w] - ray
+    def variance(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        n, s, q = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        for window, ray in zip(tiles.windows(shape, radius, offsets), rays, strict=True):
+            d = arrays[0][window] - ray
             d = np.where(d < -270, d + 360, np.where(d < -90, -d - 180, np.where(d > 270, d - 360, np.where(d > 90, 180 - d, d))))
             there = ~np.isnan(d)
             d = np.where(there, d, 0.0)
@@ -64,12 +51,9 @@ def tiled_variance(angles: DataFrame, radius: int, height: int, width: int, tile
             s += d
             q += d * d
         with np.errstate(invalid="ignore", divide="ignore"):
-            dav = np.where(n > 1, (q - s * s / n) / (n - 1), np.nan)
-        y, x = np.mgrid[top : top + h, left : left + w]
-        out = pd.DataFrame({"t": int(t), "y": y.ravel(), "x": x.ravel(), "dav": dav.ravel()})
-        return out.astype({"dav": object}).where(out.notna(), None)
+            return [np.where(n > 1, (q - s * s / n) / (n - 1), np.nan)]
 
-    return haloed.groupBy("t", "ty", "tx").applyInPandas(one, "t int, y int, x int, dav double")
+    return tiles.apply_tiles(angles, ["g"], radius, height, width, variance, "dav double", tile)
 
 
 def dav_map(grid: DataFrame, radius: int, height: int, width: int, skip: DataFrame | None = None, smooth: bool = True, cells: int | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
+from . import tiles
 
 
 def disc_cells(points: DataFrame, grid: DataFrame, radius: int, height: int, width: int, is_global: bool = False) -> DataFrame:
@@ -46,6 +48,47 @@ def disc_argmin(points: DataFrame, dav: DataFrame, radius: int, height: int, wid
     return placed.select(*points.columns, F.when(found, y).otherwise(F.col("y")).alias("new_y"), F.when(found, x).otherwise(F.col("x")).alias("new_x"))
 
 
+def _half_disc(radius: int) -> list[tuple[int, int]]:
+    """Offsets of half_disc in row-major order."""
+    return [(dy, dx) for dy in range(-radius, radius) for dx in range(-radius, radius) if (dy + 0.5) ** 2 + (dx + 0.5) ** 2 <= radius * radius]
+
+
+def all_moves(dav: DataFrame, radius: int, height: int, width: int, is_global: bool = False) -> DataFrame:
+    """(t, y, x, new_y, new_x): disc_argmin of every cell, from tiles."""
+    offsets = _half_disc(radius)
+
+    def least(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        y, x = np.mgrid[top : top + shape[0], left : left + shape[1]]
+        best, to_y, to_x = np.full(shape, np.inf), y.copy(), x.copy()
+        cut_y = np.maximum(0, radius - y)
+        cut_x = 0 if is_global else np.maximum(0, radius - x)
+        for (dy, dx), window in zip(offsets, tiles.windows(shape, radius, offsets), strict=True):
+            better = arrays[0][window] < best  # strictly, so the first in row-major order stays among equals; missing is never less
+            best = np.where(better, arrays[0][window], best)
+            to_y, to_x = np.where(better, y + dy - cut_y, to_y), np.where(better, x + dx - cut_x, to_x)
+        some = np.isfinite(best)
+        to_x = to_x % width if is_global else np.where(some, np.maximum(to_x, 0), to_x)
+        return [np.where(some, np.clip(to_y, 0, height), to_y), to_x]
+
+    return tiles.apply_tiles(dav, ["dav"], radius, height, width, least, "new_y int, new_x int", wrap=is_global)
+
+
+def all_means(grid: DataFrame, radius: int, height: int, width: int, is_global: bool = False) -> DataFrame:
+    """(t, y, x, mean_v): disc_mean of every cell, from tiles."""
+    offsets = _half_disc(radius)
+
+    def mean(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        n, s = np.zeros(shape), np.zeros(shape)
+        for window in tiles.windows(shape, radius, offsets):
+            there = ~np.isnan(arrays[0][window])
+            n += there
+            s += np.where(there, arrays[0][window], 0.0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return [np.where(n > 0, s / n, np.nan)]
+
+    return tiles.apply_tiles(grid, ["v"], radius, height, width, mean, "mean_v double", wrap=is_global)
+
+
 def square_patch(points: DataFrame, grid: DataFrame, size: int, height: int, width: int, flip: bool = False) -> DataFrame:
     """(point_id, py, px, v): the box of 2 * size cells about each point. Columns always wrap; rows beyond the grid are 0. flip: rows
     from the last."""

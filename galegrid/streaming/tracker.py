@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clusters, patches
+from ..session import checkpoint_dir
 
 POINT_SCHEMA = "domain int, system_id string, t int, y int, x int, cdav double, positive boolean, active boolean"
 
@@ -130,27 +131,34 @@ def step(systems: list[System], t: int, frame: Frame, s: Settings) -> list[dict]
 
 
 def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings) -> DataFrame:
-    """(domain, t, kind, y, x, to_y, to_x, dav, mean_v, is_land, no): what each frame says of places. kind: move or birth.
+    """(domain, t, kind, y, x, to_y, to_x, dav, mean_v, is_land, no): what each frame says of places; kind: birth, move (from a place a
+    system can stand on, to the next), or cell (variance and disc mean of a place a system can come to).
 
-    Moves are worked out only for cells that a system can reach: those within search of a place it can stand on, starting from the clusters.
-    Simplest that bounds them: all cells within a search disc of a cell under the threshold, and the clusters themselves.
+    A system stands where the frame before had a cluster or where that frame's moves lead (its local minima), or it waits where it moved
+    out. So the fold gets these places alone, some thousand a frame, though minima and means are worked out for all cells, by tiles.
     """
+    checkpoint_dir(dav.sparkSession)
+    dav = dav.checkpoint()  # read four times below
     found = clusters.find_clusters(dav, s.width, s.low_dav, s.erosion)
     births = clusters.greedy_independent(found, s.apart).withColumn("no", F.col("label"))
-    places = dav.select("t", "y", "x").withColumn("point_id", (F.col("t").cast("long") * s.height + F.col("y")) * s.width + F.col("x"))
-    moves = patches.disc_argmin(places, dav, s.search, s.height, s.width, s.is_global)
-    means = patches.disc_mean(places, temperature, s.cloud, s.height, s.width, s.is_global).select("t", "y", "x", "mean_v")
-    at = means.join(dav.select("t", "y", "x", "dav"), ["t", "y", "x"])
-    moved = moves.select("t", "y", "x", F.col("new_y").alias("to_y"), F.col("new_x").alias("to_x")).join(at, ["t", "y", "x"])
-    born = patches.land_flag(births.join(means, ["t", "y", "x"]), land)
+    moves = patches.all_moves(dav, s.search, s.height, s.width, s.is_global).select("t", "y", "x", F.col("new_y").alias("to_y"), F.col("new_x").alias("to_x")).checkpoint()
+    means = patches.all_means(temperature, s.cloud, s.height, s.width, s.is_global)
+    targets = moves.select("t", F.col("to_y").alias("y"), F.col("to_x").alias("x")).distinct()
+    stood = targets.unionByName(births.select("t", "y", "x")).withColumn("t", F.col("t") + 1).distinct()
+    moved = stood.join(moves, ["t", "y", "x"])
+    out = F.col("to_y").isin(0, s.height) | (F.lit(not s.is_global) & F.col("to_x").isin(0, s.width))
+    waits = moved.where(out).groupBy("y", "x").agg(F.min("t").alias("since"))
+    moved = moved.unionByName(moves.join(waits, ["y", "x"]).where("t > since").drop("since")).distinct()
+    cells = targets.join(dav.select("t", "y", "x", "dav"), ["t", "y", "x"]).join(means, ["t", "y", "x"], "left")
+    born = patches.land_flag(births.join(means, ["t", "y", "x"], "left"), land)
     none = F.lit(None)
-    return moved.select(
-        F.lit(0).alias("domain"), "t", F.lit("move").alias("kind"), "y", "x", "to_y", "to_x", "dav", "mean_v", none.cast("boolean").alias("is_land"), none.cast("long").alias("no")
-    ).unionByName(
-        born.select(
-            F.lit(0).alias("domain"), "t", F.lit("birth").alias("kind"), "y", "x", none.cast("int").alias("to_y"), none.cast("int").alias("to_x"), "dav", "mean_v", "is_land", "no"
-        )
-    )
+
+    def event(kind: str, df: DataFrame) -> DataFrame:
+        kinds = {"to_y": "int", "to_x": "int", "dav": "double", "mean_v": "double", "is_land": "boolean", "no": "long"}
+        there = {c: F.col(c) if c in df.columns else none for c in kinds}
+        return df.select(F.lit(0).alias("domain"), "t", F.lit(kind).alias("kind"), "y", "x", *[there[c].cast(k).alias(c) for c, k in kinds.items()])
+
+    return event("move", moved).unionByName(event("cell", cells)).unionByName(event("birth", born))
 
 
 def read_frame(rows: pd.DataFrame) -> Frame:
@@ -160,6 +168,7 @@ def read_frame(rows: pd.DataFrame) -> Frame:
     frame = Frame()
     for r in rows[rows["kind"] == "move"].itertuples():
         frame.moves[r.y, r.x] = (int(r.to_y), int(r.to_x))
+    for r in rows[rows["kind"] == "cell"].itertuples():
         frame.cells[r.y, r.x] = (number(r.dav), number(r.mean_v))
     for r in rows[rows["kind"] == "birth"].sort_values("no").itertuples():
         frame.births.append((int(r.y), int(r.x), float(r.dav), bool(r.is_land), number(r.mean_v)))
@@ -174,16 +183,36 @@ def fold(systems: list[System], rows: pd.DataFrame, s: Settings, first: int) ->
     return points
 
 
+def _points(domain: int, points: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(points, columns=["system_id", "t", "y", "x", "cdav", "positive", "active"])
+    out.insert(0, "domain", domain)
+    return out
+
+
 def track(events: DataFrame, s: Settings, first: int = 1) -> DataFrame:
-    """Track points of all systems, POINT_SCHEMA, folded over the frames of each domain from first on. active: after that frame."""
+    """Track points of all systems, POINT_SCHEMA, folded over the frames of each domain from first on. active: after that frame.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        points = fold([], rows, s, first)
-        out = pd.DataFrame(points, columns=["system_id", "t", "y", "x", "cdav", "positive", "active"])
-        out.insert(0, "domain", int(rows["domain"].iloc[0]))
-        return out
+    A domain's events pass through one task in the order of frames, a batch at a time; what it holds is its systems and one frame.
+    """
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        systems: dict[int, list[System]] = {}
+        waiting: list[pd.DataFrame] = []
+
+        def run(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for domain, part in rows.groupby("domain", sort=False):
+                yield _points(int(domain), fold(systems.setdefault(int(domain), []), part, s, first))
+
+        for batch in batches:
+            rows = pd.concat([*waiting, batch]) if waiting else batch
+            last = (rows["domain"] == rows["domain"].iloc[-1]) & (rows["t"] == rows["t"].iloc[-1]) if len(rows) else []
+            waiting = [rows[last]] if len(rows) else []
+            if len(rows):
+                yield from run(rows[~last])
+        if waiting:
+            yield from run(waiting[0])
 
-    return events.groupBy("domain").applyInPandas(one, POINT_SCHEMA)
+    return events.repartition("domain").sortWithinPartitions("domain", "t").mapInPandas(one, POINT_SCHEMA)
 
 
 def track_stream(events: DataFrame, s: Settings, first: int = 1) -> DataFrame:
@@ -195,9 +224,7 @@ def track_stream(events: DataFrame, s: Settings, first: int = 1) -> DataFrame:
         systems = [System(*values) for values in zip(*state.get, strict=True)] if state.exists else []
         points = fold(systems, pd.concat(list(batches)), s, first)
         state.update(tuple([asdict(x)[f] for x in systems] for f in fields))
-        out = pd.DataFrame(points, columns=["system_id", "t", "y", "x", "cdav", "positive", "active"])
-        out.insert(0, "domain", int(key[0]))
-        yield out
+        yield _points(int(key[0]), points)
 
     return events.groupBy("domain").applyInPandasWithState(one, POINT_SCHEMA, state_schema, "append", "NoTimeout")
 

@@ -191,6 +191,21 @@ def test_argmin_ties_missing_and_cut_borders(spark):
     assert found == {1: (3, 3), 2: (5, 5), 3: (1, 3)}
 
 
+@pytest.mark.parametrize("is_global", [False, True])
+def test_tiles_give_what_joins_give(spark, is_global):
+    image = RNG.normal(250, 10, (70, 75))
+    image[RNG.random(image.shape) < 0.2] = np.nan
+    image[:20, :20] = np.nan
+    grid = frame_of(spark, [image])
+    places = grid.select("t", "y", "x").withColumn("point_id", F.col("y") * 75 + F.col("x"))
+    values = grid.withColumnRenamed("v", "dav")
+    joined = {(r.y, r.x): (r.new_y, r.new_x) for r in patches.disc_argmin(places, values, 4, 70, 75, is_global).collect()}
+    assert {(r.y, r.x): (r.new_y, r.new_x) for r in patches.all_moves(values, 4, 70, 75, is_global).collect()} == joined
+    means = {(r.y, r.x): r.mean_v for r in patches.disc_mean(places, grid, 4, 70, 75, is_global).collect()}
+    for r in patches.all_means(grid, 4, 70, 75, is_global).collect():
+        assert r.mean_v == pytest.approx(means[r.y, r.x]) if means[r.y, r.x] is not None else r.mean_v is None
+
+
 def observations(spark, rows):
     return spark.createDataFrame(rows, "storm_idx int, obs_idx int, tick int, v double, iso_time string")
 
