@@ -20,6 +20,8 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}"
+#: Terms, or documents with one, that may be named in a broadcast: some 24 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -88,12 +90,11 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Spans of the terms wherever they stand as words, in the form of match_spans, with removed."""
     words = docs.select("doc_id", F.xxhash64(text_of()).alias("t_rid"), text_of().alias("text"))
     holds = words.select("doc_id", "t_rid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    small = terms.limit(100_001).count() <= 100_000
-    few = F.broadcast(terms) if small else terms
+    few = F.broadcast(terms) if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
     wanted = kept(holds.join(few, "term", "left_semi").select(F.col("doc_id").alias("w_doc"), F.col("t_rid").alias("w_rid")).distinct())
+    named = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     match = words.doc_id.eqNullSafe(F.col("w_doc")) & (F.col("t_rid") == F.col("w_rid"))
-    spans = match_spans(words.join(wanted, match, "left_semi").select("doc_id", "text"), {"term": TERM})
-    return spans.withColumn("term", F.lower("found")).join(few, "term").drop("term", "share")
+    return match_spans(words.join(named, match, "left_semi").select("doc_id", "text"), {"term": TERM}, terms=few.drop("share"))
 
 
 def find_personal_data(docs: DataFrame, s: Disclosure = Disclosure()) -> DataFrame:
