@@ -179,7 +179,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grid: int = 8,
     the few pieces of a sequence closes the gaps between them.
     """
     spark = docs.sparkSession
-    pieces = kept(cut_documents(docs, vocabulary, capacity, with_ids)).withColumns({
+    stored = kept(cut_documents(docs, vocabulary, capacity, with_ids).withColumn("piece", F.monotonically_increasing_id()))
+    pieces = stored.drop("ids").withColumns({
         "units": F.ceil(F.col("length") / grid),
         "bucket": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(2 * partitions(spark))).cast("int"),
     })
@@ -202,8 +203,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grid: int = 8,
         .withColumn("slot", F.col("s_offset") + F.col("nth") % F.col("copies") * F.col("units"))
     )
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-        (F.sum("length").over(ahead) - F.col("length")).alias("offset"),
-        *(["ids"] if with_ids else []),
-    )
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    found = placed.withColumn("offset", F.sum("length").over(ahead) - F.col("length"))
+    # ids are shuffled once, when the places are known
+    return found.join(stored.select("piece", "ids"), "piece").select(*columns, "ids") if with_ids else found.select(*columns)
