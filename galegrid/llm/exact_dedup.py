@@ -117,8 +117,9 @@ def _wrong_hits(rows: DataFrame, groups: DataFrame, digest: Callable[[Column], C
     # equal rows of the row that stays are the same text: one of each digest and hash is enough
     # written first, so that the join reads both sides from plain exchanges and can split a large group
     stays = kept(hits.where("is_kept").groupBy("digest").agg(F.min("norm").alias("kept_norm")))
-    differ = kept(hits.where(~F.col("is_kept")).join(stays, "digest").where(F.col("norm") != F.col("kept_norm")).select("digest").distinct())
-    return None if differ.isEmpty() else differ
+    # distinct comes later: in the same stage it would hold the join's large groups together
+    differ = kept(hits.where(~F.col("is_kept")).join(stays, "digest").where(F.col("norm") != F.col("kept_norm")).select("digest"))
+    return None if differ.isEmpty() else kept(differ.distinct())
 
 
 def _regrouped(rows: DataFrame, log: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
