@@ -261,6 +261,15 @@ def decode_gif(data: bytes, with_rgb: bool = True) -> Iterator[Frame]:
 # --- columns --------------------------------------------------------------------------------------------------------
 
 
+def _frames(file: bytes | None, with_rgb: bool) -> list[dict]:
+    return [vars(f) for f in decode_gif(bytes(file), with_rgb)] if file else []
+
+
+def _stored(text: str) -> bytes:
+    raw = text.encode("utf-8")
+    return encode_gif(raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b" "))
+
+
 def decode_media(media: DataFrame, column: str = "media", with_rgb: bool = True) -> DataFrame:
     """media with frames, an array of its GIFs' composed frames. Null or empty bytes: no frames. Other columns stay."""
     if "frames" in media.columns:
@@ -268,34 +277,26 @@ def decode_media(media: DataFrame, column: str = "media", with_rgb: bool = True)
 
     @F.pandas_udf(FRAME_TYPE)
     def frames(files: pd.Series) -> pd.Series:
-        def of(x: bytes | None) -> list[dict]:
-            return [vars(f) for f in decode_gif(bytes(x), with_rgb)] if x else []
-
-        return pd.Series([of(x) for x in files])
+        return pd.Series([_frames(x, with_rgb) for x in files])
 
     return media.withColumn("frames", frames(column))
 
 
-def texts_to_media(docs: DataFrame) -> DataFrame:
-    """Stores each text as a GIF: (doc_id, n_bytes, media), a row for each row of docs; no row is shuffled.
+def media_columns(docs: DataFrame, with_rgb: bool = False) -> DataFrame:
+    """Stores each text as a GIF and reads it back: (doc_id, n_bytes, media, frames), a row for each row of docs; no row is
+    shuffled.
 
     The payload is the text's UTF-8 bytes and spaces up to a positive multiple of WIDTH; each byte is the index of a grey.
-    Null text: empty, so one row of spaces. Null doc_id stays null. Extra columns are left out. Texts of any length are
-    coded a frame at a time.
+    frames are decoded from the stored bytes. Null text: empty, so one row of spaces. Null doc_id stays null. Extra columns are
+    left out. Texts of any length are coded a frame at a time.
     """
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        def of(text: str) -> bytes:
-            raw = text.encode("utf-8")
-            return encode_gif(raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b" "))
-
-        return pd.Series([of(t) for t in texts])
+    # one function for both: two would code each text twice, once for each column that needs the file
+    @F.pandas_udf(f"media binary, frames {FRAME_TYPE}")
+    def store(texts: pd.Series) -> pd.DataFrame:
+        files = [_stored(t) for t in texts]
+        return pd.DataFrame({"media": files, "frames": [_frames(x, with_rgb) for x in files]})
 
     rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), encode("text").alias("media"))
-
-
-def media_columns(docs: DataFrame, with_rgb: bool = False) -> DataFrame:
-    """Texts stored as GIFs and read back: (doc_id, n_bytes, media, frames)."""
-    return decode_media(texts_to_media(docs), with_rgb=with_rgb)
+    stored = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), store("text").alias("stored"))
+    return stored.select("doc_id", "n_bytes", "stored.media", "stored.frames")
