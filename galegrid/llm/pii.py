@@ -70,16 +70,24 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> Data
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(TERM), F.lit(0)))).alias("term"),
     )
     n_e = entities.select(F.xxhash64("kind", "found").alias("entity"), "doc_id", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n_near = near.select("term", "doc_id", "rid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    total = docs.count()
+    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
+
+    def share(n_t: Column) -> Column:
+        pmi = content + F.log2(F.least(F.col("n_te"), n_t) / n_t)
+        return F.when(content > 0, pmi / F.when(content > 0, content)).otherwise(0.0)
+
+    # a term stands in n_near documents at least, so its share is no more than that number gives: common words go here, and
+    # the pass over all words looks for few terms
     pairs = kept(
         near.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "rid")).alias("docs"))
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_te"))
-        .where((F.col("contexts") >= s.min_support) & (F.col("n_te") >= s.min_support)).join(n_e, "entity")
+        .where((F.col("contexts") >= s.min_support) & (F.col("n_te") >= s.min_support)).join(n_e, "entity").join(n_near, "term")
+        .where(share(F.col("n_near")) >= s.generalise)
     )
     n_t = document_frequency(docs, pairs.select("term").distinct(), TERM)
-    total = docs.count()
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = content + F.log2(F.least(F.col("n_te"), F.col("df")) / F.col("df"))
-    shares = pairs.join(n_t, "term").withColumn("share", F.when(content > 0, pmi / F.when(content > 0, content)).otherwise(0.0))
+    shares = pairs.join(n_t, "term").withColumn("share", share(F.greatest("df", "n_near")))
     return kept(
         shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= s.generalise)
         .withColumn("removed", F.col("share") >= s.remove)
