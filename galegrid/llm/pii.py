@@ -22,6 +22,8 @@ KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}"
 #: Terms, or documents with one, that may be named in a broadcast: some 24 bytes each.
 BROADCAST_ROWS = 500_000
+#: Lengths summed at once when a word's place is worked out.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -95,14 +97,44 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> Data
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of the terms wherever they stand as words, in the form of match_spans, with removed."""
+    """Spans of the terms wherever they stand as words, in the form of match_spans, with removed.
+
+    Only documents that hold a term are read on, and only its places leave the row: a place is the sum of the lengths before it,
+    taken from sums of BLOCK lengths and the rest of its block. Each explode of one struct keeps what is under it from being worked
+    out anew for each word.
+    """
     words = docs.select("doc_id", F.xxhash64(text_of()).alias("t_rid"), text_of().alias("text"))
     holds = words.select("doc_id", "t_rid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     few = F.broadcast(terms) if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
-    wanted = kept(holds.join(few, "term", "left_semi").select(F.col("doc_id").alias("w_doc"), F.col("t_rid").alias("w_rid")).distinct())
+    wanted = kept(
+        holds.join(few, "term").groupBy(F.col("doc_id").alias("w_doc"), F.col("t_rid").alias("w_rid"))
+        .agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    )
     named = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
     match = words.doc_id.eqNullSafe(F.col("w_doc")) & (F.col("t_rid") == F.col("w_rid"))
-    return match_spans(words.join(named, match, "left_semi").select("doc_id", "text"), {"term": TERM}, terms=few.drop("share"))
+    found, between = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    one = words.join(named, match).select(
+        "doc_id", F.col("t_rid").alias("rid"), "terms", "gone",
+        F.explode(F.array(F.struct(found.alias("found"), F.zip_with(F.slice(between, F.lit(1), F.size(between) - 1), found, lambda g, f: F.char_length(g) + F.char_length(f)).alias("steps")))).alias("x"),
+    )
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("x.steps") - 1) / BLOCK).cast("int")), lambda b: total(F.slice("x.steps", b * BLOCK + 1, F.lit(BLOCK))))
+    at = F.filter(F.sequence(F.lit(0), F.size("x.found") - 1), lambda i: F.array_contains("terms", F.lower(F.get("x.found", i))))
+    two = one.select("doc_id", "rid", "gone", "x", F.explode(F.array(F.struct(blocks.alias("blocks"), at.alias("at")))).alias("y"))
+
+    def place(i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        end = total(F.slice("y.blocks", F.lit(1), block)) + total(F.slice("x.steps", block * BLOCK + 1, i - block * BLOCK + 1))
+        return F.struct(end.cast("long").alias("end"), F.get("x.found", i).alias("found"))
+
+    spans = two.select("doc_id", "rid", "gone", F.explode(F.transform("y.at", place)).alias("s")).select(
+        "doc_id", "rid", F.lit("term").alias("kind"), (F.col("s.end") - F.char_length("s.found")).alias("start"), F.col("s.end").alias("end"), F.col("s.found").alias("found"),
+        F.lit("").alias("before"), F.lit("").alias("after"), F.array_contains("gone", F.lower("s.found")).alias("removed"),
+    )
+    return spans.dropDuplicates(["doc_id", "rid", "start"])
 
 
 def find_personal_data(docs: DataFrame, s: Disclosure = Disclosure()) -> DataFrame:

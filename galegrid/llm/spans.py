@@ -11,14 +11,13 @@ from .common import text_of
 BROADCAST_ROWS = 200_000
 
 
-def match_spans(docs: DataFrame, patterns: dict[str, str], window: int = 0, terms: DataFrame | None = None) -> DataFrame:
+def match_spans(docs: DataFrame, patterns: dict[str, str], window: int = 0) -> DataFrame:
     """Leftmost non-overlapping matches: (doc_id, rid, kind, start, end, found, before, after); start and end count code
     points, end is exclusive; rid is a hash of the text, (doc_id, rid) names a row up to equal rows, which are given once.
 
     Splitting at a pattern gives the stretches between its matches, so a match starts after the lengths of all stretches and
     matches before it: a running sum over one document's matches. Only matches are shuffled, once, and window code points of
-    text on both sides of each. terms: (term, ...); only matches that are a term, lower-cased, are given, with its other
-    columns; of the others just the lengths are shuffled. Patterns should not back up over long runs: possessive repeats, and no start inside a run.
+    text on both sides of each. Patterns should not back up over long runs: possessive repeats, and no start inside a run.
     """
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
     each = F.array(*[
@@ -32,17 +31,11 @@ def match_spans(docs: DataFrame, patterns: dict[str, str], window: int = 0, term
         "doc_id", "rid", "kind", "no", "found", F.char_length("found").alias("size"), F.char_length(F.get("between", F.col("no"))).alias("gap"),
         F.right(F.get("between", F.col("no")), F.lit(window)).alias("before"), F.left(F.get("between", F.col("no") + 1), F.lit(window)).alias("after"),
     )
-    more = []
-    if terms is not None:
-        more = [c for c in terms.columns if c != "term"]
-        one = one.withColumn("term", F.lower("found")).join(terms.withColumn("is_term", F.lit(True)), "term", "left").drop("term")
-        one = one.withColumns({c: F.when(F.col("is_term"), F.col(c)) for c in ("found", "before", "after")})
     # one shuffle serves both: equal rows meet where a document's matches do
     one = one.repartition("doc_id", "rid", "kind").dropDuplicates(["doc_id", "rid", "kind", "no"])
     sums = Window.partitionBy("doc_id", "rid", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(sums).cast("long")
-    placed = one.withColumn("end", end).where("found is not null")
-    return placed.select("doc_id", "rid", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found", "before", "after", *more)
+    return one.withColumn("end", end).select("doc_id", "rid", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found", "before", "after")
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
