@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
@@ -17,10 +17,19 @@ from .spans import document_frequency, match_spans
 CANDIDATE = r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+"
 LETTERS = r"[a-z]{3,}"
 WINDOW = 40
-#: Words that name a secret when they stand before it, and shapes that labelled findings of the documents have.
-NAMING = ["token", "key", "secret", "password", "passwd", "auth", "bearer", "apikey", "credential"]
-LABELLED = [r"^AKIA[0-9A-Z]{16}$", r"^password=[0-9a-f]{16,}$"]
-LABELLED_TOKEN = (r"^[0-9a-f]{40}$", r"token\s*[=:]\s*[\"']$")
+#: Words that name a secret when they stand before it, and formats that credentials are issued in.
+NAMING = ["token", "key", "secret", "password", "passwd", "auth", "bearer", "apikey", "credential", "passphrase", "pwd"]
+FORMATS = [
+    r"^(?:AKIA|ASIA)[0-9A-Z]{16}$", r"^gh[pousr]_[A-Za-z0-9]{30,}$", r"^github_pat_[A-Za-z0-9_]{30,}$", r"^glpat-[A-Za-z0-9_-]{16,}$",
+    r"^xox[abeoprs]-[A-Za-z0-9-]{10,}$", r"^sk-[A-Za-z0-9_-]{20,}$", r"^[rs]k_(?:live|test)_[A-Za-z0-9]{16,}$", r"^AIza[A-Za-z0-9_-]{35}$",
+    r"^npm_[A-Za-z0-9]{30,}$", r"^eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)*$",
+]
+#: What stands between a naming word and its value; a value of letters and digits; the line before a private key's body.
+GIVEN = r"[a-z0-9_-]{0,20}[\"']?\s{0,4}(?:=>|[=:]{1,2})\s{0,4}[\"']?"
+MIXED = r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_/+=.-]{16,}"
+KEY_HEAD = r"PRIVATE KEY-----\s*$"
+#: Shapes known to be harmless: digits (cards, dates, phones), order numbers and the like, paths of lower-case names.
+HARMLESS = [r"^[0-9_/+=-]+$", r"(?i)^(?:order|invoice|item|sku|ref|case|ticket|page|isbn)[_=-]*[0-9][0-9_=-]*$", r"^/?(?:[a-z]{2,}(?:[_-][a-z]{2,})*[0-9]{0,4}/){2,}[a-z0-9_-]*$"]
 FEATURES = ["length", "digits", "upper", "lower", "changes", "distinct", "hex", "known", "slashes", "source", "named", "assigned", "quoted", "words_before"]
 
 
@@ -65,24 +74,40 @@ def with_features(docs: DataFrame, found: DataFrame) -> DataFrame:
     }).drop("covered", *[f"c_{k}" for k in key])
 
 
+def any_of(column: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [column.rlike(p) for p in patterns])
+
+
 def labelled_findings(found: DataFrame) -> DataFrame:
-    """(doc_id, rid, start, is_secret): candidates labelled by known shapes of secrets; a stand-in for reviewed findings."""
-    known = reduce(lambda a, b: a | b, [F.col("found").rlike(p) for p in LABELLED])
-    token = F.col("found").rlike(LABELLED_TOKEN[0]) & F.col("before").rlike(LABELLED_TOKEN[1])
-    return found.select("doc_id", "rid", "start", (known | token).cast("double").alias("is_secret"))
+    """(doc_id, rid, start, is_secret) of every candidate; a stand-in for reviewed findings that labels only what is known.
+
+    1: formats that credentials are issued in, values of letters and digits (16 or more) right after a naming word and = or :,
+    first lines of private keys. 0: shapes known to be harmless that no naming word is given to; dictionary words (where found
+    has known) that aren't given to a password. Null: all others.
+    """
+    text, before = F.col("found"), F.col("before")
+    naming = "(?:" + "|".join(NAMING) + ")"
+    given = before.rlike(f"(?i){naming}{GIVEN}$")
+    secret = any_of(text, FORMATS) | (given & text.rlike(f"^{MIXED}$")) | text.rlike(f"^(?i:[a-z_-]*{naming}[a-z0-9_-]{{0,20}}=){MIXED}$") | before.rlike(KEY_HEAD)
+    harmless = ~given & any_of(text, HARMLESS)
+    if "known" in found.columns:
+        to_password = before.rlike(f"(?i)(?:pass|pwd){GIVEN}$")
+        harmless |= ~to_password & text.rlike("^[A-Za-z_/+=-]+[0-9]{0,2}$") & (F.col("known") >= 0.8)
+    label = F.when(secret, 1.0).when(harmless, 0.0)
+    return found.select("doc_id", "rid", "start", label.alias("is_secret"))
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows: int = 20_000, trees: int = 40, threshold: float = 0.5) -> DataFrame:
     """Candidates with the forest's verdict: (doc_id, rid, start, end, found, score, is_secret); positions count code points.
 
-    findings: (doc_id, rid, start, is_secret) of reviewed candidates; None: labelled_findings. The forest is trained on
-    train_rows of them at most, those of smallest hash, and scores every candidate. If the findings are all of one kind, every
+    findings: (doc_id, rid, start, is_secret) of reviewed candidates; None: labelled_findings. Candidates without a label are
+    scored, but nothing is learnt from them. The forest is trained on train_rows of them at most, those of smallest hash, and scores every candidate. If the findings are all of one kind, every
     score is that kind's; without findings, 0.5 and not secret. Null texts: no candidates. Null doc_id: kept. Equal rows:
     their candidates are given once. Empty table: no rows. Extra columns are left out.
     """
     found = kept(candidates(docs))
     table = kept(with_features(docs, found))
-    labels = (findings if findings is not None else labelled_findings(found)).select(
+    labels = (findings if findings is not None else labelled_findings(table)).select(
         F.col("doc_id").alias("l_doc"), F.col("rid").alias("l_rid"), F.col("start").alias("l_start"), F.col("is_secret").cast("double").alias("label")
     )
     match = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("rid") == F.col("l_rid")) & (F.col("start") == F.col("l_start"))
