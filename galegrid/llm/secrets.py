@@ -101,9 +101,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows:
     """Candidates with the forest's verdict: (doc_id, rid, start, end, found, score, is_secret); positions count code points.
 
     findings: (doc_id, rid, start, is_secret) of reviewed candidates; None: labelled_findings. Candidates without a label are
-    scored, but nothing is learnt from them. The forest is trained on train_rows of them at most, those of smallest hash, and scores every candidate. If the findings are all of one kind, every
-    score is that kind's; without findings, 0.5 and not secret. Null texts: no candidates. Null doc_id: kept. Equal rows:
-    their candidates are given once. Empty table: no rows. Extra columns are left out.
+    scored, but nothing is learnt from them. The forest is trained on train_rows of them at most, those of smallest hash, half
+    of each kind (more where the other kind has fewer), and both kinds weigh the same; it scores every candidate. If the whole
+    table of findings is of one kind, every score is that kind's; without findings, 0.5 and not secret. Null texts: no
+    candidates. Null doc_id: kept. Equal rows: their candidates are given once. Empty table: no rows. Extra columns are left out.
     """
     found = kept(candidates(docs))
     table = kept(with_features(docs, found))
@@ -112,16 +113,20 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows:
     )
     match = F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("rid") == F.col("l_rid")) & (F.col("start") == F.col("l_start"))
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
-    chosen = kept(
-        table.join(labels.where("label is not null"), match).select("label", *FEATURES, F.xxhash64("doc_id", "rid", "start").alias("h"))
-        .orderBy("h").limit(train_rows)
+    joined = kept(
+        table.join(labels.where("label is not null").withColumn("label", (F.col("label") > 0.5).cast("double")), match)
+        .select("label", *FEATURES, F.xxhash64("doc_id", "rid", "start").alias("h"))
     )
-    kinds = [r["label"] for r in chosen.select("label").distinct().orderBy("label").collect()]
+    counts = {r["label"]: r["count"] for r in joined.groupBy("label").count().collect()}
     columns = ["doc_id", "rid", "start", "end", "found"]
-    if len(kinds) < 2:
-        score = F.lit(kinds[0] if kinds else 0.5)
+    if len(counts) < 2:
+        score = F.lit(next(iter(counts), 0.5))
         return data.select(*columns, score.alias("score"), (score > threshold).alias("is_secret"))
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen)
-    model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=8, seed=5).fit(train)
+    # what one kind leaves of its half, the other may use
+    sizes = {k: min(n, max(1, train_rows // 2, train_rows - counts[1.0 - k])) for k, n in counts.items()}
+    chosen = kept(reduce(DataFrame.unionByName, [joined.where(F.col("label") == k).orderBy("h").limit(n) for k, n in sizes.items()]))
+    weight = F.when(F.col("label") > 0, F.lit(sum(sizes.values()) / (2 * sizes[1.0]))).otherwise(sum(sizes.values()) / (2 * sizes[0.0]))
+    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen.withColumn("weight", weight))
+    model = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=8, seed=5).fit(train)
     scored = model.transform(data).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select(*columns, "score", (F.col("score") > threshold).alias("is_secret"))

@@ -419,3 +419,12 @@ def test_secrets_of_shapes_without_a_label(spark):
     assert [rows[len(texts) + i].is_secret for i in range(len(unknown))] == [True] * len(unknown)
     n = 30 * len(KNOWN_SECRETS)
     assert [texts[i] for i in range(len(texts)) if rows[i].is_secret != (i < n)] == []
+
+
+def test_rare_secrets_are_in_the_sample(spark):
+    rng = np.random.default_rng(4)
+    texts = [t for make in HARMLESS_RUNS[:2] for t in secret_texts(rng, make, 1000)] + secret_texts(rng, KNOWN_SECRETS[3], 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for size in (20, 20_000):
+        rows = secrets.scan_secrets(docs, train_rows=size).collect()
+        assert {r.doc_id for r in rows if r.is_secret} == set(range(2000, 2004))
