@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
@@ -25,18 +25,35 @@ FORMATS = [
     r"^npm_[A-Za-z0-9]{30,}$", r"^eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+)*$",
 ]
 #: What stands between a naming word and its value; a value of letters and digits; the line before a private key's body.
-GIVEN = r"[a-z0-9_-]{0,20}[\"']?\s{0,4}(?:=>|[=:]{1,2})\s{0,4}[\"']?"
+GIVEN = r"[A-Za-z0-9_-]{0,20}[\"']?\s{0,4}(?:=>|[=:]{1,2})\s{0,4}[\"']?"
 MIXED = r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_/+=.-]{16,}"
 KEY_HEAD = r"PRIVATE KEY-----\s*$"
 #: Shapes known to be harmless: digits (cards, dates, phones), order numbers and the like, paths of lower-case names.
 HARMLESS = [r"^[0-9_/+=-]+$", r"(?i)^(?:order|invoice|item|sku|ref|case|ticket|page|isbn)[_=-]*[0-9][0-9_=-]*$", r"^/?(?:[a-z]{2,}(?:[_-][a-z]{2,})*[0-9]{0,4}/){2,}[a-z0-9_-]*$"]
+#: Values given to a naming word or after "bearer", 6 signs or more: to the closing quote (blanks are let in), else to the next
+#: blank without the closing marks before it; and dotted tokens (JWT). The cheap conditions stand first.
+SPOT = rf"(?<=[=:>\s\"'])(?:(?<=[=:>]\s{{0,4}}[\"']?)(?<=(?i:{'|'.join(NAMING)}|pass){GIVEN})|(?<=(?i:bearer)\s{{1,4}}))(?![\"'\s=:>])"
+VALUE = (
+    rf"{SPOT}(?:(?<=\")[^\"\n]{{6,}}+(?=\")|(?<=')[^'\n]{{6,}}+(?=')|[^\s]{{5,}}[^\s\"'`,;.)\]}}>])"
+    r"|(?<![A-Za-z0-9_/+=.-])eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)++"
+)
 FEATURES = ["length", "digits", "upper", "lower", "changes", "distinct", "hex", "known", "slashes", "source", "named", "assigned", "quoted", "words_before"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, start, end, found, before, after, source) of each candidate. source: of the row that the candidate is in
-    (rows with the same doc_id and text: the smallest)."""
-    found = match_spans(docs, {"secret": CANDIDATE}, WINDOW).drop("kind")
+    (rows with the same doc_id and text: the smallest).
+
+    Runs by CANDIDATE, and values by VALUE, which may be short, without digits, or hold any signs. A run inside a value (or
+    equal to it) is that value's; a run that goes beyond a value is a candidate beside it. Out of scope: values under 6 signs,
+    runs under 16 or without a digit that no naming word is given, and what stands in markup between tags.
+    """
+    both = match_spans(docs, {"run": CANDIDATE, "value": VALUE}, WINDOW)
+    # values don't overlap, so the one that started last before a run is the only one that it can be in
+    last = F.max(F.when(F.col("kind") == "value", F.col("end"))).over(Window.partitionBy("doc_id", "rid").orderBy("start"))
+    alone = both.withColumn("last", last).where((F.col("kind") == "value") | F.col("last").isNull() | (F.col("end") > F.col("last"))).drop("last", "kind")
+    # a run and a value that start together are told apart by their ends: the longer has all of the other
+    found = alone.groupBy("doc_id", "rid", "start").agg(F.max_by(F.struct("end", "found", "before", "after"), "end").alias("x")).select("doc_id", "rid", "start", "x.*")
     if "source" not in docs.columns:
         return found.withColumn("source", F.lit(None).cast("string"))
     sources = docs.select(F.col("doc_id").alias("s_doc"), F.xxhash64(text_of()).alias("s_rid"), F.col("source").cast("string").alias("source"))
