@@ -104,12 +104,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray | None:
     """Weights learnt from labelled rows that aren't held out; None without such rows.
 
-    The train_rows rows of smallest hash are taken, so that a rerun takes the same; the bound keeps training one small
-    task. Their ids are broadcast, and only their texts leave the scan.
+    The train_rows rows of smallest hash are taken of those that docs holds, so that a rerun takes the same, and labels of other
+    documents take no one's place; the bound keeps training one small task. Their ids are broadcast, and only their texts
+    leave the scan.
     """
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
-        .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
+        .dropDuplicates(["doc_id"]).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
     )
     sample = (
         docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -157,6 +158,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs whose text isn't rejected, with the columns of docs."""
-    scored = with_score(docs, fit(docs, labels, s), s, to="__quality_score")
-    return scored.where(F.col("__quality_score") >= threshold).drop("__quality_score")
+    """The rows of docs whose text isn't rejected, with the columns of docs. Without a label to learn from nothing is rejected:
+    all rows are kept."""
+    weights = fit(docs, labels, s)
+    if weights is None:
+        return docs
+    return with_score(docs, weights, s, to="__quality_score").where(F.col("__quality_score") >= threshold).drop("__quality_score")

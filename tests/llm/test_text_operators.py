@@ -366,6 +366,22 @@ def test_personal_data_of_odd_rows(odd, none):
     assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == odd.count()
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"good words stand here {i}" if i % 2 else f"$$$ junk %% junk {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    s = quality.Settings(train_rows=60)
+    own = labels.where("doc_id < 80")
+    assert (quality.fit(docs, labels, s) == quality.fit(docs, own, s)).all()
+    assert {r.doc_id for r in quality.keep_good(docs, labels, 0.5, s).collect()} == set(range(1, 80, 2))
+
+
+def test_nothing_is_rejected_without_labels(spark, odd):
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    others, nulls = spark.createDataFrame([(-1, 1)], empty.schema), spark.createDataFrame([(1, None)], empty.schema)
+    for labels in (empty, others, nulls):
+        assert quality.keep_good(odd, labels).count() == odd.count()
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 
