@@ -33,7 +33,7 @@ class Disclosure:
     information that a term may give away at most before it is generalised, or removed."""
 
     window: int = 80
-    min_support: int = 5
+    min_support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
 

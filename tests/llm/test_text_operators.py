@@ -359,6 +359,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[500] == "only  here, " and "[EMAIL]" in clean[0] and clean[150] == rows[62][1]
 
 
+def test_terms_by_an_entity_of_two_documents(spark):
+    rows = [(1, "first note from quendal: write to ann@corp.example.com soon"), (2, "another line, quendal answers from ann@corp.example.com only"), (3, "quendal was here")]
+    rows += [(4, "copied note of vortane at bob@corp.example.com again"), (5, "copied note of vortane at bob@corp.example.com again")]
+    rows += [(100 + i, f"first note, another line to write soon, answers from number{i} only, copied at again") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {(r.doc_id, r.found) for r in pii.find_personal_data(docs).collect() if r.kind == "term"}
+    assert {(1, "quendal"), (2, "quendal"), (3, "quendal")} <= spans and not [s for s in spans if s[0] >= 4]
+
+
 def test_personal_data_of_odd_rows(odd, none):
     rows = pii.span_columns(odd, pii.find_personal_data(odd)).collect()
     assert len(rows) == odd.count() and [r.n_email for r in rows if r.doc_id == 13] == [2]
