@@ -87,7 +87,8 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 1
 def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> DataFrame:
     """docs as mixed: a row for each whole copy taken, and one with the first words of a document that is taken in part.
 
-    Columns as docs has them; documents of which nothing is taken go. Words of a part are joined by one space.
+    Columns as docs has them; documents of which nothing is taken go. A part is the text up to the end of
+    its last word taken, with its white space; it has the whole document's doc_id.
     """
     columns, taken = docs.columns, "__mix_taken"
     plan = mix_sources(docs, cap, cycle, seed).select(
@@ -100,10 +101,11 @@ def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int
     rows = rows.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_d", "__mix_r", "__mix_s").orderBy(F.lit(0))))
     match = F.col("__mix_d").eqNullSafe(F.col("__mix_doc")) & (F.col("__mix_r") == F.col("__mix_rid")) & F.col("__mix_s").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_no"))
     size, words = F.col("__mix_size"), F.regexp_extract_all(text_of(), F.lit(WORD_PATTERN), F.lit(0))
+    gaps = F.split(text_of(), WORD_PATTERN, -1)
     whole, part = F.floor(F.col(taken) / F.greatest(size, F.lit(1))), F.col(taken) % F.greatest(size, F.lit(1))
     copies = F.concat(
         F.array_repeat(F.col("text"), whole.cast("int")),
-        F.when(part > 0, F.array(F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))).otherwise(F.array().cast("array<string>")),
+        F.when(part > 0, F.array(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), part.cast("int")), F.slice(words, F.lit(1), part.cast("int")), lambda g, w: F.concat(g, w)), ""))).otherwise(F.array().cast("array<string>")),
     )
     joined = rows.join(plan, match)
     out = joined.withColumn("__mix_text", F.explode(copies))

@@ -391,6 +391,14 @@ def test_nothing_is_rejected_without_labels(spark, odd):
         assert quality.keep_good(odd, labels).count() == odd.count()
 
 
+def test_a_part_keeps_its_white_space(spark):
+    texts = {i: f"  head{i}\n\n\tline two {i}\n" + f"and  more{i}\n" * 20 for i in range(4)}
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    rows = mixing.mixed_documents(docs).collect()
+    parts = [r for r in rows if r.text != texts[r.doc_id]]
+    assert parts and all(texts[r.doc_id].startswith(r.text) for r in rows)
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 
