@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ END_ID = 0
 GAP = 0.0005
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
+#: Runs of white space of this length are cut before the encoder sees them: its matcher backs up over each sign of a run, and gives up
+#: at a million.
+LONG_RUN = 100_000
+_WHITE = regex.compile(r"\s+")
+
 _encoders: dict[str, tiktoken.Encoding] = {}
 
 
@@ -43,6 +49,31 @@ def encoder_for(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def encode(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """ids of a text; special strings in it are one id each.
+
+    A long run of white space is one piece of the pattern but for its last sign, which goes to what follows (all of it at the end of a
+    text and before a special string), so it is merged as that piece, and the stretches around it go the usual way.
+    """
+    if len(text) < LONG_RUN:
+        return encoder.encode(text, allowed_special="all")
+    special = sorted(encoder.special_tokens_set, key=len, reverse=True)
+    ids: list[int] = []
+    for part in regex.split("(" + "|".join(map(regex.escape, special)) + ")", text) if special else [text]:
+        if part in encoder.special_tokens_set:
+            ids.append(encoder.encode_single_token(part))
+            continue
+        done = 0
+        for run in _WHITE.finditer(part):
+            if run.end() - run.start() >= LONG_RUN:
+                end = run.end() - (run.end() < len(part))
+                ids += encoder.encode_ordinary(part[done : run.start()])
+                ids += encoder._encode_single_piece(part[run.start() : end])
+                done = end
+        ids += encoder.encode_ordinary(part[done:])
+    return ids
+
+
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
     """A row for each piece: the document's ids and END_ID, cut at multiples of capacity."""
 
@@ -52,7 +83,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int, with_ids: boo
             for lo in range(0, len(batch), 256):
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].iloc[lo : lo + 256], batch["text"].iloc[lo : lo + 256], strict=True):
-                    ids = np.array([*encoder.encode(text, allowed_special="all"), END_ID], dtype="<u4")
+                    ids = np.array([*encode(encoder, text), END_ID], dtype="<u4")
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
@@ -168,8 +199,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grid: int = 8,
 
     Returns a row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and ids if
     with_ids. A document is its ids and END_ID; it is cut into pieces of capacity ids and one rest. Null text: the
-    one id END_ID. Null doc_id: kept null. Rows that repeat: each is packed. Empty table: no rows. Extra columns are
-    left out.
+    one id END_ID. Null doc_id: kept null. Rows that repeat: each is packed. Texts of any length are encoded whole.
+    Empty table: no rows. Extra columns are left out.
 
     The program sees lengths in units of grid ids, rounded up, which bounds it by capacity / grid lengths and costs
     (grid - 1) / 2 ids of padding a rest on average. Only the histogram of units goes to the driver, which solves the
