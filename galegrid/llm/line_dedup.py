@@ -14,7 +14,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     Returns (doc_id, text, n_lines, n_dropped): the text that stays, and the number of lines before and dropped. One
     row for each row of docs, extra columns are left out. Null text: one empty line. Rows that repeat a doc_id count
-    as one document; a null doc_id is one document and the smallest. Empty table: no rows.
+    as one document; a null doc_id is one document and the smallest. Long texts are split whole, in time proportional to their
+    lines. Empty table: no rows.
 
     Only hashes, ids and positions of long lines are shuffled by line; texts are shuffled once, by document, to meet
     the positions that go. Lines that stand in many documents are counted by partial sums and joined by a join whose
@@ -42,12 +43,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .withColumnsRenamed({"doc_id": "g_doc", "rid": "g_rid"})
     )
     joined = rows.join(gone, rows.doc_id.eqNullSafe(F.col("g_doc")) & (rows.rid == F.col("g_rid")), "left")
-    split = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    return joined.select(
+    # the explode of one struct binds the lines: named in a lambda, the split would be done again for each line
+    split = joined.select("doc_id", "text", "gone", F.explode(F.array(F.struct(F.split("text", "\n", -1).alias("lines")))).alias("x"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("x.lines") - 1), F.col("gone"))
+    return split.select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text"))
-        .otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).alias("text"),
-        F.size(split).cast("long").alias("n_lines"),
+        .otherwise(F.array_join(F.transform(stay, lambda i: F.get("x.lines", i)), "\n")).alias("text"),
+        F.size("x.lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
