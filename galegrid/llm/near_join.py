@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,27 +25,36 @@ BROADCAST_ROWS = 500_000
 @dataclass(frozen=True)
 class Forest:
     """trees and leaf_depth of the forest; recall is the least chance with which a pair of the threshold's similarity must
-    meet in a node; cell: shingle sets of one side of a block of comparisons."""
+    meet in a node; cell, cell_shingles: shingle sets, and shingles in all, of one side of a block of comparisons (about)."""
 
     words: int = 5
     threshold: float = 0.8
     trees: int = 24
-    leaf_depth: int = 10
+    leaf_depth: int = 8
     recall: float = 0.999
-    cell: int = 512
+    cell: int = 256
+    cell_shingles: int = 500_000
     seed: int = 11
 
+    def chance(self, depth: int) -> float:
+        """With which a pair of the threshold's similarity shares a prefix of depth in some tree."""
+        return 1 - (1 - self.threshold**depth) ** self.trees
+
     def depth(self) -> int:
-        """From the leaves up, the first depth at which the chance to share a node in some tree reaches recall. Pairs that
-        share a longer prefix share this one too, so the nodes at this depth hold all that deeper ones would find."""
+        """The longest prefix, from the leaves up, whose chance reaches recall: prefixes need not be shortened beyond it."""
         for depth in range(self.leaf_depth, 0, -1):
-            if 1 - (1 - self.threshold**depth) ** self.trees >= self.recall:
+            if self.chance(depth) >= self.recall:
                 return depth
         raise ValueError("the forest has too few trees for this recall")
 
+    def shift(self, level: int) -> int | None:
+        """Bits by which a tail is shifted right to leave the prefix of level; None: the prefix has nothing of the tail."""
+        more = self.leaf_depth - self.depth()
+        return 64 - 64 // more * (level - self.depth()) if level > self.depth() else None
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
-        n = self.trees * self.depth()
+        n = self.trees * self.leaf_depth
         return rng.integers(0, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
@@ -79,20 +89,26 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(run)
 
 
-def tree_nodes(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The node of a shingle set in each tree, at the forest's depth: a hash of that tree's first minima."""
+def tree_paths(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The path of a shingle set in each tree: its node at the forest's depth, a hash of that tree's first minima, and the tail,
+    some bits of each further minimum, the first of them highest. So paths sort as tries do, and a shorter prefix of a path is
+    its tail shifted right. (Bits that are equal by chance only make a node larger.)"""
     least = np.empty(len(a), dtype=np.uint64)
     step = max(1, 2_000_000 // len(sets))
     for lo in range(0, len(a), step):
         least[lo : lo + step] = (((sets[None, :] ^ b[lo : lo + step, None]) * a[lo : lo + step, None]) >> np.uint64(8)).min(axis=1)
-    node = np.zeros(forest.trees, dtype=np.uint64)
-    for column in least.reshape(forest.trees, -1).T:
+    minima, depth = least.reshape(forest.trees, -1).T, forest.depth()
+    node, tail = np.zeros(forest.trees, dtype=np.uint64), np.zeros(forest.trees, dtype=np.uint64)
+    for column in minima[:depth]:
         node = _mixed(node * _MIX[0] + column)
-    return node.view(np.int64)
+    bits = 64 // max(1, len(minima) - depth)
+    for i, column in enumerate(minima[depth:], 1):
+        tail |= (_mixed(column * _MIX[0]) >> np.uint64(64 - bits)) << np.uint64(64 - bits * i)
+    return node.view(np.int64), tail.view(np.int64)
 
 
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, rid, set_id, n, nodes) for each row: set_id names the shingle set, n is its size."""
+    """(doc_id, rid, set_id, n, nodes, tails) for each row: set_id names the shingle set, n is its size."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = forest.hashes()
@@ -100,14 +116,14 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 s = shingles(text, forest.words)
-                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), tree_nodes(s, forest, a, b) if len(s) else None))
-            yield pd.concat([batch[["doc_id", "rid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["set_id", "n", "nodes"])], axis=1)
+                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), *(tree_paths(s, forest, a, b) if len(s) else (None, None))))
+            yield pd.concat([batch[["doc_id", "rid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["set_id", "n", "nodes", "tails"])], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
     # doc_id travels as text: a null among longs would make them floats
     return (
         rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        .mapInPandas(sign, "doc_id string, rid long, set_id binary, n long, nodes array<long>")
+        .mapInPandas(sign, "doc_id string, rid long, set_id binary, n long, nodes array<long>, tails array<long>")
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
 
@@ -126,12 +142,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInPandas(sets, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def compare_cell(cell: pd.DataFrame, forest: Forest) -> pd.DataFrame:
+def shared_prefix(nodes: np.ndarray, tails: np.ndarray, i: np.ndarray, j: np.ndarray, shift: int | None) -> np.ndarray:
+    """Whether the pairs i, j share the prefix that shift leaves, in each of the trees given."""
+    same = nodes[i] == nodes[j]
+    if shift is not None:
+        same &= tails[i] >> np.uint64(shift) == tails[j] >> np.uint64(shift)
+    return same
+
+
+def compare_cell(cell: pd.DataFrame, forest: Forest, level: int) -> pd.DataFrame:
     """Links among the shingle sets of one cell: for each its links' weight and the smallest linked set it connects to.
 
-    A cell is a node's sets of two blocks (or one block with itself); pairs that already meet in an earlier tree are
-    counted there. Shared shingles are counted by products of 0/1 matrices, a few thousand shingles at a time; shingles
-    that one set alone has can't be shared and are left out.
+    A cell is a node's sets of two blocks (or one block with itself); pairs that share a longer prefix in any tree, or one of this
+    length in an earlier tree, are counted there. Shared shingles are counted by products of 0/1 matrices, a few thousand shingles
+    at a time; shingles that one set alone has can't be shared and are left out.
     """
     cell = cell.sort_values("rep", ignore_index=True)
     tree, lo, hi = int(cell["tree"].iloc[0]), int(cell["lo"].iloc[0]), int(cell["hi"].iloc[0])
@@ -168,69 +192,69 @@ def compare_cell(cell: pd.DataFrame, forest: Forest) -> pd.DataFrame:
         root[max(x, y)] = min(x, y)
     for x in range(m):
         root[x] = root[root[x]]
-    if tree and len(i):
-        nodes = np.stack(cell["nodes"].to_numpy())[:, :tree]
-        new = ~(nodes[i] == nodes[j]).any(axis=1)
-        i, j = i[new], j[new]
+    if len(i):
+        nodes, tails = np.stack(cell["nodes"].to_numpy()), np.stack(cell["tails"].to_numpy()).view(np.uint64)
+        met = shared_prefix(nodes[:, :tree], tails[:, :tree], i, j, forest.shift(level)).any(axis=1)
+        if level < forest.leaf_depth:
+            met |= shared_prefix(nodes, tails, i, j, forest.shift(level + 1)).any(axis=1)
+        i, j = i[~met], j[~met]
     links = np.bincount(i, weights=weight[j], minlength=m) + np.bincount(j, weights=weight[i], minlength=m)
-    out = pd.DataFrame({"rep": rep, "links": links.astype(np.int64), "root": rep[root]})
-    return out[(out["links"] > 0) | (out["root"] != out["rep"])]
+    return pd.DataFrame({"rep": rep, "links": links.astype(np.int64), "root": rep[root]})
+
+
+def open_nodes(members: DataFrame, forest: Forest, level: int) -> DataFrame:
+    """(tree, node, prefix, m, total) of the nodes at level with two members or more that haven't all met: each member is held
+    against one of the node's, and a bit for each tree says whether they share this level's prefix, or the next longer one."""
+    key = ["tree", "node", "prefix"]
+    powers = F.array(*[F.lit(1 << t).cast("long") for t in range(forest.trees)])
+
+    def trees_shared(at: int):
+        same, shift = F.zip_with("nodes", "first_nodes", lambda a, b: a == b), forest.shift(at)
+        if shift is not None:
+            tails = F.zip_with("tails", "first_tails", lambda a, b: F.shiftrightunsigned(a, shift) == F.shiftrightunsigned(b, shift))
+            same = F.zip_with(same, tails, lambda a, b: a & b)
+        bits = F.zip_with(same, powers, lambda s, p: F.when(s, p).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    firsts = members.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.first(F.struct("nodes", "tails")).alias("first")
+    ).where("m > 1").select(*key, "m", "total", F.col("first.nodes").alias("first_nodes"), F.col("first.tails").alias("first_tails"))
+    longer = trees_shared(level + 1) if level < forest.leaf_depth else F.lit(0).cast("long")
+    held = members.join(firsts, key).select(*key, "m", "total", trees_shared(level).alias("here"), longer.alias("longer"))
+    earlier = F.expr("cast(shiftleft(1L, tree) - 1 as long)")
+    return (
+        held.groupBy(*key).agg(F.first("m").alias("m"), F.first("total").alias("total"), F.bit_and("here").alias("here"), F.bit_and("longer").alias("longer"))
+        .where((F.col("longer") == 0) & (F.col("here").bitwiseAND(earlier) == 0)).select(*key, "m", "total")
+    )
 
 
-def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """Joins documents whose sets of five-word runs have a Jaccard similarity of threshold or more.
-
-    Returns (doc_id, rid, class_id, n_links), a row for each row of docs: class_id is the smallest doc_id of those that
-    links connect, n_links the number of other rows that the row is linked to. Words are what white space separates; a
-    text of fewer words is one run. A text without words (null, empty) has no links and is its own class, as is a row
-    without links. Rows with the same set are linked; repeated rows too. Null doc_id: after all others. Empty table: no
-    rows. Extra columns are left out.
-
-    Rows with one shingle set are one class member (rep) from the start, so copies cost one row. Each rep gets a node in
-    each tree; nodes with two reps or more are candidates, unless all their reps share an earlier tree's node. A node's
-    reps are dealt in blocks of about forest.cell, and a cell compares two blocks, so a node of any size is many bounded
-    tasks and no pair is written: a cell returns sums of links and a spanning forest. Similarity is exact; a pair of the
-    threshold's similarity is missed with a chance of 1 - recall at most.
-    """
-    rows = kept(signatures(docs, forest))
-    sets = kept(
-        rows.groupBy("set_id").agg(
-            F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("nodes").alias("nodes"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("who"),
-        ).withColumn("rep", F.monotonically_increasing_id())
-    )
-    spread = sets.where("n > 0").select("rep", F.posexplode("nodes").alias("tree", "node"))
-    crowded = kept(spread.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    members = kept(spread.join(crowded, ["tree", "node"]).join(sets.select("rep", "size", "nodes"), "rep"))
-    together = [
-        (F.min(F.get("nodes", F.lit(t))) == F.max(F.get("nodes", F.lit(t)))) & (F.first("tree") > t) for t in range(forest.trees)
-    ]
-    met = together[0]
-    for t in together[1:]:
-        met = met | t
-    fresh = kept(members.groupBy("tree", "node").agg(met.alias("met")).where(~F.col("met")).select("tree", "node"))
-    compared = kept(members.join(fresh, ["tree", "node"]))
-    wanted = kept(compared.select("rep").distinct().join(sets.select("rep", F.col("who.doc_id").alias("w_doc"), F.col("who.rid").alias("w_rid")), "rep"))
-    texts = kept(shingle_sets(docs, wanted, forest.words))
-    blocks = F.ceil(F.col("m") / forest.cell).cast("int")
+def compare_level(members: DataFrame, texts: DataFrame, forest: Forest, level: int) -> DataFrame:
+    """(rep, links, root, level) of the members of open nodes at level, compared."""
+    shift = forest.shift(level)
+    prefix = F.shiftrightunsigned("tail", shift) if shift is not None else F.lit(0).cast("long")
+    here = members.withColumn("prefix", prefix)
+    fresh = kept(open_nodes(here, forest, level))
+    blocks = F.ceil(F.greatest(F.col("m") / forest.cell, F.col("total") / forest.cell_shingles)).cast("int")
+    key = ["tree", "node", "prefix", "lo", "hi"]
     cells = (
-        compared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        here.join(fresh, ["tree", "node", "prefix"])
+        .withColumn("blocks", F.least(blocks, F.col("m"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .select("tree", "node", "lo", "hi", "block", "rep", "size", "nodes")
+        .select(*key, "block", "rep", "size", "nodes", "tails")
         .join(texts, "rep")
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cells stand one after the other; the last of a batch may go on in the next."""
-        key, waiting = ["tree", "node", "lo", "hi"], []
+        waiting = []
         for batch in batches:
             if not len(batch):
                 continue
             keys = batch[key].to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(batch)]
             if waiting and (waiting[0][key].iloc[0].to_numpy() != keys[0]).any():
-                yield compare_cell(pd.concat(waiting), forest)
+                yield compare_cell(pd.concat(waiting), forest, level)
                 waiting = []
             done = []
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -238,21 +262,53 @@ def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
                 if b == len(batch):
                     waiting.append(part)
                 elif waiting:
-                    done.append(compare_cell(pd.concat([*waiting, part]), forest))
+                    done.append(compare_cell(pd.concat([*waiting, part]), forest, level))
                     waiting = []
                 else:
-                    done.append(compare_cell(part, forest))
+                    done.append(compare_cell(part, forest, level))
             if done:
                 yield pd.concat(done)
         if waiting:
-            yield compare_cell(pd.concat(waiting), forest)
+            yield compare_cell(pd.concat(waiting), forest, level)
+
+    found = cells.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "rep long, links long, root long")
+    return kept(found.groupBy("rep", "root").agg(F.sum("links").alias("links")).withColumn("level", F.lit(level)))
+
+
+def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """Joins documents whose sets of five-word runs have a Jaccard similarity of threshold or more.
 
-    found = kept(
-        cells.repartition("tree", "node", "lo", "hi").sortWithinPartitions("tree", "node", "lo", "hi")
-        .mapInPandas(compare, "rep long, links long, root long")
+    Returns (doc_id, rid, class_id, n_links, level), a row for each row of docs: class_id is the smallest doc_id of those that
+    links connect, n_links the number of other rows that the row is linked to, level the shortest prefix at which the row was
+    compared (null: never). Words are what white space separates; a text of fewer words is one run. A text without words (null,
+    empty) has no links and is its own class, as is a row without links. Rows with the same set are linked; repeated rows too. Null
+    doc_id: after all others. Long texts count whole. Empty table: no rows. Extra columns are left out.
+
+    Rows with one shingle set are one class member (rep) from the start, so copies cost one row. Each rep has a path of minima in each
+    tree; the paths that share a prefix of depth() with another's are the tries, written in their order. Prefixes are matched at
+    the leaves first, and what shares one is compared. Then they are shortened, a level in each round, for those reps alone that
+    a shorter one brings together with a rep they haven't met; the others have met all that the forest can show them. Rounds end at
+    the level whose chance of meeting reaches recall. A node's reps are dealt in blocks of bounded number and size, and a cell compares
+    two blocks, so a node of any size is many bounded tasks and no pair is written: a cell returns sums of links and a spanning
+    forest. Similarity is exact; a pair of the threshold's similarity is missed with a chance of 1 - recall at most.
+    """
+    rows = kept(signatures(docs, forest))
+    sets = kept(
+        rows.groupBy("set_id").agg(
+            F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first(F.struct("nodes", "tails")).alias("paths"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("who"),
+        ).select("set_id", "size", "n", "paths.nodes", "paths.tails", "who").withColumn("rep", F.monotonically_increasing_id())
     )
+    spread = sets.where("n > 0").select("rep", F.posexplode("nodes").alias("tree", "node"))
+    crowded = kept(spread.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+    tries = spread.join(crowded, ["tree", "node"]).join(sets.select("rep", "size", "n", "nodes", "tails"), "rep")
+    members = kept(tries.withColumn("tail", F.get("tails", F.col("tree"))).sortWithinPartitions("tree", "node", "tail"))
+    wanted = kept(members.select("rep").distinct().join(sets.select("rep", F.col("who.doc_id").alias("w_doc"), F.col("who.rid").alias("w_rid")), "rep"))
+    texts = kept(shingle_sets(docs, wanted, forest.words))
+    rounds = [compare_level(members, texts, forest, level) for level in range(forest.leaf_depth, forest.depth() - 1, -1)]
+    found = reduce(DataFrame.unionByName, rounds)
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("level").alias("level"))
     joined = (
         sets.select("set_id", "rep", "size", "n", "who")
         .join(links, "rep", "left")
@@ -260,12 +316,12 @@ def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
         .withColumn("root", F.coalesce("root", "rep"))
     )
     heads = joined.groupBy("root").agg(F.min(F.struct(F.col("who.no").alias("no"), F.col("who.doc_id").alias("doc_id"))).alias("head"))
-    classes = kept(joined.join(heads, "root").select("set_id", "size", "links", F.col("head.doc_id").alias("class_id")))
+    classes = kept(joined.join(heads, "root").select("set_id", "size", "links", "level", F.col("head.doc_id").alias("class_id")))
     empty = F.col("n") == 0
     return rows.select("doc_id", "rid", "set_id", "n").join(classes, "set_id").select(
         "doc_id", "rid",
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
+        F.when(empty, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), "level",
     )
 
 

@@ -32,6 +32,8 @@ def odd(spark):
         (11, "four words only here", "en", "c", 1, "y", "y", "y"),
         (12, "four words only here", "en", "c", 1, "y", "y", "y"),
         (13, "mail a.b@c.de, call +1 (555) 222-3333, 4111 1111 1111 1111 from 10.0.0.256 or 010.1.2.3 \U0001f600 a@b.c.d", "en", "c", 1, "y", "y", "y"),
+        (14, "a" + " " * 1_000_000 + "b" + "\n" * 1_000_000, "en", "b", 1, "y", "y", "y"),
+        (15, "".join(f"line number {i} of many lines in one text\n" for i in range(20_000)), "en", "b", 1, "y", "y", "y"),
     ]
     return spark.createDataFrame(rows, SCHEMA)
 

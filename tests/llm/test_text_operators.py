@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -103,6 +104,14 @@ def test_packing_of_odd_rows(odd, none):
     assert packing.pack(none, VOCABULARY).collect() == []
 
 
+def test_ids_of_long_white_space():
+    """Runs that the encoder's own matcher gives up on."""
+    library, encoder, n = Tokenizer.from_file(VOCABULARY), packing.encoder_for(VOCABULARY), 2_000_000
+    hard = ["a" + " " * n + "b", "a" + "\t" * n, "\n" * n, "q" + " \n" * (n // 2) + "<|endoftext|>" + " " * n + "<|endoftext|> z", "\u3000" * 200_000 + "!", "x" * n]
+    for text in hard:
+        assert packing.encode(encoder, text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_cutting_plan_holds_all_pieces():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -170,6 +179,20 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.line_dedup(none).collect() == []
 
 
+def test_many_lines_in_a_document(spark):
+    """Time in proportion to the lines: the square of these would take hours."""
+    n = 100_000
+    lines = [f"a line of its own, number {i}" for i in range(n)]
+    docs = spark.createDataFrame([(d, "\n".join(lines[: n - d])) for d in range(4)], "doc_id long, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert time.perf_counter() - began < 60
+    # a line that stands in documents 0 to 2 or more stays in the last of them
+    want = {d: [i for i in range(n - d) if (held := min(4, n - i)) < 3 or held - 1 == d] for d in range(4)}
+    assert {d: r.text for d, r in rows.items()} == {d: "\n".join(lines[i] for i in at) for d, at in want.items()}
+    assert {d: r.n_dropped for d, r in rows.items()} == {d: n - d - len(at) for d, at in want.items()}
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +302,44 @@ def test_near_join_finds_all_links(spark, sf_dir, texts):
         assert (r.n_links, r.class_id) == (links[r.doc_id], root[r.doc_id])
 
 
+def test_near_join_recall(spark):
+    """Documents whose id is divisible by 50 against all rows: each link found, none extra."""
+    sf_dir = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text or "" for r in read_documents(spark, sf_dir).select("doc_id", "text").collect()}
+    sets, holders = {}, defaultdict(list)
+    for d, t in texts.items():
+        w = t.split()
+        sets[d] = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+    for d in sets:
+        for x in sets[d] if d % 50 == 0 else ():
+            holders[x].append(d)
+    links = Counter()
+    for e, s in sets.items():
+        for d, n in Counter(d for x in s for d in holders.get(x, ())).items():
+            links[d] += d != e and n >= 0.8 * (len(s) + len(sets[d]) - n)
+    found = near_join.jaccard_join(read_documents(spark, sf_dir)).collect()
+    asked = [r for r in found if r.doc_id % 50 == 0]
+    assert len(asked) == 200 and sum(links.values()) == 72 and {r.doc_id: r.n_links for r in asked} == {r.doc_id: links[r.doc_id] for r in asked}
+    # prefixes are shortened for some rows alone
+    levels = Counter(r.level for r in found)
+    assert levels[None] > 0 and {near_join.Forest().depth(), near_join.Forest().leaf_depth} <= set(levels)
+
+
+def test_lower_recall_ends_at_longer_prefixes(spark, sf_dir, texts):
+    links, _ = brute_links(texts)
+    rows = near_join.jaccard_join(read_documents(spark, sf_dir), near_join.Forest(recall=0.9)).collect()
+    assert near_join.Forest(recall=0.9).depth() == 8 and {r.level for r in rows} <= {None, 8}
+    assert 0.9 * sum(links.values()) <= sum(r.n_links for r in rows) <= sum(links.values())
+
+
+def test_cells_are_bounded_by_size(spark):
+    texts = {d: " ".join(f"w{i}" if i % 997 else f"x{d}" for i in range(3000)) for d in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links, root = brute_links(texts)
+    for r in near_join.jaccard_join(docs, near_join.Forest(cell_shingles=10_000)).collect():
+        assert (r.n_links, r.class_id) == (links[r.doc_id], root[r.doc_id])
+
+
 def test_large_nodes_in_many_cells(spark):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(60)]
