@@ -24,23 +24,47 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a new local one on a local master (tests); an error on
+    a cluster, whose machines don't share /tmp."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+#: Tables that this process has written to the shared folder.
+_kept: list[str] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read from there: later jobs don't compute it again, and a lost
-    executor costs only its own tasks."""
+    executor costs only its own tasks. cleanup removes these tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Removes the tables that kept has written in this process; call it when the results made from them are stored. Returns
+    their number."""
+    gone = len(_kept)
+    while _kept:
+        files, where = folder(spark, _kept.pop())
+        files.delete(where, True)
+    return gone
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, kept, shared_dir, text_of
+from .common import BLANK_CLASS, folder, kept, shared_dir, text_of
 
 #: The state store on local disk, with its memory bounded on each executor.
 STATE_CONF = {
@@ -19,6 +19,8 @@ STATE_CONF = {
     # else each of many small stores reserves megabytes on disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Arrivals; call is the folder that a call writes.
+LOG = "digest binary, doc_id long, n_chars long, rid long, row long, sha binary, norm string, call int"
 #: Groups of copies of which the digests may be broadcast: 32 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -44,95 +46,126 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 
 
 def best_row() -> Column:
-    """Sorts first the row that stays of a group: most code points, then the smallest doc_id (null last). The text's hash
-    makes the pair a locator of the content; row tells equal rows apart."""
-    return F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "row")
+    """Sorts first the row that stays of a group: most code points, then the smallest doc_id (null last), then the first to
+    arrive. call and row name a row for good, and with the text's hash they locate its content in the log."""
+    return F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "call", "row")
 
 
-def run_stream(arrivals: DataFrame, state_path: str) -> DataFrame:
-    """Feeds arrivals, a streaming frame of (digest, doc_id, n_chars, rid, row), to the keyed state, and returns what the
-    state holds of each digest that this run touched: (digest, n, keep).
+def calls(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the calls that have written to a table of a state folder."""
+    files, where = folder(spark, path)
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("call="))
 
-    The state is kept without expiry under state_path/state: a later run with the same path goes on with it. An update
-    is written for each batch, and written again if the batch is repeated after a failure.
+
+def arrival_log(spark: SparkSession, home: str) -> DataFrame:
+    return spark.read.schema(LOG).parquet(f"{home}/log")
+
+
+def run_stream(spark: SparkSession, home: str, call: int) -> None:
+    """Streams what is new in the log through the keyed state, and writes what the state then holds of each digest it touched
+    to the call's updates: (digest, n, keep, anchor).
+
+    keep is the row that stays, anchor the first to arrive under the digest, which never changes. The state is kept without expiry in
+    home/state: a later run goes on with it. An update is written for each batch, and written again if the batch is repeated
+    after a failure.
     """
-    spark = arrivals.sparkSession
-    out = f"{state_path}/updates-{uuid.uuid4().hex}"
-    state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"))
-    schema = state.schema
+    arrivals = spark.readStream.schema(LOG).parquet(f"{home}/log").select("digest", "doc_id", "n_chars", "rid", "call", "row")
+    state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"), F.min(F.struct("call", "row")).alias("anchor"))
     with settings(spark, STATE_CONF):
         query = (
             state.writeStream.outputMode("update")
-            .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
-            .option("checkpointLocation", f"{state_path}/state").trigger(availableNow=True).start()
+            .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{home}/updates/call={call}/batch={number}"))
+            .option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
         )
         query.awaitTermination()
+
+
+def state_of(spark: SparkSession, home: str, call: int | None = None) -> DataFrame:
+    """What the state holds of each digest that a call touched (all digests, without one): (digest, n, keep, anchor)."""
+    row = "struct<less:long,no_id:boolean,doc_id:long,rid:long,call:int,row:long>"
+    schema = f"digest binary, n long, keep {row}, anchor struct<call:int,row:long>"
+    updates = spark.read.schema(schema).parquet(f"{home}/updates/call={'*' if call is None else call}/batch=*")
     # counts only grow and the row that stays only improves, so the latest update of a digest has the greatest n
-    updates = spark.read.schema(schema).parquet(f"{out}/batch=*")
-    return updates.groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"))
+    return updates.groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"), F.min("anchor").alias("anchor"))
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
+def exact_dedup(docs: DataFrame, state_path: str | None = None, digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
     """Finds texts that are equal without white space; of each group the row with the most code points, then the smallest
     doc_id, stays.
 
-    Returns (doc_id, rid, row, keep_id, group_size, kept, text_sha256), a row for each row of docs. Null text counts as
-    empty; null doc_id sorts last; of equal rows one stays. Empty table: no rows. Extra columns are left out.
+    Returns (doc_id, rid, call, row, keep_id, group_size, kept, text_sha256), a row for each row of docs. Null text counts as
+    empty; null doc_id sorts last; of equal rows one stays. Long texts count whole. Empty table: no rows. Extra columns are left
+    out.
 
-    Digest, id and locator of each row are written as an arrival log, which is streamed through the keyed state
-    (run_stream): a group's state is one row, and partial sums keep a group with a third of the rows from gathering in
-    one task. Then every row that hit another's digest is joined with the text of the row that stays, and all bytes are
-    compared; rows that differ (the digest collided) are grouped by their whole text. digest: for tests of that.
+    state_path: a folder in which the state lives on. A later call with the same folder deduplicates its rows against those of
+    all calls before; verdicts then gives all rows as they stand. One call at a time. Without it: a state of this call's own.
+
+    Digest, id, locator (call and row) and normalised text of each row are written to an arrival log, and the log is streamed through
+    the keyed state (run_stream): a group's state is one row, and partial sums keep a group with a third of the rows from
+    gathering in one task. Then each new row that hit a digest is compared, all bytes, with the text that the digest's anchor
+    locates; where they differ (the digest collided) rows are grouped by their whole text. digest: for tests of that.
     """
     spark = docs.sparkSession
+    home = state_path or f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
+    call = max(calls(spark, f"{home}/log"), default=-1) + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("norm", normalised(F.col("text")))
-    log_path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
     rows.select(
         digest(F.col("norm")).alias("digest"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("rid"),
-        F.monotonically_increasing_id().alias("row"), sha256_bytes(F.col("norm")).alias("sha"),
-    ).write.parquet(f"{log_path}/rows")
-    log = spark.read.parquet(f"{log_path}/rows")
-    state = kept(run_stream(spark.readStream.schema(log.schema).parquet(f"{log_path}/rows").drop("sha"), log_path))
-    groups = state.where(F.col("n") > 1)
-    placed = log.join(state, "digest")
-    wrong = _wrong_hits(rows, groups, digest)
+        F.monotonically_increasing_id().alias("row"), sha256_bytes(F.col("norm")).alias("sha"), "norm",
+    ).write.parquet(f"{home}/log/call={call}")
+    run_stream(spark, home, call)
+    touched = kept(state_of(spark, home, call))
+    wrong = _wrong_hits(spark, home, call, touched)
     if wrong is not None:
-        placed = placed.join(wrong, "digest", "left_anti").unionByName(_regrouped(rows, log, wrong, digest))
+        wrong.write.parquet(f"{home}/wrong/call={call}")
+    return _verdicts(spark, home, arrival_log(spark, home).where(F.col("call") == call), touched)
+
+
+def verdicts(spark: SparkSession, state_path: str) -> DataFrame:
+    """exact_dedup's rows for all rows of all calls with this state folder, as they stand now."""
+    return _verdicts(spark, state_path, arrival_log(spark, state_path), state_of(spark, state_path))
+
+
+def _verdicts(spark: SparkSession, home: str, log: DataFrame, state: DataFrame) -> DataFrame:
+    placed = log.drop("norm").join(state.drop("anchor"), "digest")
+    if calls(spark, f"{home}/wrong"):
+        wrong = spark.read.schema("digest binary").parquet(f"{home}/wrong/call=*").distinct()
+        everything = arrival_log(spark, home).join(wrong, "digest")
+        groups = everything.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"))
+        again = log.join(wrong, "digest").join(groups, "norm")
+        placed = placed.join(wrong, "digest", "left_anti").unionByName(again.drop("norm"))
     return placed.select(
-        "doc_id", "rid", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        "doc_id", "rid", "call", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
+        ((F.col("call") == F.col("keep.call")) & (F.col("row") == F.col("keep.row"))).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def _hit_texts(rows: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Rows of groups with their texts. The groups' digests are broadcast if they are few, else joined by a shuffle."""
+def _wrong_hits(spark: SparkSession, home: str, call: int, touched: DataFrame) -> DataFrame | None:
+    """Digests under which a row of this call has another text than their anchor; None if there are none, as is all but certain.
+    The digests of groups are broadcast if they are few, else joined by a shuffle."""
+    log = arrival_log(spark, home).select("digest", "norm", "call", "row")
+    groups = touched.where("n > 1").select("digest", F.col("anchor.call").alias("a_call"), F.col("anchor.row").alias("a_row"))
     small = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = groups.select("digest", "keep")
-    return rows.withColumn("digest", digest(F.col("norm"))).join(F.broadcast(wanted) if small else wanted, "digest")
-
-
-def _wrong_hits(rows: DataFrame, groups: DataFrame, digest: Callable[[Column], Column]) -> DataFrame | None:
-    """Digests under which two different texts stand; None if there are none, as is all but certain."""
-    hits = kept(_hit_texts(rows, groups, digest).select("digest", "norm", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.xxhash64("text") == F.col("keep.rid"))).alias("is_kept")))
-    # equal rows of the row that stays are the same text: one of each digest and hash is enough
+    named = F.broadcast(groups) if small else groups
+    at_anchor = (F.col("call") == F.col("a_call")) & (F.col("row") == F.col("a_row"))
     # written first, so that the join reads both sides from plain exchanges and can split a large group
-    stays = kept(hits.where("is_kept").groupBy("digest").agg(F.min("norm").alias("kept_norm")))
+    hits = kept(log.where(F.col("call") == call).join(named, "digest").select("digest", "norm", at_anchor.alias("is_anchor")))
+    anchors = hits.where("is_anchor").select("digest", F.col("norm").alias("first_norm"))
+    if call:
+        before = log.where(F.col("call") < call).join(named.where(F.col("a_call") < call), "digest").where(at_anchor)
+        anchors = anchors.unionByName(before.select("digest", F.col("norm").alias("first_norm")))
+    anchors = kept(anchors)
     # distinct comes later: in the same stage it would hold the join's large groups together
-    differ = kept(hits.where(~F.col("is_kept")).join(stays, "digest").where(F.col("norm") != F.col("kept_norm")).select("digest"))
-    return None if differ.isEmpty() else kept(differ.distinct())
-
-
-def _regrouped(rows: DataFrame, log: DataFrame, wrong: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows under the wrong digests, grouped by whole text."""
-    texts = rows.withColumn("digest", digest(F.col("norm"))).join(wrong, "digest").select("digest", "doc_id", F.xxhash64("text").alias("rid"), "norm").distinct()
-    same = (log["digest"] == texts["digest"]) & log["doc_id"].eqNullSafe(texts["doc_id"]) & (log["rid"] == texts["rid"])
-    found = log.join(texts, same).select(*[log[c] for c in log.columns], "norm")
-    groups = found.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"))
-    return found.join(groups, "norm").select(*log.columns, "n", "keep")
+    differ = kept(hits.where(~F.col("is_anchor")).join(anchors, "digest").where(F.col("norm") != F.col("first_norm")).select("digest"))
+    return None if differ.isEmpty() else differ.distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of equal texts, with the columns of docs."""
+    """One row of docs for each group of equal texts, with the columns of docs. Nulls, ties and repeated rows as in exact_dedup; an
+    empty table gives no rows."""
     verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__dd_doc"), F.col("rid").alias("__dd_rid"))
     rows = docs.withColumn("__dd_text", F.xxhash64(text_of()))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("__dd_doc")) & (F.col("__dd_text") == F.col("__dd_rid"))
