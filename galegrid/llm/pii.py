@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
-from .spans import document_frequency, match_spans
+from .spans import holders, match_spans
 
 #: The kinds in the contract's order. The patterns match what the contract's do; repeats are possessive, and
 #: a match starts at the start of a run of its characters (or where the last match ended), so long runs cost linear time.
@@ -20,22 +20,26 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}"
-#: Terms, or documents with one, that may be named in a broadcast: some 24 bytes each.
+#: Terms that may be named in a broadcast (words of some 20 bytes), and bytes of documents with the terms they hold.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 20_000_000
 #: Lengths summed at once when a word's place is worked out.
 BLOCK = 512
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: code points on both sides of an entity that count as together with it. min_support: documents, and different
-    contexts, in which a term must stand by an entity before its estimate counts. generalise, remove: shares of the entity's
-    information that a term may give away at most before it is generalised, or removed."""
+    """window: code points on both sides of an entity whose whole words count as together with it. min_support: documents, and
+    different contexts, in which a term must stand by an entity before its estimate counts. generalise, remove: shares of the
+    entity's information that a term may give away at most before it is generalised, or removed. assured: the share must
+    be this at least even at the lower end of its confidence interval, of z standard errors."""
 
     window: int = 80
     min_support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
+    assured: float = 0.6
+    z: float = 1.96
 
 
 def valid(kind: Column, found: Column) -> Column:
@@ -55,30 +59,57 @@ def valid(kind: Column, found: Column) -> Column:
 
 
 def entity_spans(docs: DataFrame, window: int = 0) -> DataFrame:
-    return match_spans(docs, PATTERNS, window).where(F.coalesce(valid(F.col("kind"), F.col("found")), F.lit(False)))
+    """Base spans; before and after hold the whole words within window code points."""
+    # one sign more than the window tells whether its outermost word is whole
+    found = match_spans(docs, PATTERNS, window + 1 if window else 0).where(F.coalesce(valid(F.col("kind"), F.col("found")), F.lit(False)))
+    before, after = F.col("before"), F.col("after")
+    return found.withColumns({
+        "before": F.when(F.char_length(before) > window, F.regexp_replace(before, r"^(?:\p{L}++|.)", "")).otherwise(before),
+        "after": F.when(F.char_length(after) > window, F.regexp_replace(after, r"(?s)(?:(?<!\p{L})\p{L}++|.)\z", "")).otherwise(after),
+    })
+
+
+def entity_names(kind: Column, found: Column) -> Column:
+    """What a span is an instance of: itself, and its class: an email's domain, an address's first three parts, a card's issuer (six
+    digits), a number's country and area (five digits). A kind as a whole is no entity: nothing is disclosed by it."""
+    digits = F.regexp_replace(found, "[^0-9]", "")
+    of = (
+        F.when(kind == "email", F.lower(F.regexp_extract(found, "@(.*)$", 1))).when(kind == "ip", F.regexp_extract(found, r"^(.*)\.", 1))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 5))
+    )
+    return F.array(F.concat_ws(":", kind, found), F.concat_ws(":", F.lit("class"), kind, of))
 
 
-def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> DataFrame:
-    """(term, share, removed): terms near entities whose pointwise mutual information with one of them is at least the given
-    share of that entity's information content.
+def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(term, share, removed): terms near entities whose pointwise mutual information with one of them, or with its class, is at least
+    the given share of that entity's information content; and (doc_id, rid, term) of the documents that hold one.
 
     With N documents, PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) and IC(e) = log2(N / n(e)): their ratio is 1 where each document
-    with the term has the entity by it, and falls as the term is used elsewhere. Copied passages are one context, so that
+    with the term has the entity by it, and falls as the term is used elsewhere. n(t, e) / n(t) is also taken at the lower end of
+    its Wilson interval, so that few documents prove something of a rare entity alone. Copied passages are one context, so that
     they prove nothing by themselves.
     """
     context = F.concat_ws(" ", "before", "after")
-    near = entities.select(
-        "doc_id", "rid", F.xxhash64("kind", "found").alias("entity"), F.xxhash64(context).alias("context"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(TERM), F.lit(0)))).alias("term"),
+    named = entities.select("doc_id", "rid", F.explode(entity_names(F.col("kind"), F.col("found"))).alias("name"), context.alias("said"))
+    near = named.select(
+        "doc_id", "rid", F.xxhash64("name").alias("entity"), F.xxhash64("said").alias("context"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("said"), F.lit(TERM), F.lit(0)))).alias("term"),
     )
-    n_e = entities.select(F.xxhash64("kind", "found").alias("entity"), "doc_id", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n_e = named.select(F.xxhash64("name").alias("entity"), "doc_id", "rid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     n_near = near.select("term", "doc_id", "rid").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     total = docs.count()
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
 
-    def share(n_t: Column) -> Column:
-        pmi = content + F.log2(F.least(F.col("n_te"), n_t) / n_t)
-        return F.when(content > 0, pmi / F.when(content > 0, content)).otherwise(0.0)
+    def share(chance: Column) -> Column:
+        return F.when(content > 0, (content + F.log2(chance)) / F.when(content > 0, content)).otherwise(0.0)
+
+    def assured(p: Column, n: Column) -> Column:
+        z2 = s.z * s.z
+        return (p + z2 / (2 * n) - s.z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+    def reveals(n_t: Column) -> Column:
+        p = F.least(F.col("n_te"), n_t) / n_t
+        return (share(p) >= s.generalise) & (share(assured(p, n_t)) >= s.assured)
 
     # a term stands in n_near documents at least, so its share is no more than that number gives: common words go here, and
     # the pass over all words looks for few terms
@@ -86,31 +117,31 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> Data
         near.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "rid")).alias("docs"))
         .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_te"))
         .where((F.col("contexts") >= s.min_support) & (F.col("n_te") >= s.min_support)).join(n_e, "entity").join(n_near, "term")
-        .where(share(F.col("n_near")) >= s.generalise)
-    )
-    n_t = document_frequency(docs, pairs.select("term").distinct(), TERM)
-    shares = pairs.join(n_t, "term").withColumn("share", share(F.greatest("df", "n_near")))
-    return kept(
-        shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= s.generalise)
-        .withColumn("removed", F.col("share") >= s.remove)
+        .where(share(F.least("n_te", "n_near") / F.col("n_near")) >= s.generalise)
     )
+    holds = kept(holders(docs, pairs.select("term").distinct(), TERM))
+    n_t = holds.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.greatest("df", "n_near")
+    shares = pairs.join(n_t, "term").where(reveals(df)).withColumn("share", share(F.least("n_te", df) / df))
+    terms = kept(shares.groupBy("term").agg(F.max("share").alias("share")).withColumn("removed", F.col("share") >= s.remove))
+    return terms, holds
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of the terms wherever they stand as words, in the form of match_spans, with removed.
+def term_spans(docs: DataFrame, terms: DataFrame, holds: DataFrame) -> DataFrame:
+    """Spans of the terms wherever they stand as words, in the form of match_spans, with removed. holds: (doc_id, rid, term).
 
     Only documents that hold a term are read on, and only its places leave the row: a place is the sum of the lengths before it,
     taken from sums of BLOCK lengths and the rest of its block. Each explode of one struct keeps what is under it from being worked
     out anew for each word.
     """
     words = docs.select("doc_id", F.xxhash64(text_of()).alias("t_rid"), text_of().alias("text"))
-    holds = words.select("doc_id", "t_rid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
     few = F.broadcast(terms) if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else terms
     wanted = kept(
-        holds.join(few, "term").groupBy(F.col("doc_id").alias("w_doc"), F.col("t_rid").alias("w_rid"))
+        holds.join(few, "term").groupBy(F.col("doc_id").alias("w_doc"), F.col("rid").alias("w_rid"))
         .agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
     )
-    named = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    bytes_ = F.sum(F.octet_length(F.array_join("terms", ",")) + F.octet_length(F.array_join("gone", ",")) + 64)
+    named = F.broadcast(wanted) if (wanted.agg(bytes_).first()[0] or 0) <= BROADCAST_BYTES else wanted
     match = words.doc_id.eqNullSafe(F.col("w_doc")) & (F.col("t_rid") == F.col("w_rid"))
     found, between = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
     one = words.join(named, match).select(
@@ -142,15 +173,15 @@ def find_personal_data(docs: DataFrame, s: Disclosure = Disclosure()) -> DataFra
 
     Emails, addresses, card and phone numbers by the contract's patterns, each kind by itself; and, as kind term, words that
     reveal such an entity (revealing_terms); removed is true for those over the higher threshold. All counts cover all
-    documents. Null texts: no spans. Null doc_id: kept. Equal rows: their spans are given once. Empty table: no rows.
+    documents. Null texts: no spans. Null doc_id: kept. Long texts are searched whole. Equal rows: their spans are given once. Empty table: no rows.
     Extra columns are left out.
     """
     entities = kept(entity_spans(docs, s.window))
-    terms = revealing_terms(docs, entities, s)
+    terms, holds = revealing_terms(docs, entities, s)
     base = entities.drop("before", "after").withColumn("removed", F.lit(False))
     if terms.isEmpty():
         return base
-    return base.unionByName(term_spans(docs, terms).drop("before", "after"))
+    return base.unionByName(term_spans(docs, terms, holds).drop("before", "after"))
 
 
 def span_columns(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -175,7 +206,7 @@ def span_columns(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, s: Disclosure = Disclosure()) -> DataFrame:
     """docs with each span's text replaced by its kind in brackets, or by nothing for removed terms. Of overlapping spans the
-    first stands for all. Columns as docs has them."""
+    first stands for all. Columns as docs has them. Null texts stay null, repeated rows stay, an empty table gives no rows."""
     spans = find_personal_data(docs, s)
     before = Window.partitionBy("doc_id", "rid").orderBy("start", F.col("end").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
     first = spans.withColumn("__covered", F.max("end").over(before)).where(F.col("__covered").isNull() | (F.col("start") >= F.col("__covered")))

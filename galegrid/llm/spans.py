@@ -38,6 +38,17 @@ def match_spans(docs: DataFrame, patterns: dict[str, str], window: int = 0) -> D
     return one.withColumn("end", end).select("doc_id", "rid", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "found", "before", "after")
 
 
+def holders(docs: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
+    """terms: one column, term. Returns (doc_id, rid, term) of the rows of docs in which a match of pattern, lower-cased, is a term.
+
+    All words of all texts are looked up in one pass; where the terms are few they are broadcast, else the distinct words of each
+    text are shuffled to meet them.
+    """
+    words = docs.select("doc_id", F.xxhash64(text_of()).alias("rid"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(pattern), F.lit(0)))).alias("term"))
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+
+
 def document_frequency(docs: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
     """terms: one column, term. Returns (term, df): in how many rows of docs a match of pattern, lower-cased, is the term.
 
