@@ -11,10 +11,9 @@ from .common import WORD_PATTERN, kept, partitions, text_of
 UNIT_BITS = 52
 
 
-def quality_weight(size: Column, text: Column) -> Column:
-    """Weight of a document in its source, from 0.5 to 1.5: highest for a mean word length from 4 to 10 code points."""
-    mean = F.char_length(text) / F.greatest(size, F.lit(1))
-    return F.lit(0.5) + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - 7.0) / 10.0))
+def quality_weight(score: Column) -> Column:
+    """Weight of a document in its source by its quality score, 0 to 1: from 0.1, so that none is without a chance, to 1.1."""
+    return F.lit(0.1) + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(score, F.lit(0.5))))
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFrame:
@@ -40,30 +39,31 @@ def source_targets(sizes: DataFrame, cap: float = 3.0, cycle: int = 3) -> DataFr
     return filled.select("source", "source_size", F.least(F.col("room"), level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weight: Column | None = None, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns (doc_id, rid, size, source, source_size, target, taken): size is the number of runs of characters that
+    weight: of a document in its source, over 0, as a column of docs (quality_weight of a score); none: all weigh the same.
+    Returns (doc_id, rid, size, source, source_size, target, taken, key): size is the number of runs of characters that
     aren't white space, taken counts repeats. Complete epochs of a source precede the last, fractional one; in that,
-    documents are taken by ascending exponential keys -ln(u) / quality weight until the rest of the budget is spent, and
+    documents are taken by ascending exponential keys -ln(u) / weight until the rest of the budget is spent, and
     of the document that crosses it only the first words are taken, so that a source meets its rounded target exactly.
     u comes from a hash of doc_id, text and seed, so reruns agree.
 
     Null text: size 0, nothing taken. Null source: a source of its own, last. Rows that repeat: each counts. Empty
     table: no rows. rid is a hash of the text; (doc_id, rid) names a row up to equal rows.
 
-    A source's keys are cut into buckets whose sums give the budget before each bucket; only rows of one bucket are
+    A source's keys are cut into buckets, finer on more partitions, whose sums give the budget before each bucket; only rows of one bucket are
     sorted together, so a source with a third of all rows is spread over all tasks.
     """
     spark = docs.sparkSession
-    counted = docs.select("doc_id", "source", text_of().alias("text")).withColumn("size", F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"))
+    counted = docs.select("doc_id", "source", text_of().alias("text"), (F.lit(1.0) if weight is None else weight).alias("weight")).withColumn("size", F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"))
     unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(2**UNIT_BITS)) + 0.5) / float(2**UNIT_BITS)
-    n = partitions(spark) * 2
+    n = partitions(spark)  # buckets of an octave of keys: whatever the weights, a source's keys spread over two or three octaves at least
     slim = kept(
         counted.select(
             "doc_id", "source", "size", F.xxhash64("text").alias("rid"),
-            (-F.log(unit) / quality_weight(F.col("size"), F.col("text"))).alias("key"),
-        ).withColumn("bucket", F.least(F.lit(n - 1), F.floor((1 - F.exp(-F.col("key"))) * n)).cast("int"))
+            (-F.log(unit) / F.col("weight")).alias("key"),
+        ).withColumn("bucket", F.floor(F.log2("key") * n))
     )
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -80,18 +80,19 @@ def mix_sources(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 1
     before = F.col("before_bucket") + F.sum("size").over(inside) - F.col("size")
     part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("budget") - before))
     return rows.select(
-        "doc_id", "rid", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+        "doc_id", "rid", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "key"
     )
 
 
-def mixed_documents(docs: DataFrame, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weight: Column | None = None, cap: float = 3.0, cycle: int = 3, seed: int = 17) -> DataFrame:
     """docs as mixed: a row for each whole copy taken, and one with the first words of a document that is taken in part.
 
     Columns as docs has them; documents of which nothing is taken go. A part is the text up to the end of
-    its last word taken, with its white space; it has the whole document's doc_id.
+    its last word taken, with its white space; it has the whole document's doc_id. Null and empty texts have no words and go. Rows
+    that repeat are taken each by itself. An empty table gives no rows.
     """
     columns, taken = docs.columns, "__mix_taken"
-    plan = mix_sources(docs, cap, cycle, seed).select(
+    plan = mix_sources(docs, weight, cap, cycle, seed).select(
         F.col("doc_id").alias("__mix_doc"), F.col("rid").alias("__mix_rid"), F.col("source").alias("__mix_source"), "size", "taken"
     )
     # equal rows can be taken to different extents: numbered on both sides, they are told apart

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,11 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     return np.frombuffer(found[0]["weights"], dtype=np.float32) if found else None
 
 
-def with_score(docs: DataFrame, weights: np.ndarray | None, s: Settings = Settings(), text: str = "text", to: str = "score") -> DataFrame:
-    """docs with the score, 0 to 1, of each whole text. Without weights (no labels): 0.5."""
+def score_of(spark: SparkSession, weights: np.ndarray | None, s: Settings = Settings(), text: str = "text") -> Column:
+    """The score, 0 to 1, of each whole text. Null text: as an empty one. Without weights (no labels): 0.5."""
     if weights is None:
-        return docs.withColumn(to, F.lit(0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+        return F.lit(0.5)
+    shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
@@ -143,7 +143,7 @@ def with_score(docs: DataFrame, weights: np.ndarray | None, s: Settings = Settin
 
         return pd.Series([one(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(to, score(text_of(text)))
+    return score(text_of(text))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s: Settings = Settings()) -> DataFrame:
@@ -151,16 +151,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     The score is a sparse dot product of the learnt weights with relative frequencies of hashed n-grams; lang, source
     and doc_id are no inputs. Null or empty text: the bias alone. Null doc_id: not held out. No labels: 0.5. Labels
-    without a document, and null labels, are left out. Empty table: no rows.
+    without a document, and null labels, are left out. Rows that repeat: each is scored, and a label is used once. Long texts: all
+    of their n-grams count. Empty table: no rows. Extra columns are left out.
     """
-    scored = with_score(docs.select("doc_id", text_of().alias("text")), fit(docs, labels, s), s)
+    scored = docs.select("doc_id", score_of(docs.sparkSession, fit(docs, labels, s), s).alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s: Settings = Settings()) -> DataFrame:
-    """The rows of docs whose text isn't rejected, with the columns of docs. Without a label to learn from nothing is rejected:
-    all rows are kept."""
+    """The rows of docs whose text isn't rejected, with the columns of docs, whatever their names. Without a label to learn from
+    nothing is rejected: all rows are kept. Null and empty texts are scored by the bias alone; equal rows go or stay together; an
+    empty table gives no rows."""
     weights = fit(docs, labels, s)
     if weights is None:
         return docs
-    return with_score(docs, weights, s, to="__quality_score").where(F.col("__quality_score") >= threshold).drop("__quality_score")
+    scored = docs.withColumn("__quality_score", score_of(docs.sparkSession, weights, s))
+    return scored.where(F.col("__quality_score") >= threshold).drop("__quality_score")

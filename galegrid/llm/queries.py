@@ -10,11 +10,11 @@ from .common import read_documents, text_sha256
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .media import HISTOGRAM_BINS, media_columns
-from .mixing import mix_sources
+from .mixing import mix_sources, quality_weight
 from .near_join import jaccard_join
 from .packing import pack
 from .pii import find_personal_data, span_columns
-from .quality import classify_quality
+from .quality import classify_quality, fit, score_of
 from .secrets import scan_secrets
 from .token_counts import count_tokens
 
@@ -57,7 +57,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read_documents(spark, sf_dir)
+    score = score_of(spark, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return mix_sources(docs, quality_weight(score)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
