@@ -271,9 +271,10 @@ def _stored(text: str) -> bytes:
 
 
 def decode_media(media: DataFrame, column: str = "media", with_rgb: bool = True) -> DataFrame:
-    """media with frames, an array of its GIFs' composed frames. Null or empty bytes: no frames. Other columns stay."""
-    if "frames" in media.columns:
-        raise ValueError("there is a column frames already")
+    """media with frames, an array of its GIFs' composed frames. Null or empty bytes: no frames. Bytes that aren't a GIF are an error.
+    Other columns stay; one that is named frames already becomes frames_before. Repeated rows stay; an empty table gives no rows."""
+    if "frames" in media.columns and column != "frames":
+        media = media.withColumnRenamed("frames", "frames_before")
 
     @F.pandas_udf(FRAME_TYPE)
     def frames(files: pd.Series) -> pd.Series:
@@ -287,8 +288,9 @@ def media_columns(docs: DataFrame, with_rgb: bool = False) -> DataFrame:
     shuffled.
 
     The payload is the text's UTF-8 bytes and spaces up to a positive multiple of WIDTH; each byte is the index of a grey.
-    frames are decoded from the stored bytes. Null text: empty, so one row of spaces. Null doc_id stays null. Extra columns are
-    left out. Texts of any length are coded a frame at a time.
+    frames are decoded from the stored bytes. Null text: empty, so one row of spaces. Null doc_id stays null. Equal texts give equal
+    files, and each repeated row its own. Empty table: no rows. Extra columns are left out. Texts of any length are coded a
+    frame at a time.
     """
 
     # one function for both: two would code each text twice, once for each column that needs the file

@@ -37,7 +37,10 @@ VALUE = (
     rf"{SPOT}(?:(?<=\")[^\"\n]{{6,}}+(?=\")|(?<=')[^'\n]{{6,}}+(?=')|[^\s]{{5,}}[^\s\"'`,;.)\]}}>])"
     r"|(?<![A-Za-z0-9_/+=.-])eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)++"
 )
-FEATURES = ["length", "digits", "upper", "lower", "changes", "distinct", "hex", "known", "slashes", "source", "named", "assigned", "quoted", "words_before"]
+#: Paths of files that hold settings or code, and of those whose values are made up.
+CODE_PATH = r"\.(?:py|js|ts|java|go|rb|php|cs|sh|c|h|cpp|rs|sql|json|ya?ml|toml|ini|cfg|conf|env|properties|xml|tf|log)$|(?:^|/)\.env|config"
+TEST_PATH = r"(?:^|[/_.-])(?:tests?|specs?|examples?|samples?|docs?|fixtures?|mocks?|demos?)(?:[/_.-]|$)"
+FEATURES = ["length", "digits", "upper", "lower", "changes", "distinct", "hex", "known", "slashes", "path_depth", "path_code", "path_test", "named", "assigned", "quoted", "words_before"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def with_features(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found with FEATURES. known is the dictionary coverage: the share of the candidate in runs of letters that are words of
-    five documents or more, counted over all documents."""
+    five documents or more, counted over all documents; path_... are of source, the path of the document."""
     text, n = F.col("found"), F.char_length("found")
     runs = F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
     terms = kept(found.select(F.explode(runs).alias("term")).distinct())
@@ -76,14 +79,14 @@ def with_features(docs: DataFrame, found: DataFrame) -> DataFrame:
     def share(pattern: str):
         return F.regexp_count(text, F.lit(pattern)) / n
 
-    before = F.lower("before")
+    before, path = F.lower("before"), F.lower(F.coalesce("source", F.lit("")))
     naming = "(" + "|".join(NAMING) + ")"
     return found.join(cover, match, "left").withColumns({
         "length": n.cast("double"), "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"),
         "changes": share("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Za-z0-9])[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(text, ""))) / n, "hex": share("[0-9a-f]"),
         "known": F.coalesce(F.col("covered") / n, F.lit(0.0)), "slashes": share("/"),
-        "source": (F.crc32(F.coalesce("source", F.lit(""))) % 32).cast("double"),
+        "path_depth": F.regexp_count(path, F.lit("/")).cast("double"), "path_code": path.rlike(CODE_PATH).cast("double"), "path_test": path.rlike(TEST_PATH).cast("double"),
         "named": (before.rlike(naming) | F.lower(text).rlike("^" + naming)).cast("double"),
         "assigned": (F.col("before").rlike(r"[=:]\s*[\"']?$") | text.rlike("[A-Za-z]=[^=]")).cast("double"),
         "quoted": F.col("before").rlike("[\"']$").cast("double"),
@@ -121,7 +124,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows:
     scored, but nothing is learnt from them. The forest is trained on train_rows of them at most, those of smallest hash, half
     of each kind (more where the other kind has fewer), and both kinds weigh the same; it scores every candidate. If the whole
     table of findings is of one kind, every score is that kind's; without findings, 0.5 and not secret. Null texts: no
-    candidates. Null doc_id: kept. Equal rows: their candidates are given once. Empty table: no rows. Extra columns are left out.
+    candidates. Long texts are searched whole. Null doc_id: kept. Equal rows: their candidates are given once. Empty table: no rows. Extra columns are left out.
     """
     found = kept(candidates(docs))
     table = kept(with_features(docs, found))

@@ -111,7 +111,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
     """Returns (doc_id, n_bytes, n_tokens, over_limit) for each row of docs; no row is shuffled.
 
     vocabulary: path of a byte-level BPE .json file, the same on all executors. Special strings in a text are one token
-    each. Null or empty text: 0 bytes and tokens. Null doc_id stays null; extra columns are left out.
+    each. Null or empty text: 0 bytes and tokens. Long texts count whole. Null doc_id stays null; each repeated row is counted;
+    an empty table gives no rows; extra columns are left out.
     """
 
     @F.pandas_udf(T.LongType())

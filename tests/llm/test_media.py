@@ -94,3 +94,30 @@ def test_disposal_transparency_and_time():
     assert pixel(restored[2], 0, 0) == red and pixel(restored[2], 1, 2) == (0, 0, 0)
     crossed = list(media.decode_gif(animation([1, 1, 1], clear=0, interlaced=True)))
     assert pixel(crossed[0], 0, 1) == red
+
+
+def test_stored_forms_and_features(spark, sf_dir):
+    """The query's columns from the payload by plain Python: the stored file decodes, by a table, to the payload."""
+    from galegrid.llm import queries
+
+    texts = {r.doc_id: r.text for r in read_documents(spark, sf_dir).where("doc_id < 60").collect()}
+    stored = {r.doc_id: bytes(r.media) for r in media.media_columns(read_documents(spark, sf_dir).where("doc_id < 60")).select("doc_id", "media").collect()}
+    rows = [r for r in queries.op10_gif_media(spark, sf_dir).collect() if r.doc_id in texts]
+    assert len(rows) == 60
+    for r in rows:
+        p, file = payload_of(texts[r.doc_id]), stored[r.doc_id]
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        at, planes = 13 + 768, []
+        while file[at] != 0x3B:
+            assert file[at : at + 3] == b"\x21\xf9\x04" and file[at + 8] == 0x2C and file[at + 18] == 8
+            at, parts = at + 19, []
+            while n := file[at]:
+                parts.append(file[at + 1 : at + 1 + n])
+                at += n + 1
+            at += 1
+            planes.append(slow_decode(b"".join(parts), 8))
+        assert b"".join(planes) == p
+        levels = [0] * 8
+        for b in p:
+            levels[b >> 5] += 1
+        assert r.feature == f"frames={len(planes)};ms={100 * len(planes)};levels={'-'.join(map(str, levels))}"

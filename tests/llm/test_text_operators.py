@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from galegrid.llm import exact_dedup, line_dedup, mixing, near_join, packing, pii, quality, queries, secrets, token_counts
@@ -150,21 +151,25 @@ def test_colliding_digests_are_told_apart_by_full_bytes(odd):
     assert sorted(map(key, weak.collect())) == sorted(map(key, exact_dedup.exact_dedup(odd).collect()))
 
 
-def test_state_lives_on_between_runs(spark, odd, tmp_path):
+def test_two_calls_equal_one(spark, odd, tmp_path):
+    """The second call finds the first call's rows, also where the digest collides."""
     from pyspark.sql import functions as F
 
-    def arrive(lo, hi):
-        rows = odd.where(F.col("doc_id").between(lo, hi)).select(
-            exact_dedup.sha256_bytes(exact_dedup.normalised(F.coalesce("text", F.lit("")))).alias("digest"), "doc_id",
-            F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.xxhash64("text").alias("rid"), F.monotonically_increasing_id().alias("row"),
-        )
-        rows.write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-        return exact_dedup.run_stream(stream, str(tmp_path / "kept")).collect()
-
-    arrive(12, 12)
-    later = arrive(11, 11)
-    assert [(r.n, r.keep.doc_id) for r in later] == [(2, 11)]
+    weak = lambda t: F.encode((F.crc32(F.encode(t, "UTF-8")) % 3).cast("string"), "UTF-8")
+    key = lambda r: (str(r.doc_id), r.rid, str(r.keep_id), r.group_size, r.kept, r.text_sha256)
+    first, second = odd.where("doc_id % 3 = 0 or doc_id is null"), odd.where("doc_id % 3 <> 0")
+    for number, digest in enumerate((exact_dedup.sha256_bytes, weak)):
+        home = str(tmp_path / f"state{number}")
+        exact_dedup.exact_dedup(first, home, digest).collect()
+        later = exact_dedup.exact_dedup(second, home, digest).collect()
+        want = sorted(map(key, exact_dedup.exact_dedup(odd).collect()))
+        everything = exact_dedup.verdicts(spark, home).collect()
+        assert sorted(map(key, everything)) == want
+        assert {r.call for r in later} == {1} and sorted(map(key, later)) == sorted(key(r) for r in everything if r.call == 1)
+        assert len({(r.call, r.row) for r in everything}) == len(everything) == odd.count()
+    # an empty call changes nothing
+    exact_dedup.exact_dedup(odd.limit(0), home, digest).collect()
+    assert sorted(map(key, exact_dedup.verdicts(spark, home).collect())) == want
 
 
 # --- line dedup -----------------------------------------------------------------------------------------------------
@@ -240,6 +245,30 @@ def test_mixing_of_odd_rows(odd, none):
     assert sum(count(r.text) for r in out.collect()) == sum(r.taken for r in rows)
 
 
+def test_mixing_takes_documents_by_their_keys(spark):
+    """The fractional epoch takes a source's documents in order of -ln(u) / weight; heavy ones come first more often."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("word "), (F.col("id") % 7).cast("int"))).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.when(F.col("id") % 10 < 5, 0.0).otherwise(1.0).alias("score"),
+    )
+    unit = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(2**52)) + 0.5) / float(2**52)
+    u = {r.doc_id: (r.u, r.score) for r in docs.select("doc_id", unit.alias("u"), "score").collect()}
+    rows = mixing.mix_sources(docs, mixing.quality_weight(F.col("score"))).collect()
+    check_mix(rows)
+    for source in ("s0", "s1", "s2"):
+        mine = [r for r in rows if r.source == source]
+        epochs, left = divmod(round(mine[0].target), mine[0].source_size)
+        for r in sorted(mine, key=lambda r: -np.log(u[r.doc_id][0]) / (0.1 + u[r.doc_id][1])):
+            part = min(left, r.size)
+            left -= part
+            assert r.taken == epochs * r.size + part
+            assert abs(r.key + np.log(u[r.doc_id][0]) / (0.1 + u[r.doc_id][1])) < 1e-9
+    first = sorted((r.key, u[r.doc_id][1]) for r in rows)[:600]
+    assert sum(score for _, score in first) > 0.85 * len(first)
+
+
 def test_shares_beyond_three_times_a_source(spark):
     rows = [(i, "w " * n, None, s, 0) for i, (s, n) in enumerate([("a", 9000), ("b", 10), ("c", 50), ("d", 0), (None, 700)])]
     check_mix(mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect())
@@ -262,7 +291,10 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     assert {r.score for r in quality.classify_quality(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.classify_quality(none, labels).collect() == []
-    assert quality.keep_good(odd, labels).columns == odd.columns
+    scores = {(r.doc_id, r.score) for r in rows}
+    kept_rows = quality.keep_good(odd, labels)
+    assert kept_rows.columns == odd.columns and kept_rows.count() == sum(r.predicted for r in rows)
+    assert len({score for d, score in scores if d in (4, 5)}) == 1
 
 
 # --- near copies ----------------------------------------------------------------------------------------------------
@@ -406,7 +438,8 @@ def test_hard_spans(spark):
     texts = {i: "".join(pieces[j] for j in rng.integers(0, len(pieces), 12)) for i in range(400)} | {400: "a" * 300_000, 401: "1." * 50_000, 402: "a@b" + ".c" * 30_000, 403: "7 " * 60_000}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in pii.span_columns(docs, pii.entity_spans(docs)).collect():
-        assert r.base == ",".join(brute_spans(texts[r.doc_id]))
+        # the run of letters would take the plain pattern the square of its length
+        assert r.base == (",".join(brute_spans(texts[r.doc_id])) if r.doc_id != 400 else "")
 
 
 def test_terms_that_give_an_entity_away(spark):
@@ -429,6 +462,60 @@ def test_terms_by_an_entity_of_two_documents(spark):
     assert {(1, "quendal"), (2, "quendal"), (3, "quendal")} <= spans and not [s for s in spans if s[0] >= 4]
 
 
+def brute_terms(texts, s):
+    """Terms and whether they are removed, by the definition, from all texts."""
+    word = regex.compile(pii.TERM)
+    words = {d: set(word.findall(t.lower())) for d, t in texts.items()}
+    holders, near = Counter(w for found in words.values() for w in found), defaultdict(set)
+    docs_of = defaultdict(set)
+    for d, t in texts.items():
+        for kind, p in BASE.items():
+            spans = [m.span() for m in re.finditer(p, t)]
+            for k, (a, b) in enumerate(spans):
+                if f"{kind}:{a}:{b}" not in brute_spans(t):
+                    continue
+                lo, hi = max(a - s.window, spans[k - 1][1] if k else 0), min(b + s.window, spans[k + 1][0] if k + 1 < len(spans) else len(t))
+                cut_lo, cut_hi = a - s.window > (spans[k - 1][1] if k else 0), b + s.window < (spans[k + 1][0] if k + 1 < len(spans) else len(t))
+                before, after = t[lo:a], t[b:hi]
+                if cut_lo and regex.match(r"\p{L}", t[lo - 1]):
+                    before = regex.sub(r"^\p{L}+", "", before)
+                if cut_hi and regex.match(r"\p{L}", t[hi]):
+                    after = regex.sub(r"\p{L}+$", "", after)
+                said, found, digits = f"{before} {after}", t[a:b], re.sub("[^0-9]", "", t[a:b])
+                of = {"email": found.split("@")[1].lower() if kind == "email" else "", "ip": found.rsplit(".", 1)[0], "card": digits[:6], "phone": digits[:5]}[kind]
+                for name in ((kind, found), ("class", kind, of)):
+                    docs_of[name].add(d)
+                    for w in set(word.findall(said.lower())):
+                        near[name, w].add((d, said))
+    terms, n = {}, len(texts)
+    for (name, w), seen in near.items():
+        if len({x for _, x in seen}) < s.min_support or len(seen) < s.min_support:
+            continue
+        n_t, content = holders[w], np.log2(n / len(docs_of[name]))
+        p = min(len(seen), n_t) / n_t
+        low = (p + s.z**2 / (2 * n_t) - s.z * np.sqrt(p * (1 - p) / n_t + s.z**2 / (4 * n_t**2))) / (1 + s.z**2 / n_t)
+        if 1 + np.log2(p) / content >= s.generalise and 1 + np.log2(low) / content >= s.assured:
+            terms[w] = max(terms.get(w, 0), 1 + np.log2(p) / content)
+    return {w: x >= s.remove for w, x in terms.items()}
+
+
+def test_terms_equal_brute_force(spark, sf_dir, texts):
+    docs, s = read_documents(spark, sf_dir), pii.Disclosure()
+    terms, _ = pii.revealing_terms(docs, pii.entity_spans(docs, s.window), s)
+    want = brute_terms(texts, s)
+    assert want and {r.term: r.removed for r in terms.collect()} == want
+    word, expected = regex.compile(pii.TERM), set()
+    for d, t in texts.items():
+        expected |= {(d, m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in want}
+    spans = pii.find_personal_data(docs).collect()
+    assert {(r.doc_id, r.start, r.end) for r in spans if r.kind == "term"} == expected
+    # sanitised texts hold no base span, no removed term and all else
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    touched = {r.doc_id for r in spans}
+    assert all(clean[d] == t for d, t in texts.items() if d not in touched)
+    assert not [1 for d in touched for x in brute_spans(clean[d]) if x.startswith("email")] and not [w for d in touched for w in word.findall(clean[d].lower()) if w in want and w not in ("email", "card", "phone", "term")]
+
+
 def test_personal_data_of_odd_rows(odd, none):
     rows = pii.span_columns(odd, pii.find_personal_data(odd)).collect()
     assert len(rows) == odd.count() and [r.n_email for r in rows if r.doc_id == 13] == [2]
