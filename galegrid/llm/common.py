@@ -74,6 +74,22 @@ def wide_hash(*columns: Column) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(7919), *columns).alias("b"))
 
 
+#: Names of row_key's columns.
+ROW_KEY = ["__row_a", "__row_b"]
+
+
+def row_key(*columns: Column) -> dict[str, Column]:
+    """ROW_KEY: what names a row for a join of whole rows with verdicts. Both sides, and whatever groups by the same two columns
+    afterwards, share one shuffle of the rows; nulls have a key too."""
+    h = wide_hash(*columns)
+    return {name: h[part] for name, part in zip(ROW_KEY, ("a", "b"), strict=True)}
+
+
+def one_of_equal(rows: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows whose ROW_KEY verdict has, one of each key, without the key. Rows are shuffled once."""
+    return rows.join(verdict.select(*ROW_KEY), ROW_KEY, "left_semi").dropDuplicates(ROW_KEY).drop(*ROW_KEY)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

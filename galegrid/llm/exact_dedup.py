@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, folder, kept, shared_dir, text_of
+from .common import BLANK_CLASS, folder, kept, one_of_equal, row_key, shared_dir, text_of
 
 #: The state store on local disk, with its memory bounded on each executor.
 STATE_CONF = {
@@ -166,7 +166,5 @@ def _wrong_hits(spark: SparkSession, home: str, call: int, touched: DataFrame) -
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of equal texts, with the columns of docs. Nulls, ties and repeated rows as in exact_dedup; an
     empty table gives no rows."""
-    verdict = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__dd_doc"), F.col("rid").alias("__dd_rid"))
-    rows = docs.withColumn("__dd_text", F.xxhash64(text_of()))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__dd_doc")) & (F.col("__dd_text") == F.col("__dd_rid"))
-    return rows.join(verdict, match, "left_semi").dropDuplicates(["doc_id", "__dd_text"]).drop("__dd_text")
+    verdict = exact_dedup(docs).where("kept").withColumns(row_key(F.col("doc_id"), F.col("rid")))
+    return one_of_equal(docs.withColumns(row_key(F.col("doc_id").cast("long"), F.xxhash64(text_of()))), verdict)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, kept, partitions, text_of
+from .common import ROW_KEY, WORD_PATTERN, kept, partitions, row_key, text_of
 
 #: Bits of the hash that make a uniform number.
 UNIT_BITS = 52
@@ -91,23 +91,23 @@ def mixed_documents(docs: DataFrame, weight: Column | None = None, cap: float =
     its last word taken, with its white space; it has the whole document's doc_id. Null and empty texts have no words and go. Rows
     that repeat are taken each by itself. An empty table gives no rows.
     """
-    columns, taken = docs.columns, "__mix_taken"
-    plan = mix_sources(docs, weight, cap, cycle, seed).select(
-        F.col("doc_id").alias("__mix_doc"), F.col("rid").alias("__mix_rid"), F.col("source").alias("__mix_source"), "size", "taken"
+    columns, taken = docs.columns, F.col("__mix_taken")
+    # equal rows can be taken to different extents, three at most: each extent with the number of rows up to it
+    plan = mix_sources(docs, weight, cap, cycle, seed).withColumns(row_key(F.col("doc_id"), F.col("rid"), F.col("source")))
+    plan = plan.groupBy(*ROW_KEY, F.col("size").alias("__mix_size"), "taken").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*ROW_KEY).orderBy("taken").rowsBetween(Window.unboundedPreceding, 0)
+    plan = plan.withColumn("upto", F.sum("n").over(upto)).groupBy(*ROW_KEY).agg(
+        F.first("__mix_size").alias("__mix_size"), F.sort_array(F.collect_list(F.struct("upto", "taken"))).alias("__mix_extents")
     )
-    # equal rows can be taken to different extents: numbered on both sides, they are told apart
-    same = ["__mix_doc", "__mix_rid", "__mix_source"]
-    plan = plan.withColumn("__mix_no", F.row_number().over(Window.partitionBy(*same).orderBy("taken"))).withColumnsRenamed({"size": "__mix_size", "taken": taken})
-    rows = docs.withColumns({"__mix_d": F.col("doc_id"), "__mix_r": F.xxhash64(text_of()), "__mix_s": F.col("source")})
-    rows = rows.withColumn("__mix_n", F.row_number().over(Window.partitionBy("__mix_d", "__mix_r", "__mix_s").orderBy(F.lit(0))))
-    match = F.col("__mix_d").eqNullSafe(F.col("__mix_doc")) & (F.col("__mix_r") == F.col("__mix_rid")) & F.col("__mix_s").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_n") == F.col("__mix_no"))
+    rows = docs.withColumns(row_key(F.col("doc_id"), F.xxhash64(text_of()), F.col("source"))).join(plan, ROW_KEY)
+    rows = rows.withColumn("__mix_no", F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(F.lit(0))))
+    joined = rows.withColumn("__mix_taken", F.get(F.filter("__mix_extents", lambda e: e["upto"] >= F.col("__mix_no")), F.lit(0))["taken"])
     size, words = F.col("__mix_size"), F.regexp_extract_all(text_of(), F.lit(WORD_PATTERN), F.lit(0))
     gaps = F.split(text_of(), WORD_PATTERN, -1)
-    whole, part = F.floor(F.col(taken) / F.greatest(size, F.lit(1))), F.col(taken) % F.greatest(size, F.lit(1))
+    whole, part = F.floor(taken / F.greatest(size, F.lit(1))), taken % F.greatest(size, F.lit(1))
     copies = F.concat(
         F.array_repeat(F.col("text"), whole.cast("int")),
         F.when(part > 0, F.array(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), part.cast("int")), F.slice(words, F.lit(1), part.cast("int")), lambda g, w: F.concat(g, w)), ""))).otherwise(F.array().cast("array<string>")),
     )
-    joined = rows.join(plan, match)
     out = joined.withColumn("__mix_text", F.explode(copies))
     return out.select(*[F.col("__mix_text").alias(c) if c == "text" else F.char_length("__mix_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])

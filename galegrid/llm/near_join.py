@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_of
+from .common import kept, one_of_equal, row_key, text_of
 from .components import components
 
 #: Words kept hashed by a task; the store is emptied when it is full.
@@ -328,7 +328,5 @@ def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 def one_of_each(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row of docs for each class, that of the smallest doc_id, with the columns of docs. Of texts without words, and
     of rows with a null doc_id that head their class, all stay but equal rows. An empty table gives no rows."""
-    verdict = jaccard_join(docs, forest).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__nj_doc"), F.col("rid").alias("__nj_rid"))
-    rows = docs.withColumn("__nj_text", F.xxhash64(text_of()))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__nj_doc")) & (F.col("__nj_text") == F.col("__nj_rid"))
-    return rows.join(verdict, match, "left_semi").dropDuplicates(["doc_id", "__nj_text"]).drop("__nj_text")
+    verdict = jaccard_join(docs, forest).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumns(row_key(F.col("doc_id"), F.col("rid")))
+    return one_of_equal(docs.withColumns(row_key(F.col("doc_id").cast("long"), F.xxhash64(text_of()))), verdict)
