@@ -20,9 +20,18 @@ def gradients(grid: DataFrame) -> DataFrame:
     return d.select("t", "y", "x", gradient_angle(F.col("dy"), F.col("dx")).alias("g"))
 
 
-def smooth_gradients(grid: DataFrame, width: int, sigma: float = 2.0) -> DataFrame:
-    """Gradients of the filled, blurred frames."""
-    return gradients(stencil.gaussian_blur(stencil.spatial_fill(grid, width), sigma))
+def smooth_gradients(grid: DataFrame, height: int, width: int, sigma: float = 2.0) -> DataFrame:
+    """Gradients of the filled, blurred frames; blur and gradient in one pass over tiles."""
+    w = stencil.gaussian_weights(sigma)
+    halo = len(w) // 2 + 1
+
+    def angle(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        # blurred a cell beyond the tile, so that its differences are at hand
+        smooth = stencil.filter_arrays(arrays[0], w, w, shape, top, left, height, width, margin=1)
+        dy, dx = stencil.frame_difference(smooth, 1, top, height), stencil.frame_difference(smooth, 2, left, width)
+        return [np.where((dy == 0) & (dx == 0), 180.0, np.degrees(np.arctan2(dy, -dx)) % 360)]
+
+    return tiles.apply_tiles(stencil.spatial_fill(grid, width), ["v"], halo, height, width, angle, "g double")
 
 
 def disc_variance(angles: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
@@ -41,7 +50,7 @@ def tiled_variance(angles: DataFrame, radius: int, height: int, width: int, tile
     rays = [np.degrees(np.arctan2(-dy, dx)) % 360 if (dy, dx) != (0, 0) else 0.0 for dy, dx in offsets]
 
     def variance(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
-        n, s, q = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        n, s, q = (np.zeros((len(arrays[0]), *shape)) for _ in range(3))
         for window, ray in zip(tiles.windows(shape, radius, offsets), rays, strict=True):
             d = arrays[0][window] - ray
             d = np.where(d < -270, d + 360, np.where(d < -90, -d - 180, np.where(d > 270, d - 360, np.where(d > 90, 180 - d, d))))
@@ -64,7 +73,7 @@ def dav_map(grid: DataFrame, radius: int, height: int, width: int, skip: DataFra
     """
     if radius != int(radius) or radius < 1:
         raise ValueError("the radius must be a whole number of pixels")
-    angles = smooth_gradients(grid, width) if smooth else gradients(grid)
+    angles = smooth_gradients(grid, height, width) if smooth else gradients(grid)
     wanted = grid.select("t", "y", "x", "v")
     if skip is not None:
         wanted = wanted.join(skip.select("t", "y", "x", "skip"), ["t", "y", "x"], "left").where(~F.coalesce("skip", F.lit(False)))
@@ -88,7 +97,7 @@ def centre_dav(grid: DataFrame, radius: int, height: int, width: int) -> DataFra
     is filled and blurred, so the blur reflects at the cut."""
     half = radius + 3
     side = 2 * half
-    angles = smooth_gradients(centre_cut(grid, height, width, half), side)
+    angles = smooth_gradients(centre_cut(grid, height, width, half), side, side)
     near = F.col("y").between(half - 2, half + 1) & F.col("x").between(half - 2, half + 1)
     return disc_variance(angles, angles.where(near), radius).groupBy("t").agg(F.avg("dav").alias("dav"))
 
@@ -98,7 +107,7 @@ def cpu_dav(grid: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     gradients, one disc between four pixels, differences wrapped by 180 degrees, and n + 1 as divisor."""
     half = radius + 5
     whole = centre_cut(grid, height, width, half).withColumn("v", F.col("v").cast("int").cast("double"))
-    d = stencil.sobel(stencil.gaussian_blur(whole, 2.0, "nearest", whole=True))
+    d = stencil.sobel(stencil.gaussian_blur(whole, 2 * half, 2 * half, 2.0, "nearest", whole=True), 2 * half, 2 * half)
     angles = d.select("t", "y", "x", coarse_angle(F.col("dy"), F.col("dx")).alias("g"))
     disc = masks.half_disc(grid.sparkSession, radius).select((F.col("dy") + half).alias("y"), (F.col("dx") + half).alias("x"), "ray")
     # differences are rounded, so that engines agree on which side of a wrap's jump they fall

@@ -59,7 +59,7 @@ def all_moves(dav: DataFrame, radius: int, height: int, width: int, is_global: b
 
     def least(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
         y, x = np.mgrid[top : top + shape[0], left : left + shape[1]]
-        best, to_y, to_x = np.full(shape, np.inf), y.copy(), x.copy()
+        best, to_y, to_x = np.full((len(arrays[0]), *shape), np.inf), y, x
         cut_y = np.maximum(0, radius - y)
         cut_x = 0 if is_global else np.maximum(0, radius - x)
         for (dy, dx), window in zip(offsets, tiles.windows(shape, radius, offsets), strict=True):
@@ -78,7 +78,7 @@ def all_means(grid: DataFrame, radius: int, height: int, width: int, is_global:
     offsets = _half_disc(radius)
 
     def mean(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
-        n, s = np.zeros(shape), np.zeros(shape)
+        n, s = np.zeros((len(arrays[0]), *shape)), np.zeros((len(arrays[0]), *shape))
         for window in tiles.windows(shape, radius, offsets):
             there = ~np.isnan(arrays[0][window])
             n += there

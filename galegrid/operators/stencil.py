@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import masks
+from . import tiles
 
 
 def across() -> WindowSpec:
@@ -56,37 +57,60 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def reflected(i: Column, n: Column) -> Column:
+def reflected(i: np.ndarray, n: int) -> np.ndarray:
     """Index mirrored at the border, the border cell included: -1 is 0, n is n - 1, any distance."""
-    m = F.pmod(i, 2 * n)
-    return F.when(m < n, m).otherwise(2 * n - 1 - m)
-
-
-def clamped(i: Column, n: Column) -> Column:
-    return F.least(F.greatest(i, F.lit(0)), n - 1)
-
-
-def _filter_axis(grid: DataFrame, along: str, across: str, weights: list[float], index, whole: bool) -> DataFrame:
-    """Each line of cells becomes one array, so a pass is one shuffle of the grid and no join."""
-    h = len(weights) // 2
-    lines = grid.groupBy("t", across).agg(F.array_sort(F.collect_list(F.struct(F.col(along).alias("i"), "v"))).alias("line"))
-    lines = lines.select("t", across, F.transform("line", lambda c: c["i"]).alias("at"), F.transform("line", lambda c: c["v"]).alias("line"), F.size("line").alias("n"))
-    taps = F.array(*[F.struct(F.lit(k - h).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(weights) if w])
-
-    def one(_: Column, i: Column) -> Column:
-        total = F.aggregate(taps, F.lit(0.0), lambda a, tap: a + tap["w"] * F.get("line", index(i + tap["k"], F.col("n"))))
-        return total.cast("int").cast("double") if whole else total
+    m = i % (2 * n)
+    return np.where(m < n, m, 2 * n - 1 - m)
+
+
+def clamped(i: np.ndarray, n: int) -> np.ndarray:
+    return np.clip(i, 0, n - 1)
+
+
+EDGES = {"reflect": reflected, "nearest": clamped}
+
+
+def filter_arrays(
+    array: np.ndarray, down: list[float], across: list[float], shape: tuple[int, int], top: int, left: int, height: int, width: int,
+    edge: str = "reflect", whole: bool = False, margin: int = 0,
+) -> np.ndarray:
+    """Haloed arrays (frames, rows, columns) weighed down, then across, to the tile's shape and margin cells around it. Cells beyond the frame
+    are taken by edge from within it; a cell that isn't there leaves what it reaches missing."""
+    halo = (array.shape[1] - shape[0]) // 2
+    for axis, weights, first, n, size in ((1, down, top, height, shape[0]), (2, across, left, width, shape[1])):
+        h = len(weights) // 2
+        # the frame's rows (columns) that the taps of the cells wanted fall on, as places in the array
+        places = EDGES[edge](np.arange(first - margin - h, first + size + margin + h), n) - first + halo
+        array = np.take(array, places, axis=axis)
+        total = np.zeros(array.shape[:axis] + (size + 2 * margin,) + array.shape[axis + 1 :])
+        for k, w in enumerate(weights):
+            if w:
+                total = total + w * array[(slice(None),) * axis + (slice(k, k + size + 2 * margin),)]
+        array = np.trunc(total) if whole else total
+    return array
+
+
+def frame_difference(array: np.ndarray, axis: int, first: int, n: int) -> np.ndarray:
+    """Half the difference of the neighbours along an axis, at the frame's border the difference to the one neighbour. array has a margin of
+    one cell, which is left; first: place in the frame of the first cell without it."""
+    size = array.shape[axis] - 2
+    cut = lambda lo, a: np.take(a, range(lo, lo + size), axis=axis)
+    before, here, after = (cut(lo, array) for lo in (0, 1, 2))
+    at = (first + np.arange(size)).reshape([-1 if k == axis else 1 for k in range(3)])
+    found = np.where(at == 0, after - here, np.where(at == n - 1, here - before, (after - before) / 2)) if n > 1 else np.full(here.shape, np.nan)
+    other = 3 - axis
+    return np.take(found, range(1, found.shape[other] - 1), axis=other)
+
+
+def gaussian_blur(grid: DataFrame, height: int, width: int, sigma: float = 2.0, edge: str = "reflect", whole: bool = False) -> DataFrame:
+    """Separable Gaussian blur, rows of cells down first, then across, by tiles. edge: reflect or nearest. whole: values are cut to integers
+    after each pass, as integer images are. A missing cell, or one without a row, leaves what it reaches missing."""
+    w = gaussian_weights(sigma)
 
-    filtered = lines.select("t", across, F.explode(F.arrays_zip(F.col("at"), F.transform("line", one).alias("v"))).alias("c"))
-    return filtered.select("t", across, F.col("c.at").alias(along), F.col("c.v").alias("v")).select("t", "y", "x", "v")
+    def blur(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        return [filter_arrays(arrays[0], w, w, shape, top, left, height, width, edge, whole)]
 
-
-def gaussian_blur(grid: DataFrame, sigma: float = 2.0, edge: str = "reflect", whole: bool = False) -> DataFrame:
-    """Separable Gaussian blur, rows of cells down first, then across. edge: reflect or nearest. whole: values are cut to integers
-    after each pass, as integer images are. A missing cell leaves what it reaches missing."""
-    index = {"reflect": reflected, "nearest": clamped}[edge]
-    w = gaussian_weights(sigma)
-    return _filter_axis(_filter_axis(grid, "y", "x", w, index, whole), "x", "y", w, index, whole)
+    return tiles.apply_tiles(grid, ["v"], len(w) // 2, height, width, blur, "v double")
 
 
 def central_difference(grid: DataFrame) -> DataFrame:
@@ -100,17 +124,26 @@ def central_difference(grid: DataFrame) -> DataFrame:
     return grid.withColumns({"dy": along(down()), "dx": along(across())})
 
 
-def sobel(grid: DataFrame, whole: bool = False) -> DataFrame:
-    """dy and dx of the 3 x 3 Sobel filter, borders reflected."""
+def sobel(grid: DataFrame, height: int, width: int, whole: bool = False) -> DataFrame:
+    """(t, y, x, dy, dx) of the 3 x 3 Sobel filter, borders reflected, by tiles."""
     step, smooth = [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]
-    dy = _filter_axis(_filter_axis(grid, "y", "x", step, reflected, whole), "x", "y", smooth, reflected, whole)
-    dx = _filter_axis(_filter_axis(grid, "y", "x", smooth, reflected, whole), "x", "y", step, reflected, whole)
-    return grid.join(dy.withColumnRenamed("v", "dy"), ["t", "y", "x"]).join(dx.withColumnRenamed("v", "dx"), ["t", "y", "x"])
+
+    def both(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
+        return [filter_arrays(arrays[0], down, across, shape, top, left, height, width, whole=whole) for down, across in ((step, smooth), (smooth, step))]
+
+    return tiles.apply_tiles(grid, ["v"], 1, height, width, both, "dy double, dx double")
 
 
 def resample_bilinear(grid: DataFrame, height: int, width: int, factor: float) -> DataFrame:
     """Frames resized by factor, their sides cut to whole cells: each cell mixes the two nearest rows and columns of the source
     by its centre's place, borders clamped. A missing source cell leaves what it has a part in missing."""
+    for name, side in (("height", height), ("width", width)):
+        if not isinstance(side, int) or isinstance(side, bool) or side < 1:
+            raise ValueError(f"{name} must be a whole number of cells, 1 or more: {side!r}")
+    if not isinstance(factor, (int, float)) or isinstance(factor, bool) or not factor > 0 or int(min(height, width) * factor) < 1:
+        raise ValueError(f"factor must be a number that leaves a cell a side at least: {factor!r}")
+    if dict(grid.dtypes).get("v") not in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        raise ValueError("frames must be relations (t, y, x, v) with numbers in v")
     spark = grid.sparkSession
 
     def taps(n: int, name: str) -> DataFrame:
@@ -133,11 +166,18 @@ def resample_bilinear(grid: DataFrame, height: int, width: int, factor: float) -
 
 
 def erode(cells: DataFrame, iterations: int = 5) -> DataFrame:
-    """cells: (t, y, x) of what is set. Cells whose whole diamond is set; beyond the frame nothing is."""
-    shape = masks.diamond(cells.sparkSession, iterations)
-    spread = cells.crossJoin(F.broadcast(shape)).select("t", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    full = 2 * iterations * (iterations + 1) + 1
-    return spread.groupBy("t", "y", "x").count().where(F.col("count") == full).select("t", "y", "x")
+    """cells: (t, y, x) of what is set. Cells whose whole diamond is set; beyond the frame nothing is.
+
+    A cell knows how far its run of set cells goes on both sides, so it says to each row of the diamond whether it fills that row: at most
+    2 * iterations + 1 rows for each cell, not the diamond's area.
+    """
+    k = iterations
+    island = cells.distinct().withColumn("island", F.col("x") - F.row_number().over(across()))
+    run = Window.partitionBy("t", "y", "island")
+    reach = island.withColumn("reach", F.least(F.col("x") - F.min("x").over(run), F.max("x").over(run) - F.col("x"), F.lit(k)))
+    fills = F.filter(F.sequence(F.lit(-k), F.lit(k)), lambda dy: F.abs(dy) >= k - F.col("reach"))
+    filled = reach.select("t", F.explode(F.transform(fills, lambda dy: F.col("y") + dy)).alias("y"), "x")
+    return filled.groupBy("t", "y", "x").count().where(F.col("count") == 2 * k + 1).select("t", "y", "x")
 
 
 def dilate(cells: DataFrame, grid: DataFrame, iterations: int = 10) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE = 64
+#: Cells of small frames that are worked on at once.
+GROUP_CELLS = 4 * TILE * TILE
 
 
 def haloed(cells: DataFrame, halo: int, height: int, width: int, tile: int = TILE, wrap: bool = False) -> DataFrame:
@@ -26,36 +28,35 @@ def haloed(cells: DataFrame, halo: int, height: int, width: int, tile: int = TIL
     return shifted.withColumn("ty", reach(F.col("y"), height)).withColumn("tx", reach(F.col("x"), width))
 
 
-def windows(shape: tuple[int, int], halo: int, offsets: list[tuple[int, int]]) -> Iterator[tuple[slice, slice]]:
-    """For each offset, where the tile's cells find that neighbour in the haloed array."""
+def windows(shape: tuple[int, int], halo: int, offsets: list[tuple[int, int]]) -> Iterator[tuple]:
+    """For each offset, where the tile's cells find that neighbour in the haloed arrays."""
     h, w = shape
     for dy, dx in offsets:
-        yield slice(halo + dy, halo + dy + h), slice(halo + dx, halo + dx + w)
+        yield ..., slice(halo + dy, halo + dy + h), slice(halo + dx, halo + dx + w)
 
 
 def apply_tiles(cells: DataFrame, columns: list[str], halo: int, height: int, width: int, kernel: Callable, out: str, tile: int = TILE, wrap: bool = False) -> DataFrame:
-    """(t, y, x, out) of every cell of the tiles. kernel(arrays, shape, top, left) gets each column as an array with the halo around it,
-    NaN where there is nothing, and returns an array of the tile's shape for each name in out ("name type, ...")."""
+    """(t, y, x, out) of every cell of the tiles. kernel(arrays, shape, top, left) gets each column as arrays with the halo around them,
+    (frames, rows, columns), NaN where there is nothing, and returns arrays of the frames' number and the tile's shape, one for each name in
+    out ("name type, ..."). Frames of less than a tile come many at once: a group has the cells of a few tiles at most."""
     names = [c.split()[0] for c in out.split(",")]
+    together = max(1, GROUP_CELLS // (height * width)) if height <= tile and width <= tile else 1
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t, ty, tx = (int(k) for k in key)
+        _, ty, tx = (int(k) for k in key)
         top, left = ty * tile, tx * tile
         shape = min(tile, height - top), min(tile, width - left)
+        t, place = np.unique(rows["t"].to_numpy(), return_inverse=True)
         y, x = rows["y"].to_numpy() - top + halo, rows["x"].to_numpy() - left + halo
         inside = (y < shape[0] + 2 * halo) & (x < shape[1] + 2 * halo)
         arrays = []
         for c in columns:
-            array = np.full((shape[0] + 2 * halo, shape[1] + 2 * halo), np.nan)
-            array[y[inside], x[inside]] = rows[c].to_numpy(dtype=float)[inside]
+            array = np.full((len(t), shape[0] + 2 * halo, shape[1] + 2 * halo), np.nan)
+            array[place[inside], y[inside], x[inside]] = rows[c].to_numpy(dtype=float)[inside]
             arrays.append(array)
         found = kernel(arrays, shape, top, left)
-        j, i = np.mgrid[top : top + shape[0], left : left + shape[1]]
-        frame = pd.DataFrame({"t": t, "y": j.ravel(), "x": i.ravel()} | {n: a.ravel() for n, a in zip(names, found, strict=True)})
-        for n, a in zip(names, found, strict=True):
-            if np.isnan(a).any():
-                frame[n] = frame[n].astype(object).where(frame[n].notna(), None)
-        return frame
-
-    tiles = haloed(cells.select("t", "y", "x", *columns), halo, height, width, tile, wrap)
-    return tiles.groupBy("t", "ty", "tx").applyInPandas(one, f"t int, y int, x int, {out}")
+        frame, j, i = np.mgrid[: len(t), top : top + shape[0], left : left + shape[1]]
+        return pd.DataFrame({"t": t[frame.ravel()], "y": j.ravel(), "x": i.ravel()} | {n: a.ravel() for n, a in zip(names, found, strict=True)})
+
+    tiles = haloed(cells.select("t", "y", "x", *columns), halo, height, width, tile, wrap).withColumn("chunk", F.floor(F.col("t") / together))
+    return tiles.groupBy("chunk", "ty", "tx").applyInPandas(one, f"t int, y int, x int, {out}")

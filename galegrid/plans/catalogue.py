@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, axes, geometry, masks
 from ..operators import clusters, dav, patches, stencil, tracks
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import readers
 from ..sources.best_tracks import BestTracks
@@ -58,6 +60,53 @@ def scan_grid(spark, sf_dir):
     return fx.grid_missing(spark, sf_dir).select("t", "y", "x", readers.null_for_nan("v").alias("v"))
 
 
+@register(sql.query("t:i ts:s y:i x:i v:v", "SELECT dense_rank() OVER (ORDER BY ts) - 1 AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id AS y, event_id AS x, value AS v FROM events"))
+def scan_files(spark, sf_dir):
+    """Files as gridded data: times are numbered in order, two columns are the cell, one the value."""
+    found = readers.read_grid(spark, f"{sf_dir}/events.parquet", variable="value", y="user_id", x="event_id")
+    return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _stored(spark: SparkSession, name: str, frames: DataFrame) -> str:
+    """frames in two files' folders, as archives come, in the folder that all executors share."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        frames.where(F.col("time_no") % 2 == half).drop("time_no").write.parquet(f"{path}/part={half}")
+    return path
+
+
+def _every(minutes: int) -> Column:
+    """Times of the fixture's frames."""
+    return F.lit("2022-09-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("t") * minutes)
+
+
+@register(sql.query("t:i ts:s y:i x:i v:v", "SELECT t, strftime(TIMESTAMP '2022-09-01' + to_minutes(30 * t), '%Y-%m-%d %H:%M:%S') AS ts, y, x, v FROM grid_missing"))
+def scan_infrared(spark, sf_dir):
+    """Brightness temperatures of several files; missing ones are stored as NaN."""
+    frames = fx.grid_missing(spark, sf_dir).select(
+        F.col("t").alias("time_no"), _every(30).alias("time"), F.col("y").alias("lat"), F.col("x").alias("lon"),
+        F.coalesce("v", F.lit(float("nan"))).alias("Tb"),
+    )
+    path = _stored(spark, "infrared", frames)
+    return readers.read_infrared(spark, f"{path}/part=0", f"{path}/part=1").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register(sql.query("t:i ts:s y:i x:i v:v", "SELECT t, strftime(TIMESTAMP '2022-09-01' + to_minutes(60 * t), '%Y-%m-%d %H:%M:%S') AS ts, y, x, (v - 250) / 2 AS v FROM grid64"))
+def scan_wind(spark, sf_dir):
+    """One component of wind files that have two."""
+    frames = fx.grid64(spark, sf_dir).select(
+        F.col("t").alias("time_no"), _every(60).alias("time"), F.col("y").alias("latitude"), F.col("x").alias("longitude"),
+        F.lit(0.0).alias("u"), ((F.col("v") - 250) / 2).alias("v"),
+    )
+    path = _stored(spark, "wind", frames)
+    return readers.read_wind(spark, f"{path}/part=0", f"{path}/part=1", direction="v").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register(sql.query("t:i lat0:v lon0:v dlat:v dlon:v is_global:s", "SELECT DISTINCT t, -5 + 0.25 / 2 AS lat0, -4 + 0.25 / 2 AS lon0, 0.25 AS dlat, 0.25 AS dlon, false AS is_global FROM grid64"))
+def cropped_axes(spark, sf_dir):
+    return readers.cropped_frames(fx.frames(spark, sf_dir), north=5.0, south=-5.0, west=-4.0, east=6.0).select("t", "lat0", "lon0", "dlat", "dlon", "is_global")
+
+
 @register(sql.query("t:i y:i x:i v:v", "SELECT t, y - 10 AS y, x - 5 AS x, v FROM grid64 WHERE y >= 10 AND y < 50 AND x >= 5 AND x < 60"))
 def crop_bbox(spark, sf_dir):
     return readers.crop(fx.grid64(spark, sf_dir), north=50, south=10, west=5, east=60)
@@ -152,7 +201,7 @@ def spatial_fill(spark, sf_dir):
 
 @register(sql.query("t:i y:i x:i v:v", "SELECT * FROM blurs", **sql.blurred("grid64", "blurs", S)))
 def gaussian_blur(spark, sf_dir):
-    return stencil.gaussian_blur(fx.grid64(spark, sf_dir))
+    return stencil.gaussian_blur(fx.grid64(spark, sf_dir), S, S)
 
 
 @register(sql.query("t:i y:i x:i g:v", sql.angles("grid64")))
@@ -162,7 +211,7 @@ def gradient_angle(spark, sf_dir):
 
 @register(sql.query("t:i y:i x:i g:v", f"SELECT t, y, x, {sql.COARSE.format(y='dy', x='dx')} AS g FROM sobels", **sql.sobels("grid64", S)))
 def sobel_angle(spark, sf_dir):
-    return stencil.sobel(fx.grid64(spark, sf_dir)).select("t", "y", "x", angles.coarse_angle(F.col("dy"), F.col("dx")).alias("g"))
+    return stencil.sobel(fx.grid64(spark, sf_dir), S, S).select("t", "y", "x", angles.coarse_angle(F.col("dy"), F.col("dx")).alias("g"))
 
 
 # --- angles and masks -----------------------------------------------------------------------------------------------
@@ -195,7 +244,8 @@ def wrap_angle(spark, sf_dir):
 
 @register(sql.query("t:i y:i x:i dav:v", sql.variance("g", 3, "grid8"), g=sql.angles("grid8")))
 def dav_map_r3(spark, sf_dir):
-    return dav.dav_map(fx.grid8(spark, sf_dir), 3, 8, 8, smooth=False, cells=1)
+    """By the offset join, as long as its rows are few."""
+    return dav.dav_map(fx.grid8(spark, sf_dir), 3, 8, 8, smooth=False, cells=64 * fx.table(spark, sf_dir, "embeddings").count())
 
 
 @register(sql.query("t:i y:i x:i dav:v", sql.variance("g", 3, "grid8"), g=sql.angles("grid8")))
@@ -208,7 +258,7 @@ def dav_map_tiled(spark, sf_dir):
     full_v=sql.filled("grid_missing", S), **sql.blurred("full_v", "smooth_v", S), g=sql.angles("smooth_v"), dv=sql.variance("g", 5, "grid_missing"),
 ))
 def dav_map_full(spark, sf_dir):
-    return dav.dav_map(fx.grid_missing(spark, sf_dir), 5, S, S, cells=1)
+    return dav.dav_map(fx.grid_missing(spark, sf_dir), 5, S, S)
 
 
 @register(sql.query(
@@ -217,7 +267,7 @@ def dav_map_full(spark, sf_dir):
 def dav_skip_mask(spark, sf_dir):
     grid = fx.grid8(spark, sf_dir)
     skip = grid.select("t", "y", "x", ((F.col("x") + F.col("y")) % 3 == 0).alias("skip"))
-    return dav.dav_map(grid, 3, 8, 8, skip=skip, smooth=False, cells=1)
+    return dav.dav_map(grid, 3, 8, 8, skip=skip, smooth=False)
 
 
 @register(sql.query(
@@ -460,10 +510,15 @@ def best_tracks_half_hourly(spark, sf_dir):
     return BestTracks(fx.storms(spark, sf_dir), fx.observations(spark, sf_dir)).read_all()
 
 
-@register(sql.query("storm_idx:i duration:i last_obs:i lat:v", "SELECT storm_idx, count(*) AS duration, max(obs_idx) AS last_obs, arg_max(lat, obs_idx) AS lat FROM observations GROUP BY storm_idx"))
+@register(sql.query("storm_idx:i time_start:i duration:i y:i x:i active:s", """SELECT storm_idx, min(obs_idx) AS time_start, count(*) AS duration, trunc(arg_max(lat, obs_idx) * 1000) AS y,
+    trunc(arg_max(lon, obs_idx) * 1000) AS x, max(obs_idx) % 5 > 0 AS active FROM observations GROUP BY storm_idx"""))
 def system_position(spark, sf_dir):
-    o = fx.observations(spark, sf_dir)
-    return o.groupBy("storm_idx").agg(F.count(F.lit(1)).alias("duration"), F.max("obs_idx").alias("last_obs"), F.max_by("lat", "obs_idx").alias("lat"))
+    """The last place of each track, as the tracker tells its systems' (in thousandths of a degree, since it counts pixels)."""
+    o = fx.observations(spark, sf_dir).select(
+        F.lit(0).alias("domain"), F.col("storm_idx").alias("system_id"), F.col("obs_idx").alias("t"), (F.col("lat") * 1000).cast("int").alias("y"),
+        (F.col("lon") * 1000).cast("int").alias("x"), (F.col("obs_idx") % 5 > 0).alias("active"),
+    )
+    return tracker.systems_of(o).drop("domain").withColumnRenamed("system_id", "storm_idx")
 
 
 # --- clusters and the tracker ---------------------------------------------------------------------------------------

@@ -14,7 +14,8 @@ from ..streaming import tracker
 @dataclass(frozen=True)
 class Job:
     """height, width: of the frames as read, in pixels of in_km; the work is done in pixels of out_km. radius_km: of the variance's disc.
-    rows, columns: half-open pixel ranges to keep, None for all. checked: values must be temperatures in kelvin."""
+    rows, columns: half-open pixel ranges to keep, None for all; or bounds, (north, south, west, east) in degrees, on frames with axes (lat0,
+    lon0, dlat, dlon): the first cell's place and the steps. checked: values must be temperatures in kelvin."""
 
     height: int
     width: int
@@ -23,6 +24,8 @@ class Job:
     radius_km: float = 300.0
     rows: tuple[int, int] | None = None
     columns: tuple[int, int] | None = None
+    bounds: tuple[float, float, float, float] | None = None
+    axes: tuple[float, float, float, float] | None = None
     checked: bool = True
     is_global: bool = False
 
@@ -30,6 +33,19 @@ class Job:
         for name in ("in_km", "out_km", "radius_km"):
             if not isinstance(getattr(self, name), (int, float)) or getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be a number over 0")
+        if self.bounds is not None:
+            if self.axes is None or self.rows or self.columns:
+                raise ValueError("bounds need axes, and stand in place of rows and columns")
+            readers.check_bounds(*self.bounds)
+
+    def kept_pixels(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """The half-open ranges of rows and columns that are kept."""
+        if self.bounds is None:
+            return self.rows or (0, self.height), self.columns or (0, self.width)
+        north, south, west, east = self.bounds
+        lat0, lon0, dlat, dlon = self.axes
+        pixel = lambda c, first, step, n: min(max(round((c - first) / step), 0), n)
+        return (pixel(south, lat0, dlat, self.height), pixel(north, lat0, dlat, self.height)), (pixel(west, lon0, dlon, self.width), pixel(east, lon0, dlon, self.width))
 
 
 def find_systems(grid: DataFrame, land: DataFrame, job: Job, **tracking) -> DataFrame:
@@ -39,8 +55,8 @@ def find_systems(grid: DataFrame, land: DataFrame, job: Job, **tracking) -> Data
     if job.checked:
         grid = readers.checked_range(grid)
     height, width = job.height, job.width
-    if job.rows or job.columns:
-        (south, north), (west, east) = job.rows or (0, height), job.columns or (0, width)
+    (south, north), (west, east) = job.kept_pixels()
+    if (south, north, west, east) != (0, height, 0, width):
         grid, height, width = readers.crop(grid, north, south, west, east), north - south, east - west
     factor = job.in_km / job.out_km
     if factor != 1:

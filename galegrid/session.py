@@ -35,10 +35,13 @@ def get_spark(app: str = "galegrid", cores: str | None = None, shuffle_partition
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints, which all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder for checkpoints, which all executors share: spark.checkpoint.dir. Where that is unset, a new local one on a local
+    master (tests); an error on a cluster, whose machines don't share /tmp."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -57,12 +57,12 @@ class BestTracks:
         columns = readers.track_columns(self.columns)
         if not self.interpolating:
             return readers.read_tracks(storms, self.observations, self.columns)
-        kinds = schemas.TRACK_COLUMNS
+        kinds = schemas.track_columns()
         of = lambda kind: [c for c in columns if kinds[c] == kind and c != "iso_time"]
         seen = self.observations.join(storms.select("storm_idx", "numobs"), "storm_idx").where(F.col("obs_idx") < F.col("numobs"))
         ticks = tracks.half_hour_ticks(seen)
-        clock = tracks.interpolate_track(ticks, of("1d str"), of("1d num"), of("2d num"))
+        clock = tracks.interpolate_track(ticks, of("step"), of("number"), of("quadrants"))
         if "iso_time" in columns:
             clock = clock.join(tracks.interpolate_times(seen), ["storm_idx", "tick"], "left")
-        one = storms.select("storm_idx", *[F.col(c).cast("string").alias(c) for c in of("0d str")])
+        one = storms.select("storm_idx", *[F.col(c).cast("string").alias(c) for c in of("constant")])
         return clock.join(one, "storm_idx").select("storm_idx", "tick", *columns)

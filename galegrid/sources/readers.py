@@ -14,12 +14,12 @@ def null_for_nan(column: str) -> Column:
 
 def read_grid(spark: SparkSession, *paths: str, variable: str = "v", y: str = "y", x: str = "x", time: str = "ts") -> DataFrame:
     """(t, ts, y, x, v) of one variable of gridded files; t numbers the times in order. Only the columns named are read, and
-    filters on them reach the scan."""
+    filters on them reach the scan. The times, a row for each frame, are sorted by one task."""
     raw = spark.read.parquet(*paths).select(
         F.col(time).alias("ts"), F.col(y).cast("int").alias("y"), F.col(x).cast("int").alias("x"), null_for_nan(variable).alias("v")
     )
     times = raw.select("ts").distinct().withColumn("t", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
-    return raw.join(F.broadcast(times), "ts").select("t", "ts", "y", "x", "v")
+    return raw.join(times, "ts").select("t", "ts", "y", "x", "v")
 
 
 def read_infrared(spark: SparkSession, *paths: str) -> DataFrame:
@@ -72,12 +72,12 @@ def track_columns(wanted: str | list[str]) -> list[str]:
     if wanted == "basic":
         return list(schemas.BASIC_COLUMNS)
     if wanted == "all":
-        return list(schemas.TRACK_COLUMNS)
+        return list(schemas.track_columns())
     names = [wanted] if isinstance(wanted, str) else wanted
     if not isinstance(names, list) or not all(isinstance(n, str) for n in names):
         raise ValueError("columns must be a name, a list of names, basic or all")
     for n in names:
-        if n not in schemas.TRACK_COLUMNS:
+        if n not in schemas.track_columns():
             raise KeyError(n)
     return names
 

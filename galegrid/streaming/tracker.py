@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters, patches
@@ -130,12 +130,15 @@ def step(systems: list[System], t: int, frame: Frame, s: Settings) -> list[dict]
     return [p | {"active": alive[p["system_id"]]} for p in points]
 
 
-def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings) -> DataFrame:
+def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings, domains: DataFrame | None = None) -> DataFrame:
     """(domain, t, kind, y, x, to_y, to_x, dav, mean_v, is_land, no): what each frame says of places; kind: birth, move (from a place a
     system can stand on, to the next), or cell (variance and disc mean of a place a system can come to).
 
     A system stands where the frame before had a cluster or where that frame's moves lead (its local minima), or it waits where it moved
     out. So the fold gets these places alone, some thousand a frame, though minima and means are worked out for all cells, by tiles.
+
+    domains: (t, domain) of each frame, whole numbers, where frames are of several areas or seasons, which are tracked each by itself and
+    side by side; t then counts a domain's frames from 0. Without it all frames are domain 0.
     """
     checkpoint_dir(dav.sparkSession)
     dav = dav.checkpoint()  # read four times below
@@ -158,7 +161,13 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
         there = {c: F.col(c) if c in df.columns else none for c in kinds}
         return df.select(F.lit(0).alias("domain"), "t", F.lit(kind).alias("kind"), "y", "x", *[there[c].cast(k).alias(c) for c, k in kinds.items()])
 
-    return event("move", moved).unionByName(event("cell", cells)).unionByName(event("birth", born))
+    events = event("move", moved).unionByName(event("cell", cells)).unionByName(event("birth", born))
+    if domains is None:
+        return events
+    number = F.row_number().over(Window.partitionBy("domain").orderBy("t")) - 1
+    numbered = domains.select("t", F.col("domain").cast("int").alias("domain"), number.cast("int").alias("number"))
+    columns = events.columns
+    return events.drop("domain").join(numbered, "t").drop("t").withColumnRenamed("number", "t").select(*columns)
 
 
 def read_frame(rows: pd.DataFrame) -> Frame:

@@ -82,7 +82,7 @@ def golden_blur(image, edge):
 @pytest.mark.parametrize("edge", ["reflect", "nearest"])
 def test_blur(spark, edge):
     image = RNG.normal(250, 10, (11, 9))
-    found = array_of(stencil.gaussian_blur(frame_of(spark, [image]), 2.0, edge), "v", (1, 11, 9))[0]
+    found = array_of(stencil.gaussian_blur(frame_of(spark, [image]), 11, 9, 2.0, edge), "v", (1, 11, 9))[0]
     np.testing.assert_allclose(found, golden_blur(image, edge), rtol=1e-12)
 
 
@@ -363,3 +363,214 @@ def test_the_stream_gives_the_batch_fold(spark, sf_dir, tmp_path):
     key = lambda r: tuple(r[c] for c in ("system_id", "t", "y", "x", "cdav", "positive"))
     got = {key(r.asDict()) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(b[1], b[2], b[3], b[4], b[5], b[6]) for b in batch} and len(got) == 12
+
+
+# --- the tracker from raw frames ------------------------------------------------------------------------------------
+
+
+def disc_values(image, y, x, r):
+    """(value, y offset, x offset) of what a disc about a pixel's corner holds, row by row."""
+    h, w = image.shape
+    return [
+        (image[y + j, x + i], j, i) for j in range(-r, r) for i in range(-r, r)
+        if (j + 0.5) ** 2 + (i + 0.5) ** 2 <= r * r and 0 <= y + j < h and 0 <= x + i < w and not math.isnan(image[y + j, x + i])
+    ]
+
+
+def golden_clusters(values, s):
+    """Places of the minima that stay independent, in order of their components."""
+    mask = np.where(np.isnan(values), np.inf, values) < s.low_dav
+    for _ in range(s.erosion):
+        padded = np.pad(mask, 1)
+        mask = padded[1:-1, 1:-1] & padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
+    labels = golden_labels(mask)
+    minima = []
+    for label in sorted({int(n) for n in labels[labels >= 0].ravel()}):
+        minima.append(min((values[y, x], y, x) for y, x in zip(*np.nonzero(labels == label), strict=True)))
+    alive = set(range(len(minima)))
+    near = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 < s.apart**2
+    for i in range(len(minima)):
+        group = [j for j in sorted(alive) if near(minima[i], minima[j])]
+        if len(group) >= 2:
+            alive -= set(group) - {min(group, key=lambda j: (minima[j][0], j))}
+    return [minima[j] for j in sorted(alive)]
+
+
+def golden_tracker(temps, davs, is_land, s):
+    """Points of all systems, folded over whole frames: no place is left out beforehand."""
+    height, width = temps[0].shape
+    systems, out = [], []
+    for t in range(1, len(temps)):
+        here, points = [], []
+        for one in systems:
+            if len(one["signs"]) >= s.window and not any(one["signs"][-s.window :]):
+                one["on"] = False
+            if not one["on"]:
+                continue
+            y, x = one["at"]
+            if found := disc_values(davs[t], y, x, s.search):
+                _, j, i = min(found)
+                y, x = min(max(y + j - max(0, s.search - y), 0), height), max(x + i - max(0, s.search - x), 0)
+            if y in (0, height) or x in (0, width):
+                continue
+            inside = y < height and x < width
+            mean = np.mean([v for v, _, _ in disc_values(temps[t], y, x, s.cloud)]) if disc_values(temps[t], y, x, s.cloud) else np.nan
+            value = davs[t][y, x] if inside else np.nan
+            positive = bool(mean < s.warm and value < s.low_dav)
+            one["at"] = (y, x)
+            one["signs"].append(positive)
+            here.append((y, x))
+            points.append([one, t, y, x, value, positive])
+        for a in range(len(systems)):
+            for b in range(a + 1, len(systems)):
+                one, two = systems[a], systems[b]
+                for each in (one, two):
+                    if len(each["signs"]) >= s.window and not any(each["signs"][-s.window :]):
+                        each["on"] = False
+                if one["on"] and two["on"] and (one["at"][0] - two["at"][0]) ** 2 + (one["at"][1] - two["at"][1]) ** 2 < s.apart_km / s.res_km**2:
+                    (two if sum(one["signs"]) > sum(two["signs"]) else one)["on"] = False
+        for value, y, x in golden_clusters(davs[t], s):
+            cold = [v for v, _, _ in disc_values(temps[t], y, x, s.cloud)]
+            if any((y - v) ** 2 + (x - w) ** 2 < s.apart**2 for v, w in here) or is_land(y, x) or (cold and np.mean(cold) > s.warm):
+                continue
+            systems.append({"id": tracker.system_id(t, y, x), "at": (y, x), "signs": [True], "on": True})
+            points.append([systems[-1], t, int(y), int(x), value, True])
+        out += [(one["id"], t, y, x, None if math.isnan(v) else round(float(v), 4), positive, one["on"]) for one, t, y, x, v, positive in points]
+    return out
+
+
+def images_of(df, column, frames, side):
+    return list(array_of(df, column, (frames, side, side)))
+
+
+def points_of(rows):
+    return sorted((r.system_id, r.t, r.y, r.x, None if r.cdav is None else round(r.cdav, 4), r.positive, r.active) for r in rows)
+
+
+def test_tracker_equals_a_fold_over_whole_frames(spark, small_dir):
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+
+    s, side = catalogue.core_settings(), fx.SIDE
+    temps = images_of(fx.grid_cores(spark, small_dir), "v", 7, side)
+    davs = images_of(catalogue._core_dav(spark, small_dir), "dav", 7, side)
+    want = golden_tracker(temps, davs, lambda y, x: (y * side + x) % 5 == 0, s)
+    assert len(want) > 5 and points_of(catalogue.QUERIES["track_points"](spark, small_dir).collect()) == sorted(want)
+    last = {}
+    for p in sorted(want, key=lambda p: p[1]):
+        last.setdefault(p[0], []).append(p)
+    found = {r.system_id: (r.time_start, r.duration, r.y, r.x, r.active) for r in catalogue.QUERIES["track_systems"](spark, small_dir).collect()}
+    assert found == {k: (v[0][1], len(v), v[-1][2], v[-1][3], v[-1][6]) for k, v in last.items()}
+    independent = sorted((r.t, r.y, r.x) for r in catalogue.QUERIES["greedy_independent"](spark, small_dir).collect())
+    assert independent == sorted((t, y, x) for t in range(7) for _, y, x in golden_clusters(davs[t], s))
+    # what is drawn: variances near cold cloud, systems, known storms
+    layers = catalogue.QUERIES["annotated_layers"](spark, small_dir).collect()
+    want_dav = set()
+    for t in range(7):
+        cold = np.argwhere(temps[t] < 273.0)
+        near = np.zeros((side, side), bool)
+        for y, x in cold:
+            for j in range(-10, 11):
+                k = 10 - abs(j)
+                if 0 <= y + j < side:
+                    near[y + j, max(0, x - k) : x + k + 1] = True
+        want_dav |= {(t, y, x) for y, x in np.argwhere(near & (davs[t] < 2450.0)).tolist()}
+    assert {(r.t, r.y, r.x) for r in layers if r.layer == "dav"} == want_dav
+    assert sorted((r.label, r.t, r.y, r.x, r.value == 1) for r in layers if r.layer == "system") == sorted(p[:4] + (p[5],) for p in want)
+    known = catalogue.QUERIES["known_storm_locf"](spark, small_dir).collect()
+    assert sorted((r.label, r.t, r.y, r.x) for r in layers if r.layer == "known") == sorted((r.name, r.t, r.y, r.x) for r in known)
+
+
+def test_the_job_equals_a_fold_over_whole_frames(spark, small_dir):
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+
+    side = fx.SIDE
+    holes = fx.grid_cores(spark, small_dir).withColumn("v", F.when((7 * F.col("t") + 31 * F.col("y") + 17 * F.col("x")) % 11 != 0, F.col("v")))
+    timed = stencil.temporal_fill(holes)
+    davs = images_of(dav.dav_map(timed, 10, side, side), "dav", 7, side)
+    temps = images_of(stencil.spatial_fill(timed, side), "v", 7, side)
+    want = golden_tracker(temps, davs, lambda y, x: (y * side + x) % 5 == 0, catalogue.core_settings())
+    assert want and points_of(catalogue.QUERIES["find_systems"](spark, small_dir).collect()) == sorted(want)
+
+
+def test_merging_equals_loops(spark, small_dir):
+    from galegrid.plans import catalogue
+
+    rows = catalogue.QUERIES["merge_kill"](spark, small_dir).collect()
+    for t in {r.t for r in rows}:
+        mine = sorted((r for r in rows if r.t == t), key=lambda r: r.no)
+        on = [True] * len(mine)
+        for a in range(len(mine)):
+            for b in range(a + 1, len(mine)):
+                p, q = mine[a], mine[b]
+                if on[a] and on[b] and (p.y - q.y) ** 2 + (p.x - q.x) ** 2 < 1.5**2:
+                    on[b if p.n_positive > q.n_positive else a] = False
+        assert [r.killed for r in mine] == [not x for x in on]
+
+
+def test_domains_are_tracked_each_by_itself(spark, small_dir):
+    """Two areas' frames, one after the other in t: each gives what it gives alone."""
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+
+    s = catalogue.core_settings()
+    one, values = fx.grid_cores(spark, small_dir), catalogue._core_dav(spark, small_dir)
+    alone = tracker.track(tracker.frame_events(one, values, fx.landmask(spark), s), s).collect()
+    both = one.unionByName(one.withColumn("t", F.col("t") + 7)), values.unionByName(values.withColumn("t", F.col("t") + 7))
+    domains = spark.range(14).select(F.col("id").cast("int").alias("t"), F.floor(F.col("id") / 7).cast("int").alias("domain"))
+    found = tracker.track(tracker.frame_events(*both, fx.landmask(spark), s, domains), s).collect()
+    for domain in (0, 1):
+        assert points_of(r for r in found if r.domain == domain) == points_of(alone)
+
+
+# --- plans of stencils ----------------------------------------------------------------------------------------------
+
+
+def test_sobel_of_tiles_and_small_frames(spark):
+    images = RNG.normal(250, 10, (9, 7, 6))
+    found = stencil.sobel(frame_of(spark, images), 7, 6)
+    padded = np.pad(images, ((0, 0), (1, 1), (1, 1)), mode="symmetric")
+    smooth = lambda a, axis: np.take(a, range(a.shape[axis] - 2), axis) + 2 * np.take(a, range(1, a.shape[axis] - 1), axis) + np.take(a, range(2, a.shape[axis]), axis)
+    step = lambda a, axis: np.take(a, range(2, a.shape[axis]), axis) - np.take(a, range(a.shape[axis] - 2), axis)
+    np.testing.assert_allclose(array_of(found, "dy", images.shape), smooth(step(padded, 1), 2), atol=1e-9)
+    np.testing.assert_allclose(array_of(found, "dx", images.shape), step(smooth(padded, 1), 2), atol=1e-9)
+
+
+def test_blur_over_tiles_and_over_a_missing_row(spark):
+    image = RNG.normal(250, 10, (70, 131))
+    image[20, 30] = np.nan
+    grid = frame_of(spark, [image])
+    w = stencil.gaussian_weights(2.0)
+    padded = np.pad(image, 8, mode="symmetric")
+    down = sum(k * padded[i : i + 70] for i, k in enumerate(w))
+    want = sum(k * down[:, i : i + 131] for i, k in enumerate(w))
+    np.testing.assert_allclose(array_of(stencil.gaussian_blur(grid, 70, 131), "v", (1, 70, 131))[0], want, rtol=1e-9)
+    # a cell without a row is missing, and moves no other
+    np.testing.assert_allclose(array_of(stencil.gaussian_blur(grid.where("v is not null"), 70, 131), "v", (1, 70, 131))[0], want, rtol=1e-9)
+
+
+def test_erosion_equals_its_definition(spark):
+    mask = RNG.random((40, 40)) < 0.97
+    want = np.zeros_like(mask)
+    for y in range(40):
+        for x in range(40):
+            around = [(y + j, x + i) for j in range(-2, 3) for i in range(-2, 3) if abs(j) + abs(i) <= 2]
+            want[y, x] = all(0 <= a < 40 and 0 <= b < 40 and mask[a, b] for a, b in around)
+    found = {(r.y, r.x) for r in stencil.erode(cells_of(spark, mask), 2).collect()}
+    assert found == set(map(tuple, np.argwhere(want).tolist())) and found
+
+
+def test_resampling_guards_and_bounds_in_degrees(spark):
+    from galegrid.plans import jobs
+
+    grid = frame_of(spark, [[[1.0, 2.0], [3.0, 4.0]]])
+    for height, width, factor in ((2.5, 2, 0.5), (0, 2, 0.5), (2, 2, 0), (2, 2, 0.2), (2, 2, "1"), (True, 2, 1)):
+        with pytest.raises(ValueError):
+            stencil.resample_bilinear(grid, height, width, factor)
+    with pytest.raises(ValueError):
+        stencil.resample_bilinear(grid.withColumn("v", F.col("v").cast("string")), 2, 2, 1.0)
+    job = jobs.Job(height=100, width=200, bounds=(10.0, -10.0, -20.0, 30.0), axes=(-25.0, -50.0, 0.5, 0.5))
+    assert job.kept_pixels() == ((30, 70), (60, 160))
+    with pytest.raises(ValueError):
+        jobs.Job(height=5, width=5, bounds=(1, 0, 0, 1))
