@@ -78,6 +78,18 @@ def wide_hash(*columns: Column) -> Column:
 ROW_KEY = ["__row_a", "__row_b"]
 
 
+#: Rows of texts that a Python worker gets at once, unless the session names another number than Spark's own.
+TEXT_BATCH = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of TEXT_BATCH rows: Spark's 10,000 are some hundred megabytes in a worker where texts are
+    long. Stays set for the session, since plans are made when a result is asked for."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(TEXT_BATCH))
+
+
 def row_key(*columns: Column) -> dict[str, Column]:
     """ROW_KEY: what names a row for a join of whole rows with verdicts. Both sides, and whatever groups by the same two columns
     afterwards, share one shuffle of the rows; nulls have a key too."""

@@ -15,7 +15,7 @@ from .common import BLANK_CLASS, folder, kept, one_of_equal, row_key, shared_dir
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     # else each of many small stores reserves megabytes on disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

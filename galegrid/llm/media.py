@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_batches, text_of
 
 WIDTH = 192
 #: Rows of a frame, at most: what is decoded at once.
@@ -299,6 +299,7 @@ def media_columns(docs: DataFrame, with_rgb: bool = False) -> DataFrame:
         files = [_stored(t) for t in texts]
         return pd.DataFrame({"media": files, "frames": [_frames(x, with_rgb) for x in files]})
 
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     stored = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), store("text").alias("stored"))
     return stored.select("doc_id", "n_bytes", "stored.media", "stored.frames")

@@ -13,11 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, one_of_equal, row_key, text_of
+from .common import kept, one_of_equal, row_key, text_batches, text_of
 from .components import components
 
 #: Words kept hashed by a task; the store is emptied when it is full.
-STORE_ROWS = 200_000
+STORE_ROWS = 100_000
 #: Rows of shingle sets that may be named in a broadcast: 24 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -94,7 +94,7 @@ def tree_paths(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -
     some bits of each further minimum, the first of them highest. So paths sort as tries do, and a shorter prefix of a path is
     its tail shifted right. (Bits that are equal by chance only make a node larger.)"""
     least = np.empty(len(a), dtype=np.uint64)
-    step = max(1, 2_000_000 // len(sets))
+    step = max(1, 500_000 // len(sets))
     for lo in range(0, len(a), step):
         least[lo : lo + step] = (((sets[None, :] ^ b[lo : lo + step, None]) * a[lo : lo + step, None]) >> np.uint64(8)).min(axis=1)
     minima, depth = least.reshape(forest.trees, -1).T, forest.depth()
@@ -292,6 +292,7 @@ def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     two blocks, so a node of any size is many bounded tasks and no pair is written: a cell returns sums of links and a spanning
     forest. Similarity is exact; a pair of the threshold's similarity is missed with a chance of 1 - recall at most.
     """
+    text_batches(docs.sparkSession)
     rows = kept(signatures(docs, forest))
     sets = kept(
         rows.groupBy("set_id").agg(

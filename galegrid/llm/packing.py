@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, partitions, text_of
+from .common import kept, partitions, text_batches, text_of
 from .token_counts import PIECES, byte_symbols, merge_ranks
 
 #: Ends each document.
@@ -210,6 +210,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, grid: int = 8,
     the few pieces of a sequence closes the gaps between them.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     stored = kept(cut_documents(docs, vocabulary, capacity, with_ids).withColumn("piece", F.monotonically_increasing_id()))
     pieces = stored.drop("ids").withColumns({
         "units": F.ceil(F.col("length") / grid),

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import text_batches, text_of
 
 #: Words kept hashed by a task; the store is emptied when it is full.
-STORE_ROWS = 200_000
+STORE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -108,6 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     documents take no one's place; the bound keeps training one small task. Their ids are broadcast, and only their texts
     leave the scan.
     """
+    text_batches(docs.sparkSession)
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
         .dropDuplicates(["doc_id"]).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
@@ -130,6 +131,7 @@ def score_of(spark: SparkSession, weights: np.ndarray | None, s: Settings = Sett
     """The score, 0 to 1, of each whole text. Null text: as an empty one. Without weights (no labels): 0.5."""
     if weights is None:
         return F.lit(0.5)
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf(T.DoubleType())

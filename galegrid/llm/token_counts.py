@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import text_batches, text_of
 
 #: Fixed value: the pieces that a byte-level vocabulary merges within. White space is Unicode's.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,6 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
         of = counter_for(vocabulary).of_text
         return pd.Series([of(t) for t in texts], dtype="int64")
 
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     return rows.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), tokens("text").alias("n_tokens")
