@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, folder, kept, one_of_equal, row_key, shared_dir, text_of
+from .common import BLANK_CLASS, WRITTEN, folder, kept, one_of_equal, own_folder, row_key, text_of
 
 #: The state store on local disk, with its memory bounded on each executor.
 STATE_CONF = {
@@ -109,13 +108,13 @@ def exact_dedup(docs: DataFrame, state_path: str | None = None, digest: Callable
     locates; where they differ (the digest collided) rows are grouped by their whole text. digest: for tests of that.
     """
     spark = docs.sparkSession
-    home = state_path or f"{shared_dir(spark)}/dedup-{uuid.uuid4().hex}"
+    home = state_path or own_folder(spark, "dedup")
     call = max(calls(spark, f"{home}/log"), default=-1) + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("norm", normalised(F.col("text")))
     rows.select(
         digest(F.col("norm")).alias("digest"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("rid"),
         F.monotonically_increasing_id().alias("row"), sha256_bytes(F.col("norm")).alias("sha"), "norm",
-    ).write.parquet(f"{home}/log/call={call}")
+    ).write.options(**WRITTEN).parquet(f"{home}/log/call={call}")
     run_stream(spark, home, call)
     touched = kept(state_of(spark, home, call))
     wrong = _wrong_hits(spark, home, call, touched)
