@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_documents, text_sha256
+from .conversation_trie import conversation_trie
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .media import HISTOGRAM_BINS, media_columns
@@ -81,6 +82,10 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_gif_media": op10_gif_media,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 ORACLES = {
@@ -119,4 +125,39 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op11_conversation_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - ((conv_id % 100) + 100) % 100 AS first,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                       lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, 0 AS part, t.rank, t.role, t.text FROM c JOIN t ON t.conv_id = c.first AND t.rank <= c.h
+            UNION ALL
+            SELECT c.conv_id, 1, t.rank, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.rank > c.h
+        ), s AS (
+            SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list({'r': role, 'x': text}) OVER w AS prefix
+            FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        ), n AS (SELECT c.conv_id, coalesce(max(s.depth), 0) AS n FROM c LEFT JOIN s USING (conv_id) GROUP BY 1),
+        p AS (
+            SELECT conv_id, depth, chars, min(conv_id) OVER (PARTITION BY prefix) AS owner FROM s
+            UNION ALL SELECT conv_id, 0, 0, min(conv_id) OVER () FROM c
+        ), node AS (
+            SELECT p.owner, p.depth, any_value(p.chars) AS chars, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE n.n = p.depth), '')) AS ends_sha256
+            FROM p JOIN n USING (conv_id) GROUP BY 1, 2
+        ), up AS (
+            SELECT node.*, q.owner AS parent FROM node LEFT JOIN p q ON q.conv_id = node.owner AND q.depth = node.depth - 1
+        ), kids AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY 1, 2),
+        under AS (
+            SELECT q.owner, q.depth, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+            FROM up v JOIN p q ON q.conv_id = v.owner AND q.depth <= v.depth LEFT JOIN kids k ON k.owner = v.owner AND k.depth = v.depth GROUP BY 1, 2
+        )
+        SELECT up.owner AS conv_id, up.depth::BIGINT AS depth, up.parent AS parent_conv_id, up.n_convs, coalesce(k.n_children, 0) AS n_children, u.n_leaves,
+               u.saved_tokens::BIGINT AS saved_tokens, up.ends_sha256
+        FROM up JOIN under u USING (owner, depth) LEFT JOIN kids k USING (owner, depth)""",
 }

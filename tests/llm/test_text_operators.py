@@ -32,7 +32,8 @@ def texts(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     want = con.sql(queries.ORACLES[name])
     assert sorted(found.columns) == sorted(want.columns)
@@ -41,7 +42,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, len(queries.QUERIES) + 1))
 
 
 # --- token counts ---------------------------------------------------------------------------------------------------
