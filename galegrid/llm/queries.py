@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import read_documents, text_sha256
 from .conversation_trie import conversation_trie
+from .divergence import divergence
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
 from .line_dedup import line_dedup
 from .media import HISTOGRAM_BINS, media_columns
 from .mixing import mix_sources, quality_weight
@@ -86,6 +88,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
@@ -98,6 +108,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_gif_media": op10_gif_media,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_language_id": op12_language_id,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -160,4 +172,28 @@ ORACLES = {
         SELECT up.owner AS conv_id, up.depth::BIGINT AS depth, up.parent AS parent_conv_id, up.n_convs, coalesce(k.n_children, 0) AS n_children, u.n_leaves,
                u.saved_tokens::BIGINT AS saved_tokens, up.ends_sha256
         FROM up JOIN under u USING (owner, depth) LEFT JOIN kids k USING (owner, depth)""",
+    "op13_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        p AS (
+            SELECT lang, source, term, n, (1 + (n + 2)::HUGEINT * 1000000000 // (sum(n) OVER s + 2 * count(*) OVER s))::BIGINT AS p,
+                   (1 + (sum(n) OVER t + 2)::HUGEINT * 1000000000 // (sum(n) OVER l + 2 * count(*) OVER s))::BIGINT AS q
+            FROM (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term))
+            WINDOW s AS (PARTITION BY lang, source), t AS (PARTITION BY lang, term), l AS (PARTITION BY lang)
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+        ), f AS (
+            SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(pair.value, 0)::BIGINT AS value
+            FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        )
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM f QUALIFY part = 'pair' OR rank <= 10""",
 }
