@@ -114,8 +114,7 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, s: Disclosure) -> tupl
     # a term stands in n_near documents at least, so its share is no more than that number gives: common words go here, and
     # the pass over all words looks for few terms
     pairs = kept(
-        near.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "rid")).alias("docs"))
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("n_te"))
+        near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct(F.struct("doc_id", "rid")).alias("n_te"))
         .where((F.col("contexts") >= s.min_support) & (F.col("n_te") >= s.min_support)).join(n_e, "entity").join(n_near, "term")
         .where(share(F.least("n_te", "n_near") / F.col("n_near")) >= s.generalise)
     )
