@@ -104,14 +104,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray | None:
     """Weights learnt from labelled rows that aren't held out; None without such rows.
 
-    The train_rows rows of smallest hash are taken of those that docs holds, so that a rerun takes the same, and labels of other
+    Of labels that disagree about a document the smallest counts, in whatever order they come. The train_rows rows of smallest hash are taken of those that docs holds, so that a rerun takes the same, and labels of other
     documents take no one's place; the bound keeps training one small task. Their ids are broadcast, and only their texts
     leave the scan.
     """
     text_batches(docs.sparkSession)
     chosen = (
         labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out())
-        .dropDuplicates(["doc_id"]).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
+        .groupBy("doc_id").agg(F.min("label").alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.train_rows)
     )
     sample = (
         docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -153,7 +153,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     The score is a sparse dot product of the learnt weights with relative frequencies of hashed n-grams; lang, source
     and doc_id are no inputs. Null or empty text: the bias alone. Null doc_id: not held out. No labels: 0.5. Labels
-    without a document, and null labels, are left out. Rows that repeat: each is scored, and a label is used once. Long texts: all
+    without a document, and null labels, are left out. Rows that repeat: each is scored, and a label is used once; of labels that disagree the smallest. Long texts: all
     of their n-grams count. Empty table: no rows. Extra columns are left out.
     """
     scored = docs.select("doc_id", score_of(docs.sparkSession, fit(docs, labels, s), s).alias("score"))
