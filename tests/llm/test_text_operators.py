@@ -1,6 +1,7 @@
 """Operators against brute force over the small documents and over odd rows."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -490,10 +491,11 @@ def brute_terms(texts, s):
                         near[name, w].add((d, said))
     terms, n = {}, len(texts)
     for (name, w), seen in near.items():
-        if len({x for _, x in seen}) < s.min_support or len(seen) < s.min_support:
+        n_te = len({d for d, _ in seen})
+        if len({x for _, x in seen}) < s.min_support or n_te < s.min_support:
             continue
         n_t, content = holders[w], np.log2(n / len(docs_of[name]))
-        p = min(len(seen), n_t) / n_t
+        p = min(n_te, n_t) / n_t
         low = (p + s.z**2 / (2 * n_t) - s.z * np.sqrt(p * (1 - p) / n_t + s.z**2 / (4 * n_t**2))) / (1 + s.z**2 / n_t)
         if 1 + np.log2(p) / content >= s.generalise and 1 + np.log2(low) / content >= s.assured:
             terms[w] = max(terms.get(w, 0), 1 + np.log2(p) / content)
@@ -501,7 +503,10 @@ def brute_terms(texts, s):
 
 
 def test_terms_equal_brute_force(spark, sf_dir, texts):
-    docs, s = read_documents(spark, sf_dir), pii.Disclosure()
+    """All documents of the table, in which no word is near one entity in two documents, and some in which words are."""
+    planted = [f"{w} number {i} writes to {w[:3]}@{w}.example, {i} times, with c.d@firm{i % 2}.example" for w in ("vandrel", "quexol", "mirtane") for i in range(4)]
+    texts = texts | {max(texts) + 1 + i: t for i, t in enumerate(planted)}
+    docs, s = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), pii.Disclosure()
     terms, _ = pii.revealing_terms(docs, pii.entity_spans(docs, s.window), s)
     want = brute_terms(texts, s)
     assert want and {r.term: r.removed for r in terms.collect()} == want
@@ -517,6 +522,16 @@ def test_terms_equal_brute_force(spark, sf_dir, texts):
     assert not [1 for d in touched for x in brute_spans(clean[d]) if x.startswith("email")] and not [w for d in touched for w in word.findall(clean[d].lower()) if w in want and w not in ("email", "card", "phone", "term")]
 
 
+def test_one_document_makes_no_term(spark):
+    """However often it has the entity: the other documents of a term must be other documents."""
+    once = [(0, "quexol writes to a.b@corp.example today, and so quexol has said: a.b@corp.example is right")]
+    twice = [(i, f"vandrel number {i} writes to c.d@firm.example, {i} times") for i in (1, 2, 3)]
+    rest = [(i, f"nothing but other words stands in text {i}") for i in range(4, 400)]
+    docs, s = spark.createDataFrame(once + twice + rest, "doc_id long, text string"), pii.Disclosure()
+    terms = {r.term for r in pii.revealing_terms(docs, pii.entity_spans(docs, s.window), s)[0].collect()}
+    assert "quexol" not in terms and "vandrel" in terms and terms == set(brute_terms(dict(once + twice + rest), s))
+
+
 def test_personal_data_of_odd_rows(odd, none):
     rows = pii.span_columns(odd, pii.find_personal_data(odd)).collect()
     assert len(rows) == odd.count() and [r.n_email for r in rows if r.doc_id == 13] == [2]
@@ -533,6 +548,50 @@ def test_labels_of_other_documents_take_no_place(spark):
     assert {r.doc_id for r in quality.keep_good(docs, labels, 0.5, s).collect()} == set(range(1, 80, 2))
 
 
+def test_labels_that_disagree(spark):
+    """The smallest counts, in any order and partitioning."""
+    docs = spark.createDataFrame([(i, f"some words {i % 7} of text {i}") for i in range(60)], "doc_id long, text string")
+    both = [(i, q) for i in range(60) for q in ((0, 1) if i % 3 else (1,))]
+    scores = [
+        {r.doc_id: r.score for r in quality.classify_quality(docs, spark.createDataFrame(rows, "doc_id long, quality int").repartition(n)).collect()}
+        for rows, n in ((both, 1), (both[::-1], 1), (both, 5), ([(i, int(i % 3 == 0)) for i in range(60)], 2))
+    ]
+    assert all(x == scores[0] for x in scores)
+
+
+def plain_features(text, bits):
+    """Hashed n-grams by the definition, in whole numbers."""
+    words, found, m = text.split(), [], (1 << 64) - 1
+    odd = 0x9E3779B97F4A7C15
+    for salt, hashed in ((1, [zlib.crc32(w.lower().encode()) for w in words]), (2, [zlib.crc32(quality.shape_of(w).encode()) for w in words])):
+        pairs = [0 if salt == 1 and a == b else (a * odd + b) & m for a, b in zip(hashed, hashed[1:])]
+        found += [h + (salt << 40) for h in hashed] + [((p * odd) & m) + (salt << 50) & m for p in pairs]
+    return [(x * odd & m) >> 40 & (1 << bits) - 1 for x in found]
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """FTRL-proximal one feature at a time, and scores as a plain sum."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["Good", "plain", "words", "of", "text", "$$$", "xx9", "BUY"], size=12)), int(rng.random() < 0.5)) for i in range(50)]
+    s = quality.Settings(bits=12)
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + n[i] ** 0.5) / s.alpha + s.l2)
+    fed = [({i: c * s.scale / len(f) for i, c in Counter(f).items()} | {-1: 1.0}, y) for f, y in ((plain_features(t, s.bits), y) for _, t, y in rows)]
+    for _ in range(s.epochs):
+        for x, y in fed:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / s.alpha * w[i]
+                n[i] += g * g
+    learnt = quality.train([(quality.features(t, s.bits), y) for _, t, y in rows], s)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scores = {r.doc_id: r.p for r in docs.select("doc_id", quality.score_of(spark, learnt, s).alias("p")).collect()}
+    for (i, _, _), (x, _) in zip(rows, fed, strict=True):
+        assert abs(scores[i] - 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))) < 1e-4
+
+
 def test_nothing_is_rejected_without_labels(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     others, nulls = spark.createDataFrame([(-1, 1)], empty.schema), spark.createDataFrame([(1, None)], empty.schema)
