@@ -136,9 +136,10 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
 
     A system stands where the frame before had a cluster or where that frame's moves lead (its local minima), or it waits where it moved
     out. So the fold gets these places alone, some thousand a frame, though minima and means are worked out for all cells, by tiles.
+    The frame before is that of the same domain, whatever the numbers between them.
 
     domains: (t, domain) of each frame, whole numbers, where frames are of several areas or seasons, which are tracked each by itself and
-    side by side; t then counts a domain's frames from 0. Without it all frames are domain 0.
+    side by side, in any order of t; t then counts a domain's frames from 0. Without it all frames are domain 0 and keep their t.
     """
     checkpoint_dir(dav.sparkSession)
     dav = dav.checkpoint()  # read four times below
@@ -147,11 +148,16 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
     moves = patches.all_moves(dav, s.search, s.height, s.width, s.is_global).select("t", "y", "x", F.col("new_y").alias("to_y"), F.col("new_x").alias("to_x")).checkpoint()
     means = patches.all_means(temperature, s.cloud, s.height, s.width, s.is_global)
     targets = moves.select("t", F.col("to_y").alias("y"), F.col("to_x").alias("x")).distinct()
-    stood = targets.unionByName(births.select("t", "y", "x")).withColumn("t", F.col("t") + 1).distinct()
+    # a row for each frame: its domain, its number there, and the domain's next frame
+    frames = dav.select("t").distinct().withColumn("domain", F.lit(0)) if domains is None else domains.select("t", F.col("domain").cast("int").alias("domain"))
+    in_order = Window.partitionBy("domain").orderBy("t")
+    order = frames.withColumns({"number": (F.row_number().over(in_order) - 1).cast("int"), "next": F.lead("t").over(in_order)})
+    stood = targets.unionByName(births.select("t", "y", "x")).join(order.select("t", "next"), "t").select(F.col("next").alias("t"), "y", "x").distinct()
     moved = stood.join(moves, ["t", "y", "x"])
     out = F.col("to_y").isin(0, s.height) | (F.lit(not s.is_global) & F.col("to_x").isin(0, s.width))
-    waits = moved.where(out).groupBy("y", "x").agg(F.min("t").alias("since"))
-    moved = moved.unionByName(moves.join(waits, ["y", "x"]).where("t > since").drop("since")).distinct()
+    waits = moved.where(out).join(order.select("t", "domain"), "t").groupBy("domain", "y", "x").agg(F.min("t").alias("since"))
+    waited = moves.join(waits, ["y", "x"]).where("t > since").join(order.select("t", "domain"), ["t", "domain"])
+    moved = moved.unionByName(waited.select(moved.columns)).distinct()
     cells = targets.join(dav.select("t", "y", "x", "dav"), ["t", "y", "x"]).join(means, ["t", "y", "x"], "left")
     born = patches.land_flag(births.join(means, ["t", "y", "x"], "left"), land)
     none = F.lit(None)
@@ -164,10 +170,8 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
     events = event("move", moved).unionByName(event("cell", cells)).unionByName(event("birth", born))
     if domains is None:
         return events
-    number = F.row_number().over(Window.partitionBy("domain").orderBy("t")) - 1
-    numbered = domains.select("t", F.col("domain").cast("int").alias("domain"), number.cast("int").alias("number"))
     columns = events.columns
-    return events.drop("domain").join(numbered, "t").drop("t").withColumnRenamed("number", "t").select(*columns)
+    return events.drop("domain").join(order.drop("next"), "t").drop("t").withColumnRenamed("number", "t").select(*columns)
 
 
 def read_frame(rows: pd.DataFrame) -> Frame:

@@ -524,6 +524,30 @@ def test_domains_are_tracked_each_by_itself(spark, small_dir):
         assert points_of(r for r in found if r.domain == domain) == points_of(alone)
 
 
+def test_domains_with_gaps_and_in_turns(spark, small_dir):
+    """Frame numbers with gaps, and two areas of different frames whose numbers alternate: each gives what it gives alone."""
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+
+    s, land = catalogue.core_settings(), fx.landmask(spark)
+    one, values = fx.grid_cores(spark, small_dir).select("t", "y", "x", "v"), catalogue._core_dav(spark, small_dir)
+    flip = lambda df: df.withColumn("x", s.width - 1 - F.col("x"))
+    run = lambda grid, dav_, *domains: tracker.track(tracker.frame_events(grid, dav_, land, s, *domains), s).collect()
+    at = lambda df, first, gap: df.withColumn("t", first + gap * F.col("t"))
+    alone, flipped = run(one, values), run(flip(one), flip(values))
+    assert points_of(alone) != points_of(flipped) and len(flipped) > 5
+    gaps = run(at(one, 0, 10), at(values, 0, 10))
+    ids = {tracker.system_id(t * 10, y, x): tracker.system_id(t, y, x) for t in range(7) for y in range(s.height) for x in range(s.width)}
+    assert sorted((ids[r.system_id], r.t // 10, r.y, r.x, r.positive, r.active) for r in gaps) == sorted((r.system_id, r.t, r.y, r.x, r.positive, r.active) for r in alone)
+    numbered = spark.createDataFrame([(10 * t, 0) for t in range(7)], "t int, domain int")
+    assert points_of(run(at(one, 0, 10), at(values, 0, 10), numbered)) == points_of(alone)
+    both = [at(x, 0, 4).unionByName(at(flip(x), 1, 4)) for x in (one, values)]
+    turns = spark.createDataFrame([(4 * t + k, k) for t in range(7) for k in (0, 1)], "t int, domain int")
+    found = run(*both, turns)
+    for domain, want in ((0, alone), (1, flipped)):
+        assert points_of(r for r in found if r.domain == domain) == points_of(want)
+
+
 # --- plans of stencils ----------------------------------------------------------------------------------------------
 
 
