@@ -12,7 +12,7 @@ from ..functions import angles, axes, geometry, masks
 from ..operators import clusters, dav, patches, stencil, tracks
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
-from ..sources import readers
+from ..sources import archive, readers
 from ..sources.best_tracks import BestTracks
 from ..streaming import tracker
 from . import jobs, sql
@@ -63,7 +63,7 @@ def scan_grid(spark, sf_dir):
 @register(sql.query("t:i ts:s y:i x:i v:v", "SELECT dense_rank() OVER (ORDER BY ts) - 1 AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id AS y, event_id AS x, value AS v FROM events"))
 def scan_files(spark, sf_dir):
     """Files as gridded data: times are numbered in order, two columns are the cell, one the value."""
-    found = readers.read_grid(spark, f"{sf_dir}/events.parquet", variable="value", y="user_id", x="event_id")
+    found = readers.read_grid(spark, f"{sf_dir}/events.parquet", variable="value", y="user_id", x="event_id", numbered="rank")
     return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -375,6 +375,43 @@ def track_patch_join(spark, sf_dir):
     return _digest(patches.infrared_patch(placed, fx.grid64(spark, sf_dir), 3, S, S))
 
 
+def _archive(spark: SparkSession, sf_dir: str, hours: int = 12) -> archive.Archive:
+    """Frames of grid64 in date folders, with coordinates in degrees, and their catalogue."""
+    frames = fx.grid64(spark, sf_dir).select(
+        F.date_format(_every(60 * hours), "yyyy-MM-dd").alias("day"), _every(60 * hours).alias("time"), (F.col("y") * 0.25 - 8).alias("lat"), (F.col("x") * 0.25 - 8).alias("lon"), F.col("v").alias("Tb")
+    )
+    path = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    frames.repartition("day").write.partitionBy("day").parquet(f"{path}/cells")
+    return archive.build_catalogue(spark, f"{path}/cells", f"{path}/catalogue")
+
+
+@register(sql.query(
+    "t:i ts:s day:s cells:i files:i lat0:v dlat:v lon0:v dlon:v height:i width:i",
+    """SELECT t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS day, 4096 AS cells, 1 AS files, -8.0 AS lat0, 0.25 AS dlat, -8.0 AS lon0, 0.25 AS dlon,
+              64 AS height, 64 AS width FROM (SELECT DISTINCT t, TIMESTAMP '2022-09-01' + to_hours(12 * t) AS ts FROM grid64)""",
+))
+def archive_frames(spark, sf_dir):
+    """The catalogue of an archive: frames with their folders, and the axes that the files' coordinates give."""
+    a = _archive(spark, sf_dir)
+    return a.frames.select(
+        "t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("day").cast("string").alias("day"), "cells", F.size("files").alias("files"),
+        F.lit(a.lat.first).alias("lat0"), F.lit(a.lat.step).alias("dlat"), F.lit(a.lon.first).alias("lon0"), F.lit(a.lon.step).alias("dlon"), F.lit(a.lat.n).alias("height"), F.lit(a.lon.n).alias("width"),
+    )
+
+
+@register(sql.query(
+    _DIGEST_COLUMNS, _DIGEST.format("patch"), box=_BOX,
+    placed="""SELECT event_id AS point_id, round_even(obs_idx / 4, 0)::INT AS t, round_even((lat + 8) / 0.25, 0)::INT AS y, round_even((lon + 8) / 0.25, 0)::INT AS x
+        FROM observations WHERE obs_idx / 4 <= (SELECT max(t) FROM grid64)""",
+    patch=_PATCH.format(py="dy + 3", points="placed", grid="grid64"),
+))
+def archive_track_patches(spark, sf_dir):
+    """Patches along all tracks from an archive in date folders; only folders of frames that some observation is near are read."""
+    o = fx.observations(spark, sf_dir).select(F.col("event_id").alias("point_id"), "iso_time", "lat", "lon")
+    a = _archive(spark, sf_dir)
+    return _digest(a.nearest_patches(o, a.half_width(0.75), beyond="missing"))
+
+
 @register(sql.query("point_id:i", "SELECT point_id FROM points LEFT JOIN land USING (y, x) WHERE NOT coalesce(is_land, false)"))
 def land_filter(spark, sf_dir):
     return patches.land_flag(fx.points(spark, sf_dir), fx.landmask(spark)).where("not is_land").select("point_id")

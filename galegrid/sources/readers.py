@@ -12,24 +12,44 @@ def null_for_nan(column: str) -> Column:
     return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
 
 
-def read_grid(spark: SparkSession, *paths: str, variable: str = "v", y: str = "y", x: str = "x", time: str = "ts") -> DataFrame:
-    """(t, ts, y, x, v) of one variable of gridded files; t numbers the times in order. Only the columns named are read, and
-    filters on them reach the scan. The times, a row for each frame, are sorted by one task."""
+def frame_numbers(times: DataFrame, numbered: str = "time", gaps: str = "error") -> DataFrame:
+    """(ts, t) of distinct times (ts). numbered "time": t is the time's place on a linear axis from the first time on, in the least step that
+    there is; other than whole steps are an error, and so is a missing frame, unless gaps is "missing": then its number is left out. numbered
+    "rank": the times in order, whatever lies between them. One task sorts the times, a row for each frame."""
+    if numbered not in ("time", "rank") or gaps not in ("error", "missing"):
+        raise ValueError("numbered must be time or rank, gaps error or missing")
+    order = Window.orderBy("ts")
+    if numbered == "rank":
+        return times.withColumn("t", (F.row_number().over(order) - 1).cast("int"))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    micros = F.unix_micros(F.to_timestamp(F.col("ts").cast("string")))
+    steps = times.withColumn("at", micros).withColumn("gap", F.col("at") - F.lag("at").over(order))
+    steps = steps.withColumns({"least": F.min("gap").over(every), "since": F.col("at") - F.min("at").over(every)})
+    whole = F.coalesce(F.col("since") % F.col("least"), F.lit(0)) == 0
+    ok = whole if gaps == "missing" else whole & (F.coalesce(F.col("gap"), F.col("least"), F.lit(0)) == F.coalesce("least", F.lit(0)))
+    t = F.coalesce(F.expr("since div least"), F.lit(0)).cast("int")
+    return steps.select("ts", F.when(ok, t).otherwise(F.raise_error(F.concat(F.lit("a frame is missing before, or the time axis isn't linear at, "), F.col("ts").cast("string")))).alias("t"))
+
+
+def read_grid(
+    spark: SparkSession, *paths: str, variable: str = "v", y: str = "y", x: str = "x", time: str = "ts", numbered: str = "time", gaps: str = "error"
+) -> DataFrame:
+    """(t, ts, y, x, v) of one variable of gridded files; t as frame_numbers gives it. Only the columns named are read, and
+    filters on them reach the scan."""
     raw = spark.read.parquet(*paths).select(
         F.col(time).alias("ts"), F.col(y).cast("int").alias("y"), F.col(x).cast("int").alias("x"), null_for_nan(variable).alias("v")
     )
-    times = raw.select("ts").distinct().withColumn("t", (F.row_number().over(Window.orderBy("ts")) - 1).cast("int"))
-    return raw.join(times, "ts").select("t", "ts", "y", "x", "v")
+    return raw.join(frame_numbers(raw.select("ts").distinct(), numbered, gaps), "ts").select("t", "ts", "y", "x", "v")
 
 
-def read_infrared(spark: SparkSession, *paths: str) -> DataFrame:
-    """Brightness temperatures of files with columns time, lat, lon, Tb, where lat and lon are indexes."""
-    return read_grid(spark, *paths, variable="Tb", y="lat", x="lon", time="time")
+def read_infrared(spark: SparkSession, *paths: str, gaps: str = "error") -> DataFrame:
+    """Brightness temperatures of files with columns time, lat, lon, Tb, where lat and lon are indexes (in degrees: archive.py)."""
+    return read_grid(spark, *paths, variable="Tb", y="lat", x="lon", time="time", gaps=gaps)
 
 
-def read_wind(spark: SparkSession, *paths: str, direction: str = "u") -> DataFrame:
+def read_wind(spark: SparkSession, *paths: str, direction: str = "u", gaps: str = "error") -> DataFrame:
     """One wind component of files with columns time, latitude, longitude (indexes) and components."""
-    return read_grid(spark, *paths, variable=direction, y="latitude", x="longitude", time="time")
+    return read_grid(spark, *paths, variable=direction, y="latitude", x="longitude", time="time", gaps=gaps)
 
 
 def checked_range(grid: DataFrame, lowest: float = 160.0, highest: float = 335.0) -> DataFrame:
