@@ -54,19 +54,15 @@ def _half_disc(radius: int) -> list[tuple[int, int]]:
 
 
 def all_moves(dav: DataFrame, radius: int, height: int, width: int, is_global: bool = False) -> DataFrame:
-    """(t, y, x, new_y, new_x): disc_argmin of every cell, from tiles."""
-    offsets = _half_disc(radius)
+    """(t, y, x, new_y, new_x): disc_argmin of every cell, from tiles; the disc's rows are minima of runs."""
+    runs = tiles.runs_of(*map(np.array, zip(*_half_disc(radius), strict=True)))
 
     def least(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
         y, x = np.mgrid[top : top + shape[0], left : left + shape[1]]
-        best, to_y, to_x = np.full((len(arrays[0]), *shape), np.inf), y, x
-        cut_y = np.maximum(0, radius - y)
-        cut_x = 0 if is_global else np.maximum(0, radius - x)
-        for (dy, dx), window in zip(offsets, tiles.windows(shape, radius, offsets), strict=True):
-            better = arrays[0][window] < best  # strictly, so the first in row-major order stays among equals; missing is never less
-            best = np.where(better, arrays[0][window], best)
-            to_y, to_x = np.where(better, y + dy - cut_y, to_y), np.where(better, x + dx - cut_x, to_x)
+        best, dy, dx = tiles.run_minima(np.where(np.isnan(arrays[0]), np.inf, arrays[0]), runs, radius, shape)
         some = np.isfinite(best)
+        to_y = np.where(some, y + dy - np.maximum(0, radius - y), y)
+        to_x = np.where(some, x + dx - (0 if is_global else np.maximum(0, radius - x)), x)
         to_x = to_x % width if is_global else np.where(some, np.maximum(to_x, 0), to_x)
         return [np.where(some, np.clip(to_y, 0, height), to_y), to_x]
 
@@ -74,17 +70,16 @@ def all_moves(dav: DataFrame, radius: int, height: int, width: int, is_global: b
 
 
 def all_means(grid: DataFrame, radius: int, height: int, width: int, is_global: bool = False) -> DataFrame:
-    """(t, y, x, mean_v): disc_mean of every cell, from tiles."""
-    offsets = _half_disc(radius)
+    """(t, y, x, mean_v): disc_mean of every cell, from tiles; the disc's rows are differences of running sums."""
+    runs = tiles.runs_of(*map(np.array, zip(*_half_disc(radius), strict=True)))
 
     def mean(arrays: list[np.ndarray], shape: tuple[int, int], top: int, left: int) -> list[np.ndarray]:
-        n, s = np.zeros((len(arrays[0]), *shape)), np.zeros((len(arrays[0]), *shape))
-        for window in tiles.windows(shape, radius, offsets):
-            there = ~np.isnan(arrays[0][window])
-            n += there
-            s += np.where(there, arrays[0][window], 0.0)
+        there = ~np.isnan(arrays[0])
+        middle = arrays[0][there].mean() if there.any() else 0.0  # running sums stay small about it
+        n = tiles.run_sums(there.astype(float), runs, radius, shape)
+        s = tiles.run_sums(np.where(there, arrays[0] - middle, 0.0), runs, radius, shape)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return [np.where(n > 0, s / n, np.nan)]
+            return [np.where(n > 0, middle + s / n, np.nan)]
 
     return tiles.apply_tiles(grid, ["v"], radius, height, width, mean, "mean_v double", wrap=is_global)
 

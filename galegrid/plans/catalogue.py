@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import angles, axes, geometry, masks
+from ..functions import angles, axes, geometry
 from ..operators import clusters, dav, patches, stencil, tracks
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
@@ -217,16 +217,6 @@ def sobel_angle(spark, sf_dir):
 # --- angles and masks -----------------------------------------------------------------------------------------------
 
 
-@register(sql.query("dy:i dx:i ray:v", sql.disc(15)))
-def ray_template(spark, sf_dir):
-    return masks.disc(spark, 15)
-
-
-@register(sql.query("dy:i dx:i ray:v", sql.half_disc(15)))
-def ray_template_half(spark, sf_dir):
-    return masks.half_disc(spark, 15)
-
-
 @register(sql.query("event_id:i d:v folded:v", f"SELECT event_id, event_id % 721 - 360.0 AS d, {sql.FOLD.format(d='(event_id % 721 - 360.0)')} AS folded FROM events"))
 def fold_angle(spark, sf_dir):
     d = fx.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 721 - 360.0).alias("d"))
@@ -270,6 +260,24 @@ def dav_skip_mask(spark, sf_dir):
     return dav.dav_map(grid, 3, 8, 8, skip=skip, smooth=False)
 
 
+@register(sql.query("t:i y:i x:i dav:v", sql.variance("g", 30, "grid64"), g=sql.angles("grid64")))
+def dav_map_wide(spark, sf_dir):
+    """At the method's own radius."""
+    return dav.dav_map(fx.grid64(spark, sf_dir), 30, S, S, smooth=False)
+
+
+@register(sql.query(
+    "t:i y:i x:i dav:v", "SELECT t, y, x, CASE WHEN (t * 4096 + y * 64 + x) % 997 = 0 AND v IS NOT NULL THEN dav END AS dav FROM dv RIGHT JOIN grid_missing USING (t, y, x)",
+    full_v=sql.filled("grid_missing", S), **sql.blurred("full_v", "smooth_v", S), g=sql.angles("smooth_v"),
+    few="SELECT t, y, x FROM grid_missing WHERE (t * 4096 + y * 64 + x) % 997 = 0", dv=sql.variance("g", 15, "few"),
+))
+def dav_few_cells(spark, sf_dir):
+    """A skip mask that leaves few cells, on filled and blurred frames."""
+    grid = fx.grid_missing(spark, sf_dir)
+    skip = grid.select("t", "y", "x", ((F.col("t") * 4096 + F.col("y") * 64 + F.col("x")) % 997 != 0).alias("skip"))
+    return dav.dav_map(grid, 15, S, S, skip=skip)
+
+
 @register(sql.query(
     "t:i dav:v", "SELECT t, avg(dav) AS dav FROM dv GROUP BY t",
     cut="SELECT t, y - 21 AS y, x - 21 AS x, v FROM grid64 WHERE y BETWEEN 21 AND 42 AND x BETWEEN 21 AND 42",

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from galegrid.functions import axes, geometry, masks
-from galegrid.operators import clusters, dav, patches, stencil, tracks
+from galegrid.operators import clusters, dav, patches, stencil, tiles, tracks
 from galegrid.sources import readers
 from galegrid.streaming import tracker
 
@@ -58,6 +58,37 @@ def test_variance_map(spark, cells):
     np.testing.assert_allclose(found, golden_dav(image, 4), rtol=1e-6)
 
 
+def test_skipped_cells_cost_nothing(spark):
+    """The cells that are left have the values of the whole map, in tiles where they are few and where they are many; the others are null."""
+    images = RNG.normal(250, 10, (2, 70, 131))
+    images[0, 5, 9:30] = np.nan
+    grid = frame_of(spark, images)
+    whole = array_of(dav.dav_map(grid, 6, 70, 131), "dav", images.shape)
+    for kept in ("(y = 3 and x = 129) or (y = 66 and x = 2)", "x < 60 and t = 1", "y < 0", "y >= 0"):
+        some = array_of(dav.dav_map(grid, 6, 70, 131, skip=grid.select("t", "y", "x", F.expr(f"not ({kept})").alias("skip"))), "dav", images.shape)
+        left = array_of(grid.select("t", "y", "x", F.expr(f"double({kept})").alias("dav")), "dav", images.shape) == 1
+        np.testing.assert_allclose(some[left], whole[left], rtol=1e-9)
+        assert np.isnan(some[~left]).all()
+
+
+def test_runs_equal_shifts():
+    """Sums and minima of runs of rows, with ties and missing values, against one pass for each cell of the disc."""
+    for r in (1, 2, 7):
+        values = np.round(RNG.random((2, 20 + 2 * r, 23 + 2 * r)) * 9)
+        values[RNG.random(values.shape) < 0.3] = np.inf
+        values[1, : 12 + r] = np.inf
+        offsets = patches._half_disc(r)
+        runs = tiles.runs_of(*map(np.array, zip(*offsets, strict=True)))
+        stack = np.stack([values[w] for w in tiles.windows((20, 23), r, offsets)])
+        least, dy, dx = tiles.run_minima(values, runs, r, (20, 23))
+        first = stack.argmin(axis=0)
+        assert (least == stack.min(axis=0)).all()
+        some = np.isfinite(least)
+        assert (dy[some] == np.array([o[0] for o in offsets])[first][some]).all() and (dx[some] == np.array([o[1] for o in offsets])[first][some]).all()
+        there = np.isfinite(values).astype(float)
+        assert (tiles.run_sums(there, runs, r, (20, 23)) == sum(there[w] for w in tiles.windows((20, 23), r, offsets))).all()
+
+
 def test_radial_bowl_has_no_variance_and_constants_do_not_matter(spark):
     y, x = np.mgrid[-10:11, -10:11]
     bowl = (y**2 + x**2).astype(float)
