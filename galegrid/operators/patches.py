@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,3 +136,29 @@ def land_flag(points: DataFrame, land: DataFrame, y: str = "y", x: str = "x") ->
     """points with is_land; beyond the mask: false."""
     mask = land.select(F.col("lat_idx").alias(y), F.col("lon_idx").alias(x), "is_land")
     return points.join(mask, [y, x], "left").withColumn("is_land", F.coalesce("is_land", F.lit(False)))
+
+
+@dataclass(frozen=True)
+class LandLookup:
+    """A land mask with axes of its own: first place and step of the frames' pixels and of the mask's cells, in degrees, and the mask's columns. A mask
+    that spans all longitudes goes round, so frames may cross the date line and count beyond 180."""
+
+    lat0: float
+    dlat: float
+    lon0: float
+    dlon: float
+    mask_lat0: float
+    mask_dlat: float
+    mask_lon0: float
+    mask_dlon: float
+    mask_width: int
+
+    def flag(self, points: DataFrame, land: DataFrame) -> DataFrame:
+        """points (y, x) with is_land, of the mask's cell nearest to the pixel's place; beyond the mask: false. The mask, (lat_idx, lon_idx, is_land), meets
+        the points on its cell."""
+        lat, lon = self.lat0 + self.dlat * F.col("y"), self.lon0 + self.dlon * F.col("x")
+        column = F.rint((lon - self.mask_lon0) / self.mask_dlon).cast("int")
+        if abs(abs(self.mask_dlon) * self.mask_width - 360) < 1e-6:
+            column = F.pmod(column, F.lit(self.mask_width))
+        at = points.withColumns({"__row": F.rint((lat - self.mask_lat0) / self.mask_dlat).cast("int"), "__column": column})
+        return land_flag(at, land, "__row", "__column").drop("__row", "__column")

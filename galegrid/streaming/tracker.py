@@ -130,7 +130,7 @@ def step(systems: list[System], t: int, frame: Frame, s: Settings) -> list[dict]
     return [p | {"active": alive[p["system_id"]]} for p in points]
 
 
-def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings, domains: DataFrame | None = None) -> DataFrame:
+def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings, domains: DataFrame | None = None, lookup: patches.LandLookup | None = None) -> DataFrame:
     """(domain, t, kind, y, x, to_y, to_x, dav, mean_v, is_land, no): what each frame says of places; kind: birth, move (from a place a
     system can stand on, to the next), or cell (variance and disc mean of a place a system can come to).
 
@@ -140,7 +140,16 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
 
     domains: (t, domain) of each frame, whole numbers, where frames are of several areas or seasons, which are tracked each by itself and
     side by side, in any order of t; t then counts a domain's frames from 0. Without it all frames are domain 0 and keep their t.
+
+    land: (lat_idx, lon_idx, is_land) of the frames' own pixels, or, with lookup, of a mask with axes of its own.
     """
+    return events_and_waits(temperature, dav, land, s, domains, lookup)[0]
+
+
+def events_and_waits(
+    temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Settings, domains: DataFrame | None = None, lookup: patches.LandLookup | None = None, waits: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """frame_events, and (domain, y, x, since) of the places where systems may wait. waits: (y, x, since) that earlier frames left, of one domain."""
     checkpoint_dir(dav.sparkSession)
     dav = dav.checkpoint()  # read four times below
     found = clusters.find_clusters(dav, s.width, s.low_dav, s.erosion)
@@ -155,11 +164,15 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
     stood = targets.unionByName(births.select("t", "y", "x")).join(order.select("t", "next"), "t").select(F.col("next").alias("t"), "y", "x").distinct()
     moved = stood.join(moves, ["t", "y", "x"])
     out = F.col("to_y").isin(0, s.height) | (F.lit(not s.is_global) & F.col("to_x").isin(0, s.width))
-    waits = moved.where(out).join(order.select("t", "domain"), "t").groupBy("domain", "y", "x").agg(F.min("t").alias("since"))
-    waited = moves.join(waits, ["y", "x"]).where("t > since").join(order.select("t", "domain"), ["t", "domain"])
+    waiting = moved.where(out).join(order.select("t", "domain"), "t").select("domain", "y", "x", F.col("t").alias("since"))
+    if waits is not None:
+        waiting = waiting.unionByName(waits.select(F.lit(0).alias("domain"), "y", "x", "since"))
+    waiting = waiting.groupBy("domain", "y", "x").agg(F.min("since").alias("since"))
+    waited = moves.join(waiting, ["y", "x"]).where("t > since").join(order.select("t", "domain"), ["t", "domain"])
     moved = moved.unionByName(waited.select(moved.columns)).distinct()
     cells = targets.join(dav.select("t", "y", "x", "dav"), ["t", "y", "x"]).join(means, ["t", "y", "x"], "left")
-    born = patches.land_flag(births.join(means, ["t", "y", "x"], "left"), land)
+    born = births.join(means, ["t", "y", "x"], "left")
+    born = patches.land_flag(born, land) if lookup is None else lookup.flag(born, land)
     none = F.lit(None)
 
     def event(kind: str, df: DataFrame) -> DataFrame:
@@ -169,9 +182,9 @@ def frame_events(temperature: DataFrame, dav: DataFrame, land: DataFrame, s: Set
 
     events = event("move", moved).unionByName(event("cell", cells)).unionByName(event("birth", born))
     if domains is None:
-        return events
+        return events, waiting
     columns = events.columns
-    return events.drop("domain").join(order.drop("next"), "t").drop("t").withColumnRenamed("number", "t").select(*columns)
+    return events.drop("domain").join(order.drop("next"), "t").drop("t").withColumnRenamed("number", "t").select(*columns), waiting
 
 
 def read_frame(rows: pd.DataFrame) -> Frame:

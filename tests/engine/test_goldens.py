@@ -396,6 +396,28 @@ def test_the_stream_gives_the_batch_fold(spark, sf_dir, tmp_path):
     assert got == {(b[1], b[2], b[3], b[4], b[5], b[6]) for b in batch} and len(got) == 12
 
 
+def test_frames_out_of_order_give_the_batch_job(spark, small_dir, tmp_path):
+    """Cells of frames with holes come in an order of their own, frames in parts; the points are the batch job's."""
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+    from galegrid.streaming import frames
+
+    s, side, land = catalogue.core_settings(), fx.SIDE, fx.landmask(spark)
+    fx.grid_cores(spark, small_dir).select("t", "y", "x", "v").withColumn("v", F.when((7 * F.col("t") + 31 * F.col("y") + 17 * F.col("x")) % 11 != 0, F.col("v"))).write.parquet(f"{tmp_path}/all")
+    cells = spark.read.parquet(f"{tmp_path}/all")
+    want = points_of(catalogue.QUERIES["find_systems"](spark, small_dir).collect())
+    assert len(want) > 5
+    upper, lower = F.col("y") < 20, F.col("y") >= 20
+    for batch in ((2, 0), (1,), (4, (3, upper)), ((3, lower), (6, upper), 5), ((6, lower), 2)):
+        parts = [cells.where(F.col("t") == (p if isinstance(p, int) else p[0])).where(F.lit(True) if isinstance(p, int) else p[1]) for p in batch]
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(cells.schema).parquet(f"{tmp_path}/in")
+        query = frames.track_frames(stream, land, 10, s, f"{tmp_path}/work", last=6, availableNow=True)
+        query.awaitTermination()
+    assert points_of(frames.points_of(spark, f"{tmp_path}/work").collect()) == want
+
+
 # --- the tracker from raw frames ------------------------------------------------------------------------------------
 
 
