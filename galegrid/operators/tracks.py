@@ -66,12 +66,20 @@ def _between(a: Column, b: Column, i: Column, tick: Column, upto: Column) -> Col
     return F.when(i == tick, a).otherwise(a + (b - a) * (i - tick) / (upto - tick))
 
 
-def interpolate_numbers(observations: DataFrame, columns: list[str]) -> DataFrame:
+def _around(a: Column, b: Column, i: Column, tick: Column, upto: Column) -> Column:
+    """_between of degrees, the shorter way round, from -180 to 180 (excluded); halves of the circle go east. a as it is at its own tick."""
+    way = F.pmod(b - a + 180, F.lit(360.0)) - 180
+    way = F.when(way == -180, F.lit(180.0)).otherwise(way)
+    return F.when(i == tick, a).otherwise(F.pmod(a + way * (i - tick) / (upto - tick) + 180, F.lit(360.0)) - 180)
+
+
+def interpolate_numbers(observations: DataFrame, columns: list[str], degrees: tuple[str, ...] = ()) -> DataFrame:
     """(storm_idx, tick, columns) for each half hour, linear between observations; a missing end leaves the ticks between missing, and
-    values at observations stay as they are."""
+    values at observations stay as they are. degrees: columns that go the shorter way round the circle; literally, none does, so a storm that crosses
+    the date line passes through 0."""
     n = _to_next(observations, columns).where("next_tick is null or next_tick > tick")
     each = _each_tick(n)
-    line = {c: _between(F.col(c), F.col(f"next_{c}"), F.col("at"), F.col("from_tick"), F.col("next_tick")) for c in columns}
+    line = {c: (_around if c in degrees else _between)(F.col(c), F.col(f"next_{c}"), F.col("at"), F.col("from_tick"), F.col("next_tick")) for c in columns}
     return each.select("storm_idx", F.col("at").alias("tick"), *[e.alias(c) for c, e in line.items()])
 
 
@@ -100,9 +108,20 @@ def interpolate_times(observations: DataFrame, cut: int = 5) -> DataFrame:
     return placed.where(F.col("tick") < F.col("n") - cut).select("storm_idx", "tick", "iso_time")
 
 
-def interpolate_track(observations: DataFrame, steps: list[str], numbers: list[str], quadrants: list[str]) -> DataFrame:
+def times_of_ticks(observations: DataFrame) -> DataFrame:
+    """(storm_idx, tick, iso_time): the time of each half hour from a storm's first observation to its last, so as many as interpolate_numbers gives, whatever
+    gaps and odd hours there are (interpolate_times, the literal way, knows three-hourly observations alone). A storm's clock starts at its first
+    observation's half hour. Needs tick (half_hour_ticks)."""
+    each = interpolate_numbers(observations, [])
+    micros = F.unix_micros(F.to_timestamp("iso_time"))
+    start = observations.where("tick = 0").groupBy("storm_idx").agg(F.min(micros - F.pmod(micros, F.lit(1_800_000_000))).alias("start"))
+    text = F.date_format(F.timestamp_micros(F.col("start") + F.col("tick").cast("long") * 1_800_000_000), "yyyy-MM-dd HH:mm:ss")
+    return each.join(start, "storm_idx").select("storm_idx", "tick", text.alias("iso_time"))
+
+
+def interpolate_track(observations: DataFrame, steps: list[str], numbers: list[str], quadrants: list[str], degrees: tuple[str, ...] = ()) -> DataFrame:
     """All columns of a track on the half-hour clock, by each one's kind; time follows from the tick."""
-    out = interpolate_numbers(observations, numbers)
+    out = interpolate_numbers(observations, numbers, degrees)
     if steps:
         out = out.join(interpolate_steps(observations, steps), ["storm_idx", "tick"], "left")
     return out.join(interpolate_quadrants(observations, quadrants), ["storm_idx", "tick"], "left") if quadrants else out

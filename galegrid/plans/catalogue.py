@@ -425,6 +425,31 @@ def land_filter(spark, sf_dir):
     return patches.land_flag(fx.points(spark, sf_dir), fx.landmask(spark)).where("not is_land").select("point_id")
 
 
+_COARSE_LAND = "SELECT event_id % 180 AS lat_idx, event_id * 7 % 360 AS lon_idx, bool_or(event_id % 3 = 0) AS is_land FROM events GROUP BY ALL"
+
+
+@register(sql.query(
+    "point_id:i is_land:s",
+    """SELECT point_id, coalesce(is_land, false) AS is_land FROM points LEFT JOIN coarse
+       ON lat_idx = round_even(0.25 * y - 8 + 89.5, 0) AND lon_idx = (round_even(172 + 0.25 * x + 179.5, 0)::INT % 360)""",
+    coarse=_COARSE_LAND,
+))
+def land_lookup(spark, sf_dir):
+    """A mask of whole degrees under frames of quarter degrees that cross the date line."""
+    e = F.col("event_id")
+    land = fx.table(spark, sf_dir, "events").groupBy((e % 180).cast("int").alias("lat_idx"), (e * 7 % 360).cast("int").alias("lon_idx")).agg(F.bool_or(e % 3 == 0).alias("is_land"))
+    return patches.LandLookup(-8.0, 0.25, 172.0, 0.25, -89.5, 1.0, -179.5, 1.0, 360).flag(fx.points(spark, sf_dir), land).select("point_id", "is_land")
+
+
+@register(sql.query("point_id:i other_id:i dist2:i", """SELECT a.point_id, b.point_id AS other_id, (a.y - b.y) ** 2 + least(abs(a.x - b.x), 64 - abs(a.x - b.x)) ** 2 AS dist2
+    FROM points a JOIN points b ON a.t = b.t AND a.point_id < b.point_id AND a.point_id % 5 = 0 AND b.point_id % 5 = 0 AND abs(a.y - b.y) < 3
+    AND (a.y - b.y) ** 2 + least(abs(a.x - b.x), 64 - abs(a.x - b.x)) ** 2 < 6.25"""))
+def pair_distance_ring(spark, sf_dir):
+    """Distances of frames that go round: every fifth point, the shorter way."""
+    p = fx.points(spark, sf_dir).where("point_id % 5 = 0").withColumnRenamed("point_id", "id")
+    return clusters.pair_distances(p, p, 2.5, ring=S).where("id < other_id").withColumnRenamed("id", "point_id").drop("t")
+
+
 @register(sql.query("point_id:i", "SELECT point_id FROM points WHERE y BETWEEN 12 AND 52"))
 def lat_band(spark, sf_dir):
     low, high = (axes.clamped_row(F.lit(v), F.lit(-8.0), F.lit(0.25), F.lit(S)) for v in (-5.0, 5.0))
@@ -480,6 +505,34 @@ def interp_linear(spark, sf_dir):
     return tracks.interpolate_numbers(tracks.half_hour_ticks(fx.observations(spark, sf_dir)), ["usa_wind", "lat"])
 
 
+_CROSSING = "SELECT storm_idx, obs_idx, tick, CASE WHEN event_id % 11 <> 0 THEN (event_id * 7 % 41 + 160) % 360 - CASE WHEN (event_id * 7 % 41 + 160) % 360 >= 180 THEN 360.0 ELSE 0.0 END END AS lon FROM observations"
+
+
+@register(sql.query(
+    "storm_idx:i tick:i lon:v",
+    """SELECT storm_idx, i AS tick, CASE WHEN i = tick THEN lon ELSE (lon + way * (i - tick) / (tick2 - tick) + 540) % 360 - 180 END AS lon
+       FROM (SELECT *, (lon2 - lon + 540) % 360 - 180 AS way, unnest(range(tick, coalesce(tick2, tick + 1))) AS i
+             FROM (SELECT *, lead(tick) OVER w AS tick2, lead(lon) OVER w AS lon2 FROM crossing WINDOW w AS (PARTITION BY storm_idx ORDER BY tick)))""",
+    crossing=_CROSSING,
+))
+def interp_dateline(spark, sf_dir):
+    """Longitudes of storms about the date line, the shorter way between observations."""
+    raw = F.col("event_id") * 7 % 41 + 160
+    lon = F.when(F.col("event_id") % 11 != 0, F.when(raw >= 180, raw - 360.0).otherwise(raw.cast("double")))
+    return tracks.interpolate_numbers(tracks.half_hour_ticks(fx.observations(spark, sf_dir)).withColumn("lon", lon), ["lon"], degrees=("lon",))
+
+
+@register(sql.query(
+    "storm_idx:i tick:i iso_time:s",
+    """SELECT storm_idx, i AS tick, strftime(TIMESTAMP '2022-09-01' + to_minutes(30 * i::INT), '%Y-%m-%d %H:%M:%S') AS iso_time
+       FROM (SELECT storm_idx, unnest(range(max(6 * obs_idx) + 1)) AS i FROM observations WHERE obs_idx = 0 OR event_id % 3 = 0 GROUP BY storm_idx)""",
+))
+def interp_time_gaps(spark, sf_dir):
+    """Times of tracks of which two observations in three are gone."""
+    o = fx.observations(spark, sf_dir).where((F.col("obs_idx") == 0) | (F.col("event_id") % 3 == 0))
+    return tracks.times_of_ticks(tracks.half_hour_ticks(o))
+
+
 @register(sql.query("storm_idx:i tick:i nature:s", "SELECT storm_idx, unnest(range(tick, coalesce(tick2, tick + 1))) AS tick, nature FROM nexts", nexts=_NEXT))
 def interp_step(spark, sf_dir):
     return tracks.interpolate_steps(tracks.half_hour_ticks(fx.observations(spark, sf_dir)), ["nature"])
@@ -606,6 +659,17 @@ def components(spark, sf_dir):
     return clusters.label_components(stencil.erode(clusters.below(_core_dav(spark, sf_dir), CORE_THRESHOLD)), S)
 
 
+@register(sql.query(
+    "t:i y:i x:i label:i", "SELECT t, y, x, min(r) AS label FROM reach GROUP BY ALL", recursive=True,
+    low="SELECT t, y, x FROM grid64 WHERE v < 242",
+    reach="""SELECT t, y, x, y * 64 + x AS r FROM low UNION
+        SELECT c.t, c.y, c.x, p.r FROM reach p JOIN low c ON c.t = p.t AND abs(c.y - p.y) + least(abs(c.x - p.x), 64 - abs(c.x - p.x)) = 1""",
+))
+def components_ring(spark, sf_dir):
+    """Components of cold cells that go round the last column."""
+    return clusters.label_components(fx.grid64(spark, sf_dir).where("v < 242").select("t", "y", "x"), S, ring=True)
+
+
 @register(sql.query(
     "t:i label:i y:i x:i dav:v",
     "SELECT t, label, b.y AS y, b.x AS x, b.dav AS dav FROM (SELECT t, label, min({'dav': dav, 'y': y, 'x': x}) AS b FROM labelled JOIN dav USING (t, y, x) GROUP BY ALL)",

@@ -24,8 +24,9 @@ POINT_SCHEMA = "domain int, system_id string, t int, y int, x int, cdav double,
 
 @dataclass(frozen=True)
 class Settings:
-    """Distances in kilometres, res_km kilometres a pixel. corrected: also end systems that move out, and merge within the full distance
-    (literally, distance over squared resolution is compared, and a system that moved out waits where it was)."""
+    """Distances in kilometres, res_km kilometres a pixel. corrected: also end systems that move out, merge within the full distance, and, on a global grid,
+    see across the date line (literally, distance over squared resolution is compared, a system that moved out waits where it was, and components and
+    distances end at the last column)."""
 
     height: int
     width: int
@@ -52,6 +53,11 @@ class Settings:
     def apart(self) -> float:
         return self.apart_km / self.res_km
 
+    @property
+    def ring(self) -> int | None:
+        """Columns that distances go round."""
+        return self.width if self.corrected and self.is_global else None
+
     @property
     def merge2(self) -> float:
         return (self.apart_km / self.res_km) ** 2 if self.corrected else self.apart_km / self.res_km**2
@@ -101,7 +107,7 @@ def merge(systems: list[System], s: Settings) -> None:
         for b in systems[i + 1 :]:
             if not (a.is_active(s.window) and b.is_active(s.window)):
                 continue
-            if (a.y - b.y) ** 2 + (a.x - b.x) ** 2 < s.merge2:
+            if clusters.distance2(a.y, a.x, b.y, b.x, s.ring) < s.merge2:
                 (b if a.n_positive > b.n_positive else a).active = False
 
 
@@ -122,7 +128,7 @@ def step(systems: list[System], t: int, frame: Frame, s: Settings) -> list[dict]
         here.append((y, x))
     merge(systems, s)
     for y, x, dav, land, mean in frame.births:
-        if any((y - v) ** 2 + (x - w) ** 2 < s.apart**2 for v, w in here) or land or (mean is not None and mean > s.warm):
+        if any(clusters.distance2(y, x, v, w, s.ring) < s.apart**2 for v, w in here) or land or (mean is not None and mean > s.warm):
             continue
         systems.append(System(system_id(t, y, x), t, y, x))
         points.append({"system_id": systems[-1].system_id, "t": t, "y": y, "x": x, "cdav": dav, "positive": True})
@@ -152,8 +158,8 @@ def events_and_waits(
     """frame_events, and (domain, y, x, since) of the places where systems may wait. waits: (y, x, since) that earlier frames left, of one domain."""
     checkpoint_dir(dav.sparkSession)
     dav = dav.checkpoint()  # read four times below
-    found = clusters.find_clusters(dav, s.width, s.low_dav, s.erosion)
-    births = clusters.greedy_independent(found, s.apart).withColumn("no", F.col("label"))
+    found = clusters.find_clusters(dav, s.width, s.low_dav, s.erosion, ring=s.ring is not None)
+    births = clusters.greedy_independent(found, s.apart, s.ring).withColumn("no", F.col("label"))
     moves = patches.all_moves(dav, s.search, s.height, s.width, s.is_global).select("t", "y", "x", F.col("new_y").alias("to_y"), F.col("new_x").alias("to_x")).checkpoint()
     means = patches.all_means(temperature, s.cloud, s.height, s.width, s.is_global)
     targets = moves.select("t", F.col("to_y").alias("y"), F.col("to_x").alias("x")).distinct()
