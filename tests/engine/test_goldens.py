@@ -147,13 +147,14 @@ def test_resampling_keeps_planes_and_spreads_gaps(spark):
     assert np.isnan(array_of(stencil.resample_bilinear(frame_of(spark, [plane]), 10, 20, 0.8), "v", (1, 8, 16))[0][0, 0])
 
 
-def golden_labels(mask):
+def golden_labels(mask, ring=False):
     labels = np.full(mask.shape, -1)
     for y, x in zip(*np.nonzero(mask), strict=True):
         if labels[y, x] < 0:
             todo, first = [(y, x)], y * mask.shape[1] + x
             while todo:
                 j, i = todo.pop()
+                i = i % mask.shape[1] if ring else i
                 if 0 <= j < mask.shape[0] and 0 <= i < mask.shape[1] and mask[j, i] and labels[j, i] < 0:
                     labels[j, i] = first
                     todo += [(j + 1, i), (j - 1, i), (j, i + 1), (j, i - 1)]
@@ -176,6 +177,19 @@ def test_components_of_noise_and_of_a_spiral(spark, share):
     assert (found == golden_labels(mask)).all()
 
 
+@pytest.mark.parametrize("tile", [7, 64])
+@pytest.mark.parametrize("ring", [False, True])
+def test_components_over_tiles_and_round(spark, tile, ring):
+    masks_ = [RNG.random((25, 30)) < share for share in (0.45, 0.6, 0.75)]
+    cells = spark.createDataFrame([(t, int(y), int(x)) for t, m in enumerate(masks_) for y, x in zip(*np.nonzero(m), strict=True)], "t int, y int, x int")
+    found = np.full((3, 25, 30), -1)
+    for r in clusters.label_components(cells, 30, ring, tile).collect():
+        found[r.t, r.y, r.x] = r.label
+    for t, m in enumerate(masks_):
+        assert (found[t] == golden_labels(m, ring)).all()
+    assert clusters.label_components(cells.where("t > 9"), 30, ring, tile).collect() == []
+
+
 def test_components_that_touch_at_a_corner_are_two(spark):
     assert clusters.label_components(spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "t int, y int, x int"), 9).select("label").distinct().count() == 2
 
@@ -421,27 +435,33 @@ def test_frames_out_of_order_give_the_batch_job(spark, small_dir, tmp_path):
 # --- the tracker from raw frames ------------------------------------------------------------------------------------
 
 
-def disc_values(image, y, x, r):
+def disc_values(image, y, x, r, wrap=False):
     """(value, y offset, x offset) of what a disc about a pixel's corner holds, row by row."""
     h, w = image.shape
+    column = lambda i: (x + i) % w if wrap else x + i
     return [
-        (image[y + j, x + i], j, i) for j in range(-r, r) for i in range(-r, r)
-        if (j + 0.5) ** 2 + (i + 0.5) ** 2 <= r * r and 0 <= y + j < h and 0 <= x + i < w and not math.isnan(image[y + j, x + i])
+        (image[y + j, column(i)], j, i) for j in range(-r, r) for i in range(-r, r)
+        if (j + 0.5) ** 2 + (i + 0.5) ** 2 <= r * r and 0 <= y + j < h and 0 <= column(i) < w and not math.isnan(image[y + j, column(i)])
     ]
 
 
+def golden_distance2(a, b, s):
+    dx = abs(a[1] - b[1])
+    return (a[0] - b[0]) ** 2 + (min(dx, s.width - dx) if s.is_global and s.corrected else dx) ** 2
+
+
 def golden_clusters(values, s):
     """Places of the minima that stay independent, in order of their components."""
     mask = np.where(np.isnan(values), np.inf, values) < s.low_dav
     for _ in range(s.erosion):
         padded = np.pad(mask, 1)
         mask = padded[1:-1, 1:-1] & padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
-    labels = golden_labels(mask)
+    labels = golden_labels(mask, s.is_global and s.corrected)
     minima = []
     for label in sorted({int(n) for n in labels[labels >= 0].ravel()}):
         minima.append(min((values[y, x], y, x) for y, x in zip(*np.nonzero(labels == label), strict=True)))
     alive = set(range(len(minima)))
-    near = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 < s.apart**2
+    near = lambda a, b: golden_distance2(a[1:], b[1:], s) < s.apart**2
     for i in range(len(minima)):
         group = [j for j in sorted(alive) if near(minima[i], minima[j])]
         if len(group) >= 2:
@@ -461,13 +481,14 @@ def golden_tracker(temps, davs, is_land, s):
             if not one["on"]:
                 continue
             y, x = one["at"]
-            if found := disc_values(davs[t], y, x, s.search):
+            if found := disc_values(davs[t], y, x, s.search, s.is_global):
                 _, j, i = min(found)
-                y, x = min(max(y + j - max(0, s.search - y), 0), height), max(x + i - max(0, s.search - x), 0)
-            if y in (0, height) or x in (0, width):
+                y, x = min(max(y + j - max(0, s.search - y), 0), height), (x + i) % width if s.is_global else max(x + i - max(0, s.search - x), 0)
+            if y in (0, height) or not s.is_global and x in (0, width):
+                one["on"] = not s.corrected
                 continue
             inside = y < height and x < width
-            mean = np.mean([v for v, _, _ in disc_values(temps[t], y, x, s.cloud)]) if disc_values(temps[t], y, x, s.cloud) else np.nan
+            mean = np.mean([v for v, _, _ in disc_values(temps[t], y, x, s.cloud, s.is_global)]) if disc_values(temps[t], y, x, s.cloud, s.is_global) else np.nan
             value = davs[t][y, x] if inside else np.nan
             positive = bool(mean < s.warm and value < s.low_dav)
             one["at"] = (y, x)
@@ -480,11 +501,11 @@ def golden_tracker(temps, davs, is_land, s):
                 for each in (one, two):
                     if len(each["signs"]) >= s.window and not any(each["signs"][-s.window :]):
                         each["on"] = False
-                if one["on"] and two["on"] and (one["at"][0] - two["at"][0]) ** 2 + (one["at"][1] - two["at"][1]) ** 2 < s.apart_km / s.res_km**2:
+                if one["on"] and two["on"] and golden_distance2(one["at"], two["at"], s) < (s.apart**2 if s.corrected else s.apart_km / s.res_km**2):
                     (two if sum(one["signs"]) > sum(two["signs"]) else one)["on"] = False
         for value, y, x in golden_clusters(davs[t], s):
-            cold = [v for v, _, _ in disc_values(temps[t], y, x, s.cloud)]
-            if any((y - v) ** 2 + (x - w) ** 2 < s.apart**2 for v, w in here) or is_land(y, x) or (cold and np.mean(cold) > s.warm):
+            cold = [v for v, _, _ in disc_values(temps[t], y, x, s.cloud, s.is_global)]
+            if any(golden_distance2((y, x), place, s) < s.apart**2 for place in here) or is_land(y, x) or (cold and np.mean(cold) > s.warm):
                 continue
             systems.append({"id": tracker.system_id(t, y, x), "at": (y, x), "signs": [True], "on": True})
             points.append([systems[-1], t, int(y), int(x), value, True])
@@ -534,6 +555,21 @@ def test_tracker_equals_a_fold_over_whole_frames(spark, small_dir):
     assert sorted((r.label, r.t, r.y, r.x) for r in layers if r.layer == "known") == sorted((r.name, r.t, r.y, r.x) for r in known)
 
 
+@pytest.mark.parametrize(("corrected", "shift"), [(False, 20), (True, 20), (True, 40)])
+def test_the_tracker_of_a_global_grid_equals_a_fold(spark, small_dir, corrected, shift):
+    """Frames turned so that cores stand on the last and first columns."""
+    from galegrid.plans import catalogue
+    from galegrid.sources import fixtures as fx
+
+    side = fx.SIDE
+    s = tracker.Settings(height=side, width=side, is_global=True, corrected=corrected)
+    turn = lambda df: df.withColumn("x", (F.col("x") + shift) % side)
+    grid, values = turn(fx.grid_cores(spark, small_dir).select("t", "y", "x", "v")), turn(catalogue._core_dav(spark, small_dir)).checkpoint()
+    want = golden_tracker(images_of(grid, "v", 7, side), images_of(values, "dav", 7, side), lambda y, x: (y * side + x) % 5 == 0, s)
+    found = tracker.track(tracker.frame_events(grid, values, fx.landmask(spark), s), s)
+    assert len(want) > 3 and points_of(found.collect()) == sorted(want)
+
+
 def test_the_job_equals_a_fold_over_whole_frames(spark, small_dir):
     from galegrid.plans import catalogue
     from galegrid.sources import fixtures as fx
