@@ -47,7 +47,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(read_documents(spark, sf_dir)).select("doc_id", "start", "end", "found", "score", "is_secret")
+    return scan_secrets(read_documents(spark, sf_dir)).select("doc_id", "start", "end", "found", "score", "is_secret", "labelled")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,8 @@ def labelled_findings(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows: int = 20_000, trees: int = 40, threshold: float = 0.5) -> DataFrame:
-    """Candidates with the forest's verdict: (doc_id, rid, start, end, found, score, is_secret); positions count code points.
+    """Candidates with the forest's verdict: (doc_id, rid, start, end, found, score, is_secret, labelled); positions count code points. labelled: a finding, or
+    without findings a rule, says what the candidate is, so the forest only repeats it; the others the forest decides.
 
     findings: (doc_id, rid, start, is_secret) of reviewed candidates; None: labelled_findings. Candidates without a label are
     scored, but nothing is learnt from them. The forest is trained on train_rows of them at most, those of smallest hash, half
@@ -138,10 +139,12 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows:
         .select("label", *FEATURES, F.xxhash64("doc_id", "rid", "start").alias("h"))
     )
     counts = {r["label"]: r["count"] for r in joined.groupBy("label").count().collect()}
-    columns = ["doc_id", "rid", "start", "end", "found"]
+    told = labels.where("label is not null").select("l_doc", "l_rid", "l_start").distinct()
+    data = data.join(told, match, "left")
+    columns, labelled = ["doc_id", "rid", "start", "end", "found"], F.col("l_rid").isNotNull().alias("labelled")
     if len(counts) < 2:
         score = F.lit(next(iter(counts), 0.5))
-        return data.select(*columns, score.alias("score"), (score > threshold).alias("is_secret"))
+        return data.select(*columns, score.alias("score"), (score > threshold).alias("is_secret"), labelled)
     # what one kind leaves of its half, the other may use
     sizes = {k: min(n, max(1, train_rows // 2, train_rows - counts[1.0 - k])) for k, n in counts.items()}
     chosen = kept(reduce(DataFrame.unionByName, [joined.where(F.col("label") == k).orderBy("h").limit(n) for k, n in sizes.items()]))
@@ -149,4 +152,4 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, train_rows:
     train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(chosen.withColumn("weight", weight))
     model = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=8, seed=5).fit(train)
     scored = model.transform(data).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select(*columns, "score", (F.col("score") > threshold).alias("is_secret"))
+    return scored.select(*columns, "score", (F.col("score") > threshold).alias("is_secret"), labelled)

@@ -657,6 +657,7 @@ def test_secrets_of_shapes_without_a_label(spark):
     labels = {r.doc_id: r.is_secret for r in secrets.labelled_findings(secrets.candidates(docs)).collect()}
     assert all(labels[len(texts) + i] is None for i in range(len(unknown)))
     rows = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert all(rows[i].labelled for i, label in labels.items() if label is not None) and not any(rows[len(texts) + i].labelled for i in range(len(unknown)))
     assert [rows[len(texts) + i].is_secret for i in range(len(unknown))] == [True] * len(unknown)
     n = 30 * len(KNOWN_SECRETS)
     assert [texts[i] for i in range(len(texts)) if rows[i].is_secret != (i < n)] == []
