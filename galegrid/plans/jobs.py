@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import dav, stencil
+from ..operators import dav, patches, stencil
 from ..sources import readers
+from ..sources.archive import Archive
 from ..streaming import tracker
 
 
@@ -15,7 +17,8 @@ from ..streaming import tracker
 class Job:
     """height, width: of the frames as read, in pixels of in_km; the work is done in pixels of out_km. radius_km: of the variance's disc.
     rows, columns: half-open pixel ranges to keep, None for all; or bounds, (north, south, west, east) in degrees, on frames with axes (lat0,
-    lon0, dlat, dlon): the first cell's place and the steps. checked: values must be temperatures in kelvin."""
+    lon0, dlat, dlon): the first cell's place and the steps. mask: (first latitude, step, first longitude, step, columns) of a land mask with axes of its own, which
+    also needs axes; without it the mask has the pixels that the work is done in. checked: values must be temperatures in kelvin."""
 
     height: int
     width: int
@@ -26,6 +29,7 @@ class Job:
     columns: tuple[int, int] | None = None
     bounds: tuple[float, float, float, float] | None = None
     axes: tuple[float, float, float, float] | None = None
+    mask: tuple[float, float, float, float, int] | None = None
     checked: bool = True
     is_global: bool = False
 
@@ -37,6 +41,8 @@ class Job:
             if self.axes is None or self.rows or self.columns:
                 raise ValueError("bounds need axes, and stand in place of rows and columns")
             readers.check_bounds(*self.bounds)
+        if self.mask is not None and self.axes is None:
+            raise ValueError("a mask with axes of its own needs the frames' axes")
 
     def kept_pixels(self) -> tuple[tuple[int, int], tuple[int, int]]:
         """The half-open ranges of rows and columns that are kept."""
@@ -47,10 +53,43 @@ class Job:
         pixel = lambda c, first, step, n: min(max(round((c - first) / step), 0), n)
         return (pixel(south, lat0, dlat, self.height), pixel(north, lat0, dlat, self.height)), (pixel(west, lon0, dlon, self.width), pixel(east, lon0, dlon, self.width))
 
+    def lookup(self) -> patches.LandLookup | None:
+        """How the pixels that the work is done in find their cell in the mask: their axes are those after the crop and the resampling."""
+        if self.mask is None:
+            return None
+        lat0, lon0, dlat, dlon = self.axes
+        (south, _), (west, _) = self.kept_pixels()
+        if self.bounds is not None:
+            lat0, lon0 = self.bounds[1] + dlat / 2, self.bounds[2] + dlon / 2
+        else:
+            lat0, lon0 = lat0 + south * dlat, lon0 + west * dlon
+        larger = self.out_km / self.in_km
+        if larger != 1:
+            lat0, lon0, dlat, dlon = lat0 + dlat / larger, lon0 + dlon / larger, dlat * larger, dlon * larger
+        return patches.LandLookup(lat0, dlat, lon0, dlon, *self.mask)
+
+
+def find_systems_in(found: Archive, land: DataFrame, first: str | None = None, last: str | None = None, tracking: dict | None = None, **options) -> DataFrame:
+    """find_systems over an archive's frames from first to last (ISO times, both counted; None: to the archive's end), of which alone the date folders are read.
+    Size, axes and whether the frames go round come from the catalogue. options: other fields of Job; tracking: settings of tracker.Settings."""
+    frames = found.frames.select("t", "ts")
+    if first is not None:
+        frames = frames.where(F.col("ts") >= F.lit(first).cast("timestamp_ntz"))
+    if last is not None:
+        frames = frames.where(F.col("ts") <= F.lit(last).cast("timestamp_ntz"))
+    start = frames.agg(F.min("t")).first()[0]
+    if start is None:
+        raise ValueError(f"the archive has no frame between {first} and {last}")
+    bounds = options.get("bounds")
+    whole = abs(found.lon.n * found.lon.step - 360) < 1e-6 and not options.get("columns") and (bounds is None or bounds[2:] == (-180, 180))
+    axes = (found.lat.first, found.lon.first, found.lat.step, found.lon.step)
+    job = Job(**{"height": found.lat.n, "width": found.lon.n, "axes": axes, "is_global": whole} | options)
+    return find_systems(found.cells(frames).drop("ts"), land, job, first=start + 1, **(tracking or {}))
+
 
-def find_systems(grid: DataFrame, land: DataFrame, job: Job, **tracking) -> DataFrame:
+def find_systems(grid: DataFrame, land: DataFrame, job: Job, first: int = 1, **tracking) -> DataFrame:
     """Track points (tracker.POINT_SCHEMA) of the systems in a grid (t, y, x, v): checked, cropped, resampled, filled in time, its variance
-    mapped, folded from the second frame on. tracking: other settings of tracker.Settings. Disc means see frames filled in space, as the
+    mapped, folded from the second frame on (first: its number). tracking: other settings of tracker.Settings. Disc means see frames filled in space, as the
     variances do; a cell without a value has no variance."""
     if job.checked:
         grid = readers.checked_range(grid)
@@ -65,4 +104,5 @@ def find_systems(grid: DataFrame, land: DataFrame, job: Job, **tracking) -> Data
     timed = stencil.temporal_fill(grid)
     values = dav.dav_map(timed, int(job.radius_km // job.out_km), height, width)
     settings = tracker.Settings(height=height, width=width, res_km=job.out_km, is_global=job.is_global, **tracking)
-    return tracker.track(tracker.frame_events(stencil.spatial_fill(timed, width), values, land, settings), settings)
+    events = tracker.frame_events(stencil.spatial_fill(timed, width), values, land, settings, lookup=job.lookup())
+    return tracker.track(events, settings, first)

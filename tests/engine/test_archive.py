@@ -100,3 +100,35 @@ def test_a_track_reads_the_folders_that_it_needs(spark, tmp_path):
 
     read = [int(s.metrics().apply("numFiles").value()) for s in scans(plan) if "cells" in s.simpleString(1000) and "numFiles" in s.metrics().keys().mkString(" ")]
     assert read == [3]
+
+
+def test_systems_of_an_archive(spark, small_dir, tmp_path):
+    """The job over some days of an archive, with a mask of whole degrees, equals a fold over whole frames."""
+    from test_goldens import golden_tracker, images_of, points_of
+
+    from galegrid.operators import dav, stencil
+    from galegrid.plans import catalogue, jobs
+    from galegrid.sources import fixtures as fx
+
+    side = fx.SIDE
+    grid = fx.grid_cores(spark, small_dir).withColumn("v", F.when((7 * F.col("t") + 31 * F.col("y") + 17 * F.col("x")) % 11 != 0, F.col("v"))).select("t", "y", "x", "v")
+    time = F.lit("2022-09-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=12 * (F.col("t") + 3))
+    cells = [grid.select((F.col("t") + k).alias("t"), "y", "x", "v") for k in (-3, 0)]  # frames before, which aren't asked for
+    stored = cells[0].where("t < 0").unionByName(cells[1]).select(F.to_date(time).alias("day"), time.alias("time"), (F.col("y") * 0.25 - 8).alias("lat"), (F.col("x") * 0.25 - 8).alias("lon"), F.coalesce("v", F.lit(float("nan"))).alias("Tb"))
+    stored.repartition(2, "day").write.partitionBy("day").parquet(f"{tmp_path}/cells")
+    found = archive.build_catalogue(spark, f"{tmp_path}/cells", f"{tmp_path}/c")
+    assert found.time.n == 10
+    land = spark.createDataFrame([(i, j, (i * 18 + j) % 5 == 0) for i in range(18) for j in range(18)], "lat_idx int, lon_idx int, is_land boolean")
+    timed = stencil.temporal_fill(grid)
+    davs, temps = images_of(dav.dav_map(timed, 10, side, side), "dav", 7, side), images_of(stencil.spatial_fill(timed, side), "v", 7, side)
+    is_land = lambda y, x: (round(0.25 * y - 8 + 8.5) * 18 + round(0.25 * x - 8 + 8.5)) % 5 == 0
+    want = golden_tracker(temps, davs, is_land, catalogue.core_settings())
+    got = jobs.find_systems_in(found, land, first="2022-09-02 12:00:00", in_km=10.0, radius_km=100.0, mask=(-8.5, 1.0, -8.5, 1.0, 18)).collect()
+    assert len(want) > 5 and sorted((r.t - 3, r.y, r.x, r.positive, r.active) for r in got) == sorted((p[1], p[2], p[3], p[5], p[6]) for p in want)
+    with pytest.raises(ValueError, match="no frame"):
+        jobs.find_systems_in(found, land, first="2030-01-01 00:00:00")
+    with pytest.raises(ValueError, match="axes"):
+        jobs.Job(4, 4, mask=(0.0, 1.0, 0.0, 1.0, 9))
+    # axes after a crop and a resampling
+    look = jobs.Job(100, 200, bounds=(10.0, -10.0, -20.0, 20.0), axes=(-50.0, -100.0, 0.5, 0.5), mask=(-89.5, 1.0, -179.5, 1.0, 360)).lookup()
+    assert (look.lat0, look.lon0, look.dlat, look.dlon) == (-10 + 0.25 + 0.5 / 2.5, -20 + 0.25 + 0.5 / 2.5, 1.25, 1.25)
