@@ -679,7 +679,22 @@ def cluster_argmin(spark, sf_dir):
     return clusters.find_clusters(_core_dav(spark, sf_dir), S, CORE_THRESHOLD)
 
 
-@register()
+#: Each frame's list of places is gone through in order; alive tells which are left after each.
+_WALK = {
+    "minima": "SELECT t, label, b.y AS y, b.x AS x, b.dav AS dav FROM (SELECT t, label, min({'dav': dav, 'y': y, 'x': x}) AS b FROM labelled JOIN dav USING (t, y, x) GROUP BY ALL)",
+    "listed": "SELECT t, list({'label': label, 'y': y, 'x': x, 'dav': dav} ORDER BY label) AS ps, count(*) AS n FROM minima GROUP BY t",
+    "walk": """SELECT t, 0 AS i, ps, n, list_transform(ps, lambda p: true) AS alive FROM listed UNION ALL
+        SELECT t, i + 1, ps, n, CASE WHEN len(close) < 2 THEN alive ELSE list_transform(range(1, n + 1), lambda j: CASE WHEN list_contains(close, j)
+            THEN j = list_sort(list_transform(close, lambda k: {'d': ps[k].dav, 'k': k}))[1].k ELSE alive[j] END) END
+        FROM (SELECT *, list_filter(range(1, n + 1), lambda j: alive[j] AND (ps[i + 1].y - ps[j].y) ** 2 + (ps[i + 1].x - ps[j].x) ** 2 < reach2) AS close
+              FROM walk, (SELECT 900 AS reach2) WHERE i < n)""",
+}
+
+
+@register(sql.query(
+    "t:i label:i y:i x:i dav:v", "SELECT t, p.label AS label, p.y AS y, p.x AS x, p.dav AS dav FROM (SELECT t, unnest(ps) AS p, unnest(alive) AS a FROM walk WHERE i = n) WHERE a",
+    recursive=True, **_CORES, **_ERODED, **_LABELS, **_WALK,
+))
 def greedy_independent(spark, sf_dir):
     return clusters.greedy_independent(clusters.find_clusters(_core_dav(spark, sf_dir), S, CORE_THRESHOLD), 30.0)
 
@@ -703,7 +718,18 @@ def track_systems(spark, sf_dir):
     return tracker.systems_of(tracker.track(_events(spark, sf_dir), core_settings()))
 
 
-@register()
+@register(sql.query(
+    "t:i no:i y:i x:i n_positive:i killed:s",
+    "SELECT t, unnest(ps).no AS no, unnest(ps).y AS y, unnest(ps).x AS x, unnest(ps).n_positive AS n_positive, NOT unnest(alive) AS killed FROM walk WHERE i = n",
+    recursive=True,
+    numbered="SELECT t, y, x, point_id % 5 AS n_positive, row_number() OVER (PARTITION BY t ORDER BY point_id) AS no FROM points",
+    close="""SELECT a.t, list({'a': a.no, 'b': b.no, 'gone': CASE WHEN a.n_positive > b.n_positive THEN b.no ELSE a.no END} ORDER BY a.no, b.no) AS pairs, count(*) AS n
+        FROM numbered a JOIN numbered b ON a.t = b.t AND a.no < b.no AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 < 2.25 GROUP BY a.t""",
+    listed="SELECT t, list({'no': no, 'y': y, 'x': x, 'n_positive': n_positive} ORDER BY no) AS ps FROM numbered GROUP BY t",
+    walk="""SELECT t, 0 AS i, coalesce(n, 0) AS n, ps, pairs, list_transform(ps, lambda p: true) AS alive FROM listed LEFT JOIN close USING (t) UNION ALL
+        SELECT t, i + 1, n, ps, pairs, CASE WHEN alive[pairs[i + 1].a] AND alive[pairs[i + 1].b]
+            THEN list_concat(alive[: pairs[i + 1].gone - 1], [false], alive[pairs[i + 1].gone + 1 :]) ELSE alive END FROM walk WHERE i < n""",
+))
 def merge_kill(spark, sf_dir):
     """Points as systems, numbered within their frame; the corrected distance."""
     p = fx.points(spark, sf_dir).withColumn("no", F.row_number().over(Window.partitionBy("t").orderBy("point_id"))).withColumn("n_positive", F.col("point_id") % 5)
