@@ -17,8 +17,8 @@ JOIN_ROWS = 50_000_000
 PAIRS = 500_000
 #: What a gathered cell costs more than one that is shifted, about.
 GATHERED = 10
-#: Tiles with wanted cells that are sent to all tasks; more meet the cells by a shuffle.
-BROADCAST_TILES = 100_000
+#: Wanted cells whose tiles and frames, some for each at most, are sent to all tasks; those of more meet the grid by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def gradients(grid: DataFrame) -> DataFrame:
@@ -126,19 +126,18 @@ def tiled_variance(angles: DataFrame, radius: int, height: int, width: int, tile
     return tiles.apply_tiles(cells, columns, radius, height, width, variance, "dav double", tile, only=only)
 
 
-def tiles_near(cells: DataFrame, reach: int, height: int, width: int) -> DataFrame:
-    """(t, ty, tx) of the tiles that cells (t, y, x) are in or within reach of; broadcast while they are few. Written once."""
-    checkpoint_dir(cells.sparkSession)
-    found = tiles.haloed(cells, reach, height, width).select("t", "ty", "tx").distinct().checkpoint()
-    return F.broadcast(found) if found.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES else found
+def tiles_near(cells: DataFrame, reach: int, height: int, width: int, few: bool) -> DataFrame:
+    """(t, ty, tx) of the tiles that cells (t, y, x) are in or within reach of; broadcast if the cells are few."""
+    found = tiles.haloed(cells, reach, height, width).select("t", "ty", "tx").distinct()
+    return F.broadcast(found) if few else found
 
 
 def dav_map(grid: DataFrame, radius: int, height: int, width: int, skip: DataFrame | None = None, smooth: bool = True, cells: int | None = None) -> DataFrame:
     """(t, y, x, dav) of every cell. dav is null where the input is missing, and where skip, (t, y, x, skip), is true. smooth: frames are
     filled and blurred first.
 
-    With skip, only tiles near cells that are left are blurred, and only tiles with such cells get to the variance, which takes these cells alone where they
-    are few: its time goes with them. The gap fill, which goes along whole frames, and the join that names all cells remain.
+    With skip, frames without a cell that is left stay out, only tiles near cells that are left are blurred, and only tiles with such cells get to the variance, which takes these cells alone where they
+    are few: its time goes with them. What remains is the gap fill, which goes along whole frames, and the join that names all cells.
 
     cells: of all frames, if known; where cells * disc is over JOIN_ROWS, or cells isn't known, tiles are used.
     """
@@ -151,8 +150,11 @@ def dav_map(grid: DataFrame, radius: int, height: int, width: int, skip: DataFra
         checkpoint_dir(grid.sparkSession)
         left = skip.select("t", "y", "x", F.col("skip").alias("__skip"))
         centres = wanted.join(left, ["t", "y", "x"], "left").where(~F.coalesce("__skip", F.lit(False))).select("t", "y", "x").checkpoint()
-        near, at = (tiles_near(centres, reach, height, width) for reach in (radius, 0))
-    angles = smooth_gradients(grid, height, width, only=near) if smooth else gradients(grid)
+        few = centres.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+        near, at = (tiles_near(centres, reach, height, width, few) for reach in (radius, 0))
+        grid_near = grid.join(F.broadcast(centres.select("t").distinct()) if few else centres.select("t").distinct(), "t", "left_semi")
+    frames = grid if skip is None else grid_near
+    angles = smooth_gradients(frames, height, width, only=near) if smooth else gradients(frames)
     if cells is not None and cells * masks.disc_cells(radius) <= JOIN_ROWS:
         found = disc_variance(angles, centres, radius)
     else:
