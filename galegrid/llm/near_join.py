@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,21 +35,29 @@ class Forest:
     cell_shingles: int = 500_000
     seed: int = 11
 
-    def chance(self, depth: int) -> float:
-        """With which a pair of the threshold's similarity shares a prefix of depth in some tree."""
-        return 1 - (1 - self.threshold**depth) ** self.trees
+    def chance(self, depth: int, similarity: float | None = None) -> float:
+        """With which a pair of a similarity (the threshold's, without one) shares a prefix of depth in some tree."""
+        return 1 - (1 - (similarity or self.threshold) ** depth) ** self.trees
 
     def depth(self) -> int:
-        """The longest prefix, from the leaves up, whose chance reaches recall: prefixes need not be shortened beyond it."""
+        """The longest prefix, from the leaves up, at which even pairs of the threshold's similarity meet with recall: no table
+        needs shorter ones."""
         for depth in range(self.leaf_depth, 0, -1):
             if self.chance(depth) >= self.recall:
                 return depth
         raise ValueError("the forest has too few trees for this recall")
 
-    def shift(self, level: int) -> int | None:
-        """Bits by which a tail is shifted right to leave the prefix of level; None: the prefix has nothing of the tail."""
-        more = self.leaf_depth - self.depth()
-        return 64 - 64 // more * (level - self.depth()) if level > self.depth() else None
+    def bits(self) -> list[int]:
+        """Bits of each minimum in a path of 64: 4, and those up to depth() share what is left, so that the shortest prefixes tell
+        most apart."""
+        if 4 * self.leaf_depth > 64:
+            raise ValueError("a path has room for 16 minima")
+        depth = self.depth()
+        return [4 + (64 - 4 * self.leaf_depth) // depth * (i < depth) for i in range(self.leaf_depth)]
+
+    def shift(self, level: int) -> int:
+        """Bits by which a path is shifted right to leave its prefix of level."""
+        return 64 - sum(self.bits()[:level])
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
@@ -89,26 +96,21 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(run)
 
 
-def tree_paths(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The path of a shingle set in each tree: its node at the forest's depth, a hash of that tree's first minima, and the tail,
-    some bits of each further minimum, the first of them highest. So paths sort as tries do, and a shorter prefix of a path is
-    its tail shifted right. (Bits that are equal by chance only make a node larger.)"""
+def tree_paths(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The path of a shingle set in each tree: some bits of each of that tree's minima, the first of them highest. So paths sort as
+    tries do, and a shorter prefix is the path shifted right. (Bits that are equal by chance only make a node larger.)"""
     least = np.empty(len(a), dtype=np.uint64)
     step = max(1, 500_000 // len(sets))
     for lo in range(0, len(a), step):
         least[lo : lo + step] = (((sets[None, :] ^ b[lo : lo + step, None]) * a[lo : lo + step, None]) >> np.uint64(8)).min(axis=1)
-    minima, depth = least.reshape(forest.trees, -1).T, forest.depth()
-    node, tail = np.zeros(forest.trees, dtype=np.uint64), np.zeros(forest.trees, dtype=np.uint64)
-    for column in minima[:depth]:
-        node = _mixed(node * _MIX[0] + column)
-    bits = 64 // max(1, len(minima) - depth)
-    for i, column in enumerate(minima[depth:], 1):
-        tail |= (_mixed(column * _MIX[0]) >> np.uint64(64 - bits)) << np.uint64(64 - bits * i)
-    return node.view(np.int64), tail.view(np.int64)
+    path = np.zeros(forest.trees, dtype=np.uint64)
+    for level, (column, bits) in enumerate(zip(least.reshape(forest.trees, -1).T, forest.bits(), strict=True), 1):
+        path |= (_mixed(column * _MIX[0]) >> np.uint64(64 - bits)) << np.uint64(forest.shift(level))
+    return path.view(np.int64)
 
 
 def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, rid, set_id, n, nodes, tails) for each row: set_id names the shingle set, n is its size."""
+    """(doc_id, rid, set_id, n, paths) for each row: set_id names the shingle set, n is its size."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = forest.hashes()
@@ -116,14 +118,14 @@ def signatures(docs: DataFrame, forest: Forest) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 s = shingles(text, forest.words)
-                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), *(tree_paths(s, forest, a, b) if len(s) else (None, None))))
-            yield pd.concat([batch[["doc_id", "rid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["set_id", "n", "nodes", "tails"])], axis=1)
+                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), tree_paths(s, forest, a, b) if len(s) else None))
+            yield pd.concat([batch[["doc_id", "rid"]].reset_index(drop=True), pd.DataFrame(rows, columns=["set_id", "n", "paths"])], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
     # doc_id travels as text: a null among longs would make them floats
     return (
         rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-        .mapInPandas(sign, "doc_id string, rid long, set_id binary, n long, nodes array<long>, tails array<long>")
+        .mapInPandas(sign, "doc_id string, rid long, set_id binary, n long, paths array<long>")
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )
 
@@ -142,16 +144,14 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInPandas(sets, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def shared_prefix(nodes: np.ndarray, tails: np.ndarray, i: np.ndarray, j: np.ndarray, shift: int | None) -> np.ndarray:
+def shared_prefix(paths: np.ndarray, i: np.ndarray, j: np.ndarray, shift: int) -> np.ndarray:
     """Whether the pairs i, j share the prefix that shift leaves, in each of the trees given."""
-    same = nodes[i] == nodes[j]
-    if shift is not None:
-        same &= tails[i] >> np.uint64(shift) == tails[j] >> np.uint64(shift)
-    return same
+    return (paths[i] ^ paths[j]) >> np.uint64(shift) == 0
 
 
 def compare_cell(cell: pd.DataFrame, forest: Forest, level: int) -> pd.DataFrame:
-    """Links among the shingle sets of one cell: for each its links' weight and the smallest linked set it connects to.
+    """Links among the shingle sets of one cell: for each its links' weight, the smallest linked set it connects to, and the least
+    similarity of these links (null: none).
 
     A cell is a node's sets of two blocks (or one block with itself); pairs that share a longer prefix in any tree, or one of this
     length in an earlier tree, are counted there. Shared shingles are counted by products of 0/1 matrices, a few thousand shingles
@@ -193,32 +193,32 @@ def compare_cell(cell: pd.DataFrame, forest: Forest, level: int) -> pd.DataFrame
     for x in range(m):
         root[x] = root[root[x]]
     if len(i):
-        nodes, tails = np.stack(cell["nodes"].to_numpy()), np.stack(cell["tails"].to_numpy()).view(np.uint64)
-        met = shared_prefix(nodes[:, :tree], tails[:, :tree], i, j, forest.shift(level)).any(axis=1)
+        paths = np.stack(cell["paths"].to_numpy()).view(np.uint64)
+        met = shared_prefix(paths[:, :tree], i, j, forest.shift(level)).any(axis=1)
         if level < forest.leaf_depth:
-            met |= shared_prefix(nodes, tails, i, j, forest.shift(level + 1)).any(axis=1)
+            met |= shared_prefix(paths, i, j, forest.shift(level + 1)).any(axis=1)
         i, j = i[~met], j[~met]
     links = np.bincount(i, weights=weight[j], minlength=m) + np.bincount(j, weights=weight[i], minlength=m)
-    return pd.DataFrame({"rep": rep, "links": links.astype(np.int64), "root": rep[root]})
+    weakest = np.full(m, np.inf)
+    for ends in (i, j):
+        np.minimum.at(weakest, ends, shared[i, j] / union[i, j])
+    return pd.DataFrame({"rep": rep, "links": links.astype(np.int64), "root": rep[root], "weakest": np.where(weakest < np.inf, weakest, None)})
 
 
 def open_nodes(members: DataFrame, forest: Forest, level: int) -> DataFrame:
-    """(tree, node, prefix, m, total) of the nodes at level with two members or more that haven't all met: each member is held
+    """(tree, prefix, m, total) of the nodes at level with two members or more that haven't all met: each member is held
     against one of the node's, and a bit for each tree says whether they share this level's prefix, or the next longer one."""
-    key = ["tree", "node", "prefix"]
+    key = ["tree", "prefix"]
     powers = F.array(*[F.lit(1 << t).cast("long") for t in range(forest.trees)])
 
     def trees_shared(at: int):
-        same, shift = F.zip_with("nodes", "first_nodes", lambda a, b: a == b), forest.shift(at)
-        if shift is not None:
-            tails = F.zip_with("tails", "first_tails", lambda a, b: F.shiftrightunsigned(a, shift) == F.shiftrightunsigned(b, shift))
-            same = F.zip_with(same, tails, lambda a, b: a & b)
+        same = F.zip_with("paths", "first_paths", lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), forest.shift(at)) == 0)
         bits = F.zip_with(same, powers, lambda s, p: F.when(s, p).otherwise(F.lit(0).cast("long")))
         return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
 
     firsts = members.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.first(F.struct("nodes", "tails")).alias("first")
-    ).where("m > 1").select(*key, "m", "total", F.col("first.nodes").alias("first_nodes"), F.col("first.tails").alias("first_tails"))
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.first("paths").alias("first_paths")
+    ).where("m > 1")
     longer = trees_shared(level + 1) if level < forest.leaf_depth else F.lit(0).cast("long")
     held = members.join(firsts, key).select(*key, "m", "total", trees_shared(level).alias("here"), longer.alias("longer"))
     earlier = F.expr("cast(shiftleft(1L, tree) - 1 as long)")
@@ -229,19 +229,17 @@ def open_nodes(members: DataFrame, forest: Forest, level: int) -> DataFrame:
 
 
 def compare_level(members: DataFrame, texts: DataFrame, forest: Forest, level: int) -> DataFrame:
-    """(rep, links, root, level) of the members of open nodes at level, compared."""
-    shift = forest.shift(level)
-    prefix = F.shiftrightunsigned("tail", shift) if shift is not None else F.lit(0).cast("long")
-    here = members.withColumn("prefix", prefix)
+    """(rep, links, root, weakest, level) of the members of open nodes at level, compared."""
+    here = members.withColumn("prefix", F.shiftrightunsigned("path", forest.shift(level)))
     fresh = kept(open_nodes(here, forest, level))
     blocks = F.ceil(F.greatest(F.col("m") / forest.cell, F.col("total") / forest.cell_shingles)).cast("int")
-    key = ["tree", "node", "prefix", "lo", "hi"]
+    key = ["tree", "prefix", "lo", "hi"]
     cells = (
-        here.join(fresh, ["tree", "node", "prefix"])
+        here.join(fresh, ["tree", "prefix"])
         .withColumn("blocks", F.least(blocks, F.col("m"))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .select(*key, "block", "rep", "size", "nodes", "tails")
+        .select(*key, "block", "rep", "size", "paths")
         .join(texts, "rep")
     )
 
@@ -271,8 +269,15 @@ def compare_level(members: DataFrame, texts: DataFrame, forest: Forest, level: i
         if waiting:
             yield compare_cell(pd.concat(waiting), forest, level)
 
-    found = cells.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "rep long, links long, root long")
-    return kept(found.groupBy("rep", "root").agg(F.sum("links").alias("links")).withColumn("level", F.lit(level)))
+    found = cells.repartition(*key).sortWithinPartitions(*key).mapInPandas(compare, "rep long, links long, root long, weakest double")
+    return kept(found.groupBy("rep", "root").agg(F.sum("links").alias("links"), F.min("weakest").alias("weakest")).withColumn("level", F.lit(level)))
+
+
+def reached(found: DataFrame, forest: Forest, level: int) -> float:
+    """The recall that the links found so far show, down to level: the chance with which pairs like the weakest of them meet by a prefix
+    of level. Without a link nothing is known, and it is that of the threshold."""
+    weakest = found.agg(F.min("weakest")).first()[0]
+    return forest.chance(level, None if weakest is None else max(weakest, forest.threshold))
 
 
 def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -285,29 +290,36 @@ def jaccard_join(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     doc_id: after all others. Long texts count whole. Empty table: no rows. Extra columns are left out.
 
     Rows with one shingle set are one class member (rep) from the start, so copies cost one row. Each rep has a path of minima in each
-    tree; the paths that share a prefix of depth() with another's are the tries, written in their order. Prefixes are matched at
-    the leaves first, and what shares one is compared. Then they are shortened, a level in each round, for those reps alone that
-    a shorter one brings together with a rep they haven't met; the others have met all that the forest can show them. Rounds end at
-    the level whose chance of meeting reaches recall. A node's reps are dealt in blocks of bounded number and size, and a cell compares
-    two blocks, so a node of any size is many bounded tasks and no pair is written: a cell returns sums of links and a spanning
-    forest. Similarity is exact; a pair of the threshold's similarity is missed with a chance of 1 - recall at most.
+    tree; paths, sorted, are the tree's trie. Prefixes are matched at the leaves first, and what shares one is compared. Then they are
+    shortened, a level in each round, for those reps alone that a shorter one brings together with a rep they haven't met. After
+    each round the verified links say what recall is reached: rounds end when pairs as weak as the weakest link met so far meet with
+    a chance of recall, so a table of closer copies ends at longer prefixes; depth() is where any table ends. A node's reps are dealt in
+    blocks of bounded number and size, and a cell compares two blocks, so a node of any size is many bounded tasks and no pair is
+    written: a cell returns sums of links and a spanning forest. Similarity is exact; a pair no weaker than the weakest link
+    found is missed with a chance of 1 - recall at most, and one of the threshold's similarity, where the rounds end at level, with
+    1 - chance(level): a link so weak that is met anywhere sends the rounds on.
     """
     text_batches(docs.sparkSession)
     rows = kept(signatures(docs, forest))
     sets = kept(
         rows.groupBy("set_id").agg(
-            F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first(F.struct("nodes", "tails")).alias("paths"),
+            F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("paths").alias("paths"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("who"),
-        ).select("set_id", "size", "n", "paths.nodes", "paths.tails", "who").withColumn("rep", F.monotonically_increasing_id())
+        ).withColumn("rep", F.monotonically_increasing_id())
     )
-    spread = sets.where("n > 0").select("rep", F.posexplode("nodes").alias("tree", "node"))
+    # what meets nothing by the shortest prefix that any table needs meets nothing by longer ones
+    node = F.shiftrightunsigned("path", forest.shift(forest.depth()))
+    spread = sets.where("n > 0").select("rep", F.posexplode("paths").alias("tree", "path")).withColumn("node", node)
     crowded = kept(spread.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
-    tries = spread.join(crowded, ["tree", "node"]).join(sets.select("rep", "size", "n", "nodes", "tails"), "rep")
-    members = kept(tries.withColumn("tail", F.get("tails", F.col("tree"))).sortWithinPartitions("tree", "node", "tail"))
+    tries = spread.join(crowded, ["tree", "node"]).drop("node").join(sets.select("rep", "size", "n", "paths"), "rep")
+    members = kept(tries.sortWithinPartitions("tree", "path"))
     wanted = kept(members.select("rep").distinct().join(sets.select("rep", F.col("who.doc_id").alias("w_doc"), F.col("who.rid").alias("w_rid")), "rep"))
     texts = kept(shingle_sets(docs, wanted, forest.words))
-    rounds = [compare_level(members, texts, forest, level) for level in range(forest.leaf_depth, forest.depth() - 1, -1)]
-    found = reduce(DataFrame.unionByName, rounds)
+    level = forest.leaf_depth
+    found = compare_level(members, texts, forest, level)
+    while level > forest.depth() and reached(found, forest, level) < forest.recall:
+        level -= 1
+        found = found.unionByName(compare_level(members, texts, forest, level))
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.min("level").alias("level"))
     joined = (
