@@ -18,8 +18,11 @@ STATE_CONF = {
     # else each of many small stores reserves megabytes on disk
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: Arrivals; call is the folder that a call writes.
-LOG = "digest binary, doc_id long, n_chars long, rid long, row long, sha binary, norm string, call int"
+#: Arrivals; call is the folder that a call writes, slice that of one of its tasks (call and task in one
+#: name, by which Spark prunes folders), so that a text is found by reading one file.
+LOG = "digest binary, doc_id long, n_chars long, rid long, row long, sha binary, norm string, call int, slice string"
+#: Each task writes one slice: with room for a writer Spark needn't sort its rows by it first.
+WRITE_CONF = {"spark.sql.maxConcurrentOutputFileWriters": "2"}
 #: Groups of copies of which the digests may be broadcast: 32 bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -71,8 +74,8 @@ def run_stream(spark: SparkSession, home: str, call: int) -> None:
     home/state: a later run goes on with it. An update is written for each batch, and written again if the batch is repeated
     after a failure.
     """
-    arrivals = spark.readStream.schema(LOG).parquet(f"{home}/log").select("digest", "doc_id", "n_chars", "rid", "call", "row")
-    state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"), F.min(F.struct("call", "row")).alias("anchor"))
+    arrivals = spark.readStream.schema(LOG).parquet(f"{home}/log").select("digest", "doc_id", "n_chars", "rid", "call", "row", "slice")
+    state = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(best_row()).alias("keep"), F.min(F.struct("call", "row", "slice")).alias("anchor"))
     with settings(spark, STATE_CONF):
         query = (
             state.writeStream.outputMode("update")
@@ -85,7 +88,10 @@ def run_stream(spark: SparkSession, home: str, call: int) -> None:
 def state_of(spark: SparkSession, home: str, call: int | None = None) -> DataFrame:
     """What the state holds of each digest that a call touched (all digests, without one): (digest, n, keep, anchor)."""
     row = "struct<less:long,no_id:boolean,doc_id:long,rid:long,call:int,row:long>"
-    schema = f"digest binary, n long, keep {row}, anchor struct<call:int,row:long>"
+    schema = f"digest binary, n long, keep {row}, anchor struct<call:int,row:long,slice:string>"
+    done = calls(spark, f"{home}/updates")
+    if not done or call is not None and call not in done:
+        return spark.createDataFrame([], schema)  # calls of empty tables touch nothing
     updates = spark.read.schema(schema).parquet(f"{home}/updates/call={'*' if call is None else call}/batch=*")
     # counts only grow and the row that stays only improves, so the latest update of a digest has the greatest n
     return updates.groupBy("digest").agg(F.max("n").alias("n"), F.min("keep").alias("keep"), F.min("anchor").alias("anchor"))
@@ -105,16 +111,19 @@ def exact_dedup(docs: DataFrame, state_path: str | None = None, digest: Callable
     Digest, id, locator (call and row) and normalised text of each row are written to an arrival log, and the log is streamed through
     the keyed state (run_stream): a group's state is one row, and partial sums keep a group with a third of the rows from
     gathering in one task. Then each new row that hit a digest is compared, all bytes, with the text that the digest's anchor
-    locates; where they differ (the digest collided) rows are grouped by their whole text. digest: for tests of that.
+    locates; where they differ (the digest collided) rows are grouped by their whole text. digest: for tests of that. Of the calls
+    before, only the files are read that hold such a text, however long the history is.
     """
     spark = docs.sparkSession
     home = state_path or own_folder(spark, "dedup")
     call = max(calls(spark, f"{home}/log"), default=-1) + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("norm", normalised(F.col("text")))
-    rows.select(
+    arrivals = rows.select(
         digest(F.col("norm")).alias("digest"), "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("rid"),
-        F.monotonically_increasing_id().alias("row"), sha256_bytes(F.col("norm")).alias("sha"), "norm",
-    ).write.options(**WRITTEN).parquet(f"{home}/log/call={call}")
+        F.monotonically_increasing_id().alias("row"), sha256_bytes(F.col("norm")).alias("sha"), "norm", F.concat_ws("-", F.lit(call), F.spark_partition_id()).alias("slice"),
+    )
+    with settings(spark, WRITE_CONF):
+        arrivals.write.options(**WRITTEN).partitionBy("slice").parquet(f"{home}/log/call={call}")
     run_stream(spark, home, call)
     touched = kept(state_of(spark, home, call))
     wrong = _wrong_hits(spark, home, call, touched)
@@ -145,7 +154,7 @@ def _verdicts(spark: SparkSession, home: str, log: DataFrame, state: DataFrame)
 def _wrong_hits(spark: SparkSession, home: str, call: int, touched: DataFrame) -> DataFrame | None:
     """Digests under which a row of this call has another text than their anchor; None if there are none, as is all but certain.
     The digests of groups are broadcast if they are few, else joined by a shuffle."""
-    log = arrival_log(spark, home).select("digest", "norm", "call", "row")
+    log = arrival_log(spark, home).select("digest", "norm", "call", "row", "slice")
     groups = touched.where("n > 1").select("digest", F.col("anchor.call").alias("a_call"), F.col("anchor.row").alias("a_row"))
     small = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     named = F.broadcast(groups) if small else groups
@@ -154,14 +163,25 @@ def _wrong_hits(spark: SparkSession, home: str, call: int, touched: DataFrame) -
     hits = kept(log.where(F.col("call") == call).join(named, "digest").select("digest", "norm", at_anchor.alias("is_anchor")))
     anchors = hits.where("is_anchor").select("digest", F.col("norm").alias("first_norm"))
     if call:
-        before = log.where(F.col("call") < call).join(named.where(F.col("a_call") < call), "digest").where(at_anchor)
-        anchors = anchors.unionByName(before.select("digest", F.col("norm").alias("first_norm")))
+        anchors = anchors.unionByName(earlier_anchors(spark, home, call, touched))
     anchors = kept(anchors)
     # distinct comes later: in the same stage it would hold the join's large groups together
     differ = kept(hits.where(~F.col("is_anchor")).join(anchors, "digest").where(F.col("norm") != F.col("first_norm")).select("digest"))
     return None if differ.isEmpty() else differ.distinct()
 
 
+def earlier_anchors(spark: SparkSession, home: str, call: int, touched: DataFrame) -> DataFrame:
+    """(digest, first_norm) of the digests touched whose anchor came in a call before. Only slices with such an anchor are read: their
+    names, at most one for each anchor and each file, are broadcast if they are few, and prune the log's folders."""
+    anchors = kept(touched.select("digest", "anchor.*").where(F.col("call") < call))
+    slices = kept(anchors.select("call", "slice").distinct()).where(F.col("call") < call).select("slice")
+    small = slices.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    log = arrival_log(spark, home).where(F.col("call") < call).select("norm", "row", "slice")
+    read = log.join(F.broadcast(slices) if small else slices, "slice", "left_semi")
+    few = anchors.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return read.join(F.broadcast(anchors) if few else anchors, ["slice", "row"]).select("digest", F.col("norm").alias("first_norm"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each group of equal texts, with the columns of docs. Nulls, ties and repeated rows as in exact_dedup; an
     empty table gives no rows."""

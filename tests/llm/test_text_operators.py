@@ -174,6 +174,40 @@ def test_two_calls_equal_one(spark, odd, tmp_path):
     assert sorted(map(key, exact_dedup.verdicts(spark, home).collect())) == want
 
 
+def test_later_calls_read_few_files(spark, tmp_path):
+    """A second call reads the files that hold a text it hits, not the whole history."""
+    from pyspark.sql import functions as F
+
+    def docs(start, end, parts):
+        return spark.range(start, end, 1, parts).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"))
+
+    home = str(tmp_path)
+    for call in range(3):
+        exact_dedup.exact_dedup(docs(call * 1000, call * 1000 + 1000, 8), home).count()
+    names = {(r.call, r.slice) for r in exact_dedup.arrival_log(spark, home).select("call", "slice").distinct().collect()}
+    assert len(names) == 24
+    # two texts of call 0, both in its first file, and one of call 2
+    rows = exact_dedup.exact_dedup(docs(5000, 5002, 1).unionByName(docs(7500, 7501, 1)), home).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == {(5000, 0, 2, False), (5001, 1, 2, False), (7500, 2500, 2, False)}
+    found = exact_dedup.earlier_anchors(spark, home, 3, exact_dedup.state_of(spark, home, 3))
+    assert {r.first_norm for r in found.collect()} == {"text0", "text1", "text2500"}
+    read = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan parquet") and "norm" in node.schema().toDDL():
+            read.append(node.metrics().apply("numFiles").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            walk(node.plan())
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert read == [2]
+
+
 # --- line dedup -----------------------------------------------------------------------------------------------------
 
 
@@ -366,6 +400,42 @@ def test_lower_recall_ends_at_longer_prefixes(spark, sf_dir, texts):
     assert 0.9 * sum(links.values()) <= sum(r.n_links for r in rows) <= sum(links.values())
 
 
+def changed(words, at):
+    return " ".join("changed" if i in at else w for i, w in enumerate(words))
+
+
+@pytest.mark.parametrize(("at", "rounds"), [((0,), [8]), ((40, 60, 80), [8, 7]), ((0, 1, 2, 40, 60, 80), [8, 7, 6]), ((20, 40, 60, 80, 100), [8, 7, 6])])
+def test_depth_reached_follows_the_links_found(spark, monkeypatch, at, rounds):
+    """Rounds end where pairs like the weakest link met reach the target: at once for close copies, at depth() near the threshold (or
+    where, as with five words changed, nothing is linked)."""
+    words = [f"w{i}" for i in range(176)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, changed(words, at)), (3, "nothing of the others")], "doc_id long, text string")
+    levels, compare = [], near_join.compare_level
+    monkeypatch.setattr(near_join, "compare_level", lambda *a: levels.append(a[-1]) or compare(*a))
+    rows = {r.doc_id: r.n_links for r in near_join.jaccard_join(docs).collect()}
+    links, _ = brute_links({r.doc_id: r.text for r in docs.collect()})
+    assert rows == {d: links[d] for d in (1, 2, 3)} and levels == rounds
+
+
+def test_prefixes_of_paths_are_tries():
+    """A prefix of a path is equal where the first minima are; a shorter one wherever a longer one is."""
+    forest = near_join.Forest()
+    a, b = forest.hashes()
+    first = near_join.shingles(" ".join(f"w{i}" for i in range(200)), 5)
+    assert sum(forest.bits()) <= 64 and forest.shift(forest.leaf_depth) >= 0
+    met = []
+    for cut in range(0, 40, 4):
+        second = first[cut:]
+        least = [((s[None, :] ^ b[:, None]) * a[:, None] >> np.uint64(8)).min(axis=1).reshape(forest.trees, -1) for s in (first, second)]
+        paths = [near_join.tree_paths(s, forest, a, b).view(np.uint64) for s in (first, second)]
+        for level in range(1, forest.leaf_depth + 1):
+            same = paths[0] >> np.uint64(forest.shift(level)) == paths[1] >> np.uint64(forest.shift(level))
+            assert not ((least[0][:, :level] == least[1][:, :level]).all(axis=1) & ~same).any()
+            met.append((cut, level, int(same.sum())))
+    assert all(n == forest.trees for cut, _, n in met if cut == 0)
+    assert all(x[2] >= y[2] for x, y in zip(met, met[1:], strict=False) if x[0] == y[0])
+
+
 def test_cells_are_bounded_by_size(spark):
     texts = {d: " ".join(f"w{i}" if i % 997 else f"x{d}" for i in range(3000)) for d in range(40)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
