@@ -19,6 +19,8 @@ from .components import components
 STORE_ROWS = 100_000
 #: Rows of shingle sets that may be named in a broadcast: 24 bytes each.
 BROADCAST_ROWS = 500_000
+#: Products of hash functions and shingles made at once: 256 KB, so that they stay in a core's own cache.
+PRODUCTS = 32_768
 
 
 @dataclass(frozen=True)
@@ -93,19 +95,25 @@ def shingles(text: str, words: int) -> np.ndarray:
     run = np.zeros(len(h) - k + 1, dtype=np.uint64)
     for i in range(k):
         run = _mixed(run * _MIX[0] + h[i : len(h) - k + 1 + i])
-    return np.unique(run)
+    run.sort()
+    return run[np.concatenate(([True], run[1:] != run[:-1]))]
 
 
 def tree_paths(sets: np.ndarray, forest: Forest, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The path of a shingle set in each tree: some bits of each of that tree's minima, the first of them highest. So paths sort as
     tries do, and a shorter prefix is the path shifted right. (Bits that are equal by chance only make a node larger.)"""
     least = np.empty(len(a), dtype=np.uint64)
-    step = max(1, 500_000 // len(sets))
+    step = min(len(a), max(1, PRODUCTS // len(sets)))
+    room = np.empty((step, len(sets)), dtype=np.uint64)
     for lo in range(0, len(a), step):
-        least[lo : lo + step] = (((sets[None, :] ^ b[lo : lo + step, None]) * a[lo : lo + step, None]) >> np.uint64(8)).min(axis=1)
-    path = np.zeros(forest.trees, dtype=np.uint64)
-    for level, (column, bits) in enumerate(zip(least.reshape(forest.trees, -1).T, forest.bits(), strict=True), 1):
-        path |= (_mixed(column * _MIX[0]) >> np.uint64(64 - bits)) << np.uint64(forest.shift(level))
+        products = room[: len(a) - lo]
+        np.bitwise_xor(sets, b[lo : lo + step, None], out=products)
+        np.multiply(products, a[lo : lo + step, None], out=products)
+        least[lo : lo + step] = products.min(axis=1)
+    bits = np.array(forest.bits(), dtype=np.uint64)
+    left = np.uint64(64) - np.cumsum(bits, dtype=np.uint64)
+    minima = (least >> np.uint64(8)).reshape(forest.trees, -1)
+    path = np.bitwise_or.reduce((_mixed(minima * _MIX[0]) >> (np.uint64(64) - bits)) << left, axis=1)
     return path.view(np.int64)
 
 
