@@ -63,6 +63,50 @@ def test_counts_of_hard_texts():
         assert counter.of_text(text) == len(library.encode(text, add_special_tokens=False).ids), text[:30]
 
 
+def test_known_pieces_cost_less_than_naming_classes(texts):
+    """Texts whose pieces are all known are counted in less CPU time than the matcher with named classes needs to find them."""
+    counter, named = token_counts.Counter(VOCABULARY), regex.compile(token_counts.PIECES)
+    some = list(texts.values())[:300]
+    jobs = {"count": lambda: [counter.of_text(t) for t in some], "named": lambda: [named.findall(t) for t in some]}
+    seconds = {name: [] for name in jobs}
+    for _ in range(8):
+        for name, job in jobs.items():
+            start = time.process_time()
+            job()
+            seconds[name].append(time.process_time() - start)
+    assert min(seconds["count"]) < min(seconds["named"])
+
+
+def test_every_sign_is_cut_as_the_library_cuts_it():
+    """Also signs that the version of Unicode behind the matcher has and the library's hasn't, and such texts longer than are listed."""
+    library, counter = Tokenizer.from_file(VOCABULARY), token_counts.Counter(VOCABULARY)
+
+    def length(text):
+        return len(library.encode(text, add_special_tokens=False).ids)
+
+    for lo in (*range(0, 0x34000, 0x1000), 0x3D000, 0x3F000, 0x40000, 0xE0000, 0x10F000):
+        signs = [chr(c) for c in range(lo, lo + 0x1000) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b 1{c}2 !{c}? {c} {c}{c}\n{c}'s" for c in signs)
+        cut = [end - start for _, (start, end) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert [len(piece) for piece in token_counts.cut(text)] == cut, hex(lo)
+    for text in ("\u0558's", "\U00010940's", "it's \U0001f600's", "\U0001d400\U0001d401 \U0001d7ce\U0001f600 x", "中文\U00020000、12\U00016b50"):
+        assert counter.of_text(text) == length(text), text
+    for long in ("the end\u0558's  \n" * 80_000, "\U00020000 's x\u3000" * 150_000):
+        assert len(long) > token_counts.LISTED_SIGNS and counter.of_text(long) == length(long)
+
+
+def test_pieces_that_come_often_are_counted_once(monkeypatch):
+    """A store of 100 pieces: others come and go, the word between them stays, and no more than 100 are held."""
+    monkeypatch.setattr(token_counts, "STORE_ROWS", 100)
+    counter, counted = token_counts.Counter(VOCABULARY), Counter()
+    count = counter.known.of_bytes
+    counter.known.of_bytes = lambda raw: (counted.update([raw]), count(raw))[1]
+    for n in range(1000):
+        counter.of_text(f"often {n}")
+        assert len(counter.known) + len(counter.known.old) <= 100
+    assert counted[b"often"] == 1 and len(counted) == 1001
+
+
 def test_token_counts_of_odd_rows(odd, none):
     rows = token_counts.count_tokens(odd, VOCABULARY).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {0}
