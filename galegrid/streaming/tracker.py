@@ -101,14 +101,52 @@ def system_id(t: int, y: int, x: int) -> str:
     return f"{xxhash.xxh64_intdigest(f'{t}:{y}:{x}') % 10**10:010d}"
 
 
+class Standing:
+    """Active systems of which no two are too close, taken in one by one in their order, by squares that only the squares around are close to.
+
+    Of two that are too close the one with fewer positives ends; of equals, the earlier. Each one meets the few that stand near it, since of those that
+    came before and were too close to another only one still stands; that gives what going through all pairs in their order gives.
+    """
+
+    def __init__(self, s: Settings) -> None:
+        self.merge2, self.ring, self.side = s.merge2, s.ring, int(math.sqrt(s.merge2)) + 1
+        self.columns = max(1, s.ring // self.side) if s.ring else 0
+        self.squares: dict[tuple[int, int], list[tuple]] = {}
+        self.met = 0
+
+    def square(self, y: int, x: int) -> tuple[int, int]:
+        return y // self.side, x % self.ring * self.columns // self.ring if self.ring else x // self.side
+
+    def around(self, row: int, column: int) -> list[list[tuple]]:
+        columns = {(column + d) % self.columns for d in (-1, 0, 1)} if self.ring else (column - 1, column, column + 1)
+        return [self.squares[r, c] for r in (row - 1, row, row + 1) for c in columns if (r, c) in self.squares]
+
+    def add(self, y: int, x: int, n_positive: int, system: object) -> list:
+        """Takes a system in; returns those that end by it, itself among them if it does."""
+        at = self.square(y, x)
+        ended = []
+        for other in sorted((o for near in self.around(*at) for o in near if clusters.distance2(o[1], o[2], y, x, self.ring) < self.merge2), key=lambda o: o[0]):
+            if other[3] > n_positive:
+                return [*ended, system]
+            self.squares[self.square(other[1], other[2])].remove(other)
+            ended.append(other[4])
+        self.met += 1
+        self.squares.setdefault(at, []).append((self.met, y, x, n_positive, system))
+        return ended
+
+    def systems(self) -> list:
+        """Those that stand."""
+        return [o[4] for near in self.squares.values() for o in near]
+
+
 def merge(systems: list[System], s: Settings) -> None:
-    """Of two active systems that are too close, the one with fewer positives ends; of equals, the earlier."""
-    for i, a in enumerate(systems):
-        for b in systems[i + 1 :]:
-            if not (a.is_active(s.window) and b.is_active(s.window)):
-                continue
-            if clusters.distance2(a.y, a.x, b.y, b.x, s.ring) < s.merge2:
-                (b if a.n_positive > b.n_positive else a).active = False
+    """Of two active systems that are too close, the one with fewer positives ends; of equals, the earlier. All are asked whether they are active, but the
+    last one only if another stands that it could meet."""
+    standing = Standing(s)
+    for i, system in enumerate(systems):
+        if (i < len(systems) - 1 or standing.systems()) and system.is_active(s.window):
+            for ended in standing.add(system.y, system.x, system.n_positive, system):
+                ended.active = False
 
 
 def step(systems: list[System], t: int, frame: Frame, s: Settings) -> list[dict]:
@@ -269,17 +307,28 @@ def systems_of(points: DataFrame) -> DataFrame:
 
 
 def merge_kills(systems: DataFrame, s: Settings) -> DataFrame:
-    """systems (t, no, y, x, n_positive), all active, with killed: those that merging ends, by frame and in order of no."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("no", ignore_index=True)
-        found = [System(str(r.no), 0, int(r.y), int(r.x), 1, int(r.n_positive)) for r in rows.itertuples()]
-        merge(found, s)
-        return rows.assign(killed=[not x.active for x in found])
+    """systems (t, no, y, x, n_positive), all active, with killed: those that merging ends, by frame and in order of no.
 
+    A frame's systems pass through one task in their order, a batch at a time; what it holds is one batch and the systems that stand, of which no two are close.
+    """
     columns = ["t", "no", "y", "x", "n_positive"]
-    schema = "t int, no int, y int, x int, n_positive int, killed boolean"
-    return systems.select(*[F.col(c).cast("int").alias(c) for c in columns]).groupBy("t").applyInPandas(one, schema)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, standing = None, Standing(s)
+        for rows in batches:
+            ended, stood = [], []
+            for row in zip(*(rows[c].tolist() for c in columns), strict=True):
+                if row[0] != frame:
+                    stood += standing.systems()
+                    frame, standing = row[0], Standing(s)
+                ended += standing.add(row[2], row[3], row[4], row)
+            yield pd.DataFrame(stood + ended, columns=columns).assign(killed=[False] * len(stood) + [True] * len(ended))
+        yield pd.DataFrame(standing.systems(), columns=columns).assign(killed=False)
+
+    # a number of partitions by name: systems are few bytes and much work, and Spark would bring small partitions together
+    number = int(systems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = systems.select(*[F.col(c).cast("int").alias(c) for c in columns]).repartition(number, "t").sortWithinPartitions(*columns)
+    return dealt.mapInPandas(one, "t int, no int, y int, x int, n_positive int, killed boolean")
 
 
 def annotated_layer(grid: DataFrame, dav: DataFrame, points: DataFrame, known: DataFrame, warm: float = 273.0, highest: float = 2450.0) -> DataFrame:

@@ -1,10 +1,14 @@
 """Queries on tables with more frames, or more points at a place, than the fixtures have."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from galegrid.operators import clusters
 from galegrid.plans import catalogue
+from galegrid.streaming import tracker
 
 
 def equals_sql(spark, name: str, folder, **tables: pa.Table) -> None:
@@ -27,3 +31,47 @@ def vectors(frames: int) -> pa.Table:
 def test_frames_of_a_second_day(spark, tmp_path):
     """The 49th frame is on the day after the file's first."""
     equals_sql(spark, "frame_time_text", tmp_path, embeddings=vectors(50))
+
+
+def merged_in_pairs(systems: list[tracker.System], s: tracker.Settings) -> list[bool]:
+    """Which are active after all pairs were gone through in their order."""
+    for i, a in enumerate(systems):
+        for b in systems[i + 1 :]:
+            if a.is_active(s.window) and b.is_active(s.window) and clusters.distance2(a.y, a.x, b.y, b.x, s.ring) < s.merge2:
+                (b if a.n_positive > b.n_positive else a).active = False
+    return [x.active for x in systems]
+
+
+def test_merging_equals_going_through_all_pairs():
+    """Crowded and sparse places, frames that go round, and systems that are ended or end when they are asked."""
+    deal = random.Random(4)
+    for turn in range(600):
+        s = tracker.Settings(height=30, width=30, res_km=deal.choice([10.0, 40.0, 75.0, 200.0]), is_global=turn % 2 == 0, corrected=turn % 3 > 0, window=3)
+        one = lambda k: tracker.System(str(k), 0, deal.randrange(30), deal.randrange(30), 9, deal.randrange(4), deal.randrange(5), deal.random() < 0.9)  # noqa: B023, E731
+        systems = [one(k) for k in range(deal.choice([0, 1, 2, 3, 20, 80]))]
+        want = merged_in_pairs([tracker.System(**vars(x)) for x in systems], s)
+        tracker.merge(systems, s)
+        assert [x.active for x in systems] == want, turn
+
+
+def test_merging_many_systems_at_one_place_asks_each_once(monkeypatch):
+    """5,000 systems: as many questions, not 12 million pairs."""
+    asked = []
+    own = tracker.System.is_active
+    monkeypatch.setattr(tracker.System, "is_active", lambda self, window: asked.append(1) or own(self, window))
+    systems = [tracker.System(str(k), 0, 5, 5, 9, k * 7 % 5) for k in range(5000)]
+    tracker.merge(systems, tracker.Settings(height=50, width=50, corrected=True))
+    assert len(asked) <= 5000 and [x.system_id for x in systems if x.active] == ["4997"]
+
+
+def test_merging_frames_of_more_than_a_batch(spark):
+    """Frames that begin within batches of Arrow, 12,000 systems each, over places of some frames alone."""
+    s = tracker.Settings(height=64, width=64, res_km=200.0, corrected=True)
+    deal = random.Random(5)
+    rows = [(t, no, deal.randrange(12 * (t + 1)), deal.randrange(5), deal.randrange(5)) for t in (0, 2, 3) for no in range(12000 if t else 300)]
+    found = tracker.merge_kills(spark.createDataFrame(rows, "t int, no int, y int, x int, n_positive int"), s).collect()
+    assert sorted(tuple(r)[:5] for r in found) == rows
+    for t in (0, 2, 3):
+        systems = [tracker.System(str(no), 0, y, x, 1, n) for at, no, y, x, n in rows if at == t]
+        tracker.merge(systems, s)
+        assert [r.killed for r in sorted(found) if r.t == t] == [not x.active for x in systems]
