@@ -5,6 +5,7 @@ import random
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from galegrid.operators import clusters
 from galegrid.plans import catalogue
@@ -75,3 +76,58 @@ def test_merging_frames_of_more_than_a_batch(spark):
         systems = [tracker.System(str(no), 0, y, x, 1, n) for at, no, y, x, n in rows if at == t]
         tracker.merge(systems, s)
         assert [r.killed for r in sorted(found) if r.t == t] == [not x.active for x in systems]
+
+
+def events(n: int) -> pa.Table:
+    return pa.table({"event_id": pa.array(range(n), pa.int64())})
+
+
+def shuffled_rows(spark, query) -> int:
+    """Rows that the query's stages write to shuffles."""
+    def written() -> dict[int, int]:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = set(written())
+    query().write.format("noop").mode("overwrite").save()
+    return sum(v for k, v in written().items() if k not in before)
+
+
+@pytest.mark.parametrize("ring", [None, 12])
+@pytest.mark.parametrize("reach", [0.5, 1.5, 3.2])
+def test_pairs_in_blocks_and_parts_equal_all_pairs(spark, monkeypatch, ring, reach):
+    """Crowded places, whose ids come in several blocks and whose points in several parts."""
+    for name, number in (("BLOCK", 4), ("PART", 3), ("PAIRS", 50)):
+        monkeypatch.setattr(clusters, name, number)
+    deal = random.Random(6)
+    rows = [(k % 2, k * 3, deal.choice([0, 1, 1, 1, 5, 9]), deal.choice([0, 2, 2, 7, 11])) for k in range(240)]
+    old = [(k % 3, k * 3 + k % 2, deal.choice([0, 1, 1, 4, 8]), deal.choice([0, 1, 2, 10, 11])) for k in range(130)]
+    schema = "t int, id long, y int, x int"
+    points, others = spark.createDataFrame(rows, schema), spark.createDataFrame(old, schema)
+    for there, two, once in ((others, old, False), (points, rows, False), (points, rows, True)):
+        found = sorted(map(tuple, clusters.pair_distances(points, there, reach, ring, once).collect()))
+        near = [(t, i, j, clusters.distance2(y, x, v, w, ring)) for t, i, y, x in rows for u, j, v, w in two if t == u and (i < j or not once)]
+        assert found == sorted(p for p in near if p[3] < reach * reach)
+
+
+@pytest.mark.parametrize("name, n, most", [("pair_distance", 20000, 5)])
+def test_pairs_shuffle_points_and_not_copies_of_them(spark, tmp_path, name, n, most):
+    """Where tables are too large to be broadcast, ten copies of each point were shuffled."""
+    pq.write_table(events(n), f"{tmp_path}/events.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        assert shuffled_rows(spark, lambda: catalogue.QUERIES[name](spark, str(tmp_path))) <= most * n
+    finally:
+        spark.conf.set(key, usual)
+
+
+@pytest.mark.parametrize("name", ["pair_distance"])
+def test_pairs_are_stored_in_less_than_a_byte(spark, tmp_path, name):
+    """500 points at each of 40 places: a place's pairs come together, in the order of ids, so that files stay small."""
+    ids = [2240 * k + 5 * j for k in range(500) for j in range(40)]
+    pq.write_table(pa.table({"event_id": pa.array(ids, pa.int64())}), f"{tmp_path}/events.parquet")
+    catalogue.QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40 * 500 * 499 // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 40 * 500 * 499 // 2
