@@ -110,9 +110,9 @@ def test_pairs_in_blocks_and_parts_equal_all_pairs(spark, monkeypatch, ring, rea
         assert found == sorted(p for p in near if p[3] < reach * reach)
 
 
-@pytest.mark.parametrize("name, n, most", [("pair_distance", 20000, 5)])
+@pytest.mark.parametrize("name, n, most", [("pair_distance", 20000, 5), ("pair_distance_ring", 100000, 1)])
 def test_pairs_shuffle_points_and_not_copies_of_them(spark, tmp_path, name, n, most):
-    """Where tables are too large to be broadcast, ten copies of each point were shuffled."""
+    """Where tables are too large to be broadcast, ten copies of each point were shuffled; of the ring only every fifth is a point."""
     pq.write_table(events(n), f"{tmp_path}/events.parquet")
     key = "spark.sql.autoBroadcastJoinThreshold"
     usual = spark.conf.get(key)
@@ -123,7 +123,7 @@ def test_pairs_shuffle_points_and_not_copies_of_them(spark, tmp_path, name, n, m
         spark.conf.set(key, usual)
 
 
-@pytest.mark.parametrize("name", ["pair_distance"])
+@pytest.mark.parametrize("name", ["pair_distance", "pair_distance_ring"])
 def test_pairs_are_stored_in_less_than_a_byte(spark, tmp_path, name):
     """500 points at each of 40 places: a place's pairs come together, in the order of ids, so that files stay small."""
     ids = [2240 * k + 5 * j for k in range(500) for j in range(40)]
